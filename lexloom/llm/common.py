@@ -42,3 +42,17 @@ def unit_hash(seed: str, *key: Column) -> Column:
     """A number in (0, 1) from 52 bits of an md5 over seed and key: the same in every run and engine."""
     hexed = F.substring(F.md5(F.concat_ws("|", F.lit(seed), *[k.cast("string") for k in key])), 1, 13)
     return (F.conv(hexed, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df from reliable files, so that what follows doesn't run its plan again.
+
+    The files go to spark.checkpoint.dir, which executors share; only a session without
+    that setting (a test) gets a folder of its own.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        import tempfile
+
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()

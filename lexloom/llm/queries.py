@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .minhash import near_duplicates
+from .mixing import mix_sources
 from .quality_rules import annotate_quality
 
 
@@ -14,7 +16,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate_quality(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op10_mix_sources": op10_mix_sources,
 }
 SQL: dict[str, str] = {}
