@@ -44,15 +44,17 @@ def unit_hash(seed: str, *key: Column) -> Column:
     return (F.conv(hexed, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df from reliable files, so that what follows doesn't run its plan again.
-
-    The files go to spark.checkpoint.dir, which executors share; only a session without
-    that setting (a test) gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a session without that setting (a test) gets one of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df from reliable files in the shared folder, so that what follows doesn't run its plan again."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()

@@ -7,15 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .html_text import extract_text
+from .langid import identify
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality_rules import annotate_quality
+from .warc_zip import round_trip
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate_quality(table(spark, sf_dir, "documents"))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,8 +40,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
+    "op4_warc_zip": op4_warc_zip,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
 }
 SQL: dict[str, str] = {}
