@@ -5,8 +5,8 @@ Each source repeats whole epochs up to its target; what is left of the target go
 the documents with the least keys, up to the one that crosses the budget, which is
 taken if that brings the sum nearer.
 
-Prefix sums don't gather a source in one task: keys are cut into about sqrt(n) ranges
-a source, ranges are summed first, and rows are ordered within their range only.
+Prefix sums don't gather a source in one task: keys are cut into about
+sqrt(rows) ranges, ranges are summed first, and rows are ordered within their range only.
 
 Null sources form one source, last in order; null and blank texts have size 0 and
 take nothing. Ties in key are broken by id; repeated rows count as often as they
@@ -15,6 +15,8 @@ occur. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,19 +59,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     slot = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     sized = cut(sized.select("doc_id", "source", "size", key.alias("key"), slot.alias("slot")))
 
+    # keys of unit weight are spread evenly by 1 - exp(-key); others keep their order
+    ranges = math.ceil(math.sqrt(sized.count()))
+    sized = sized.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges))
+
     by_source = sized.groupBy("source", "slot").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     goal = targets(by_source, weights, most).withColumn("slot", slot)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    goal = cut(goal.select("slot", "source_size", "target", epochs.alias("epochs"), F.ceil(F.sqrt("n")).cast("long").alias("ranges")))
+    goal = goal.select("slot", "source_size", "target", epochs.alias("epochs"))
     goal = goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
 
-    # keys of unit weight are spread evenly by 1 - exp(-key); others keep their order
-    ranged = sized.join(goal, "slot").withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * F.col("ranges")))
-    sums = ranged.groupBy("slot", "range").agg(F.sum("size").alias("in_range"))
     ahead = Window.partitionBy("slot").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("slot", "range", F.coalesce(F.sum("in_range").over(ahead), F.lit(0)).alias("ahead"))
+    sums = sized.groupBy("slot", "range").agg(F.sum("size").alias("in_range"))
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("in_range").over(ahead), F.lit(0))).join(goal, "slot")
     within = Window.partitionBy("slot", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["slot", "range"])
+    placed = sized.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["slot", "range"])
     start = F.col("ahead") + F.col("within")
     more = F.when(start + F.col("size") / 2 <= F.col("budget"), F.col("size")).otherwise(F.lit(0))
     return placed.select(
