@@ -6,8 +6,9 @@ shingle's values are a run of neighbours in one table. Documents that agree in a
 coordinates of a band are candidates, and links are confirmed on whole shingle sets.
 
 Groups of copies are never expanded into pairs. Documents with equal sets stand as
-one. In a band's bucket each member is compared with the least one; only where
-members then still lie in different components are they compared with the rest.
+one. In a band's bucket each member is compared with a pivot. Documents that buckets
+tie together but that then still lie in different components are compared with each
+other in blocks of bounded size.
 
 Null and blank texts have an empty set and link with nothing; a text of fewer words
 than a shingle is one shingle. Rows with a null id are kept and link with nothing.
@@ -122,7 +123,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"id {kind}, shingles binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets have 100 * intersection >= percent * union."""
 
     @F.pandas_udf("boolean")
@@ -136,19 +137,70 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
             out[i] = 100 * common >= percent * (len(p) + len(q) - common)
         return pd.Series(out)
 
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), size))
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     whole = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return cut(whole.where(linked("x", "y")).select("a", "b").distinct())
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every set on the left with every set on the right."""
+    value, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    ends = np.cumsum([len(x) for x in [*left, *right]])[:-1]
+    at = np.split(place, ends)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(value), width):
+        dense = np.zeros((len(at), width), np.float32)
+        for i, x in enumerate(at):
+            own = x[np.searchsorted(x, low) : np.searchsorted(x, low + width)]
+            dense[i, own - low] = 1
+        out += dense[: len(left)] @ dense[len(left) :].T
+    return out
+
+
+def _links_in_groups(member: DataFrame, sets: DataFrame, percent: int, docs_a_block: int = 256, shingles_a_block: int = 500_000) -> DataFrame:
+    """Links between members (node, n, group, component) of a group that lie in different components.
+
+    Those outside the group's largest component are compared with each other and with
+    the rest, a block of bounded size with another at a time; pairs are not laid out as rows.
+    """
+    size = member.groupBy("group", "component").agg(F.count("*").alias("c"))
+    main = size.groupBy("group").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("k")).where("k > 1")
+    placed = member.join(main.select("group", "main"), "group").withColumn("stray", F.col("component") != F.col("main"))
+    need = lambda of: F.greatest(F.ceil(F.count(F.when(of, 1)) / docs_a_block), F.ceil(F.sum(F.when(of, F.col("n"))) / shingles_a_block), F.lit(1)).cast("int")
+    blocks = placed.groupBy("group").agg(need(F.col("stray")).alias("strays"), need(~F.col("stray")).alias("rest"))
+    placed = placed.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("rest"))).cast("int"))
+    ordinal = lambda n: F.sequence(F.lit(0), n - 1)
+    meet = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    own = F.col("own")
+    with_strays = F.transform(ordinal(F.col("strays")), lambda o: F.struct(F.lit("s").alias("kind"), F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), F.when(own <= o, 0).otherwise(1).alias("side")))
+    with_rest = F.transform(ordinal(F.col("rest")), lambda o: meet("r", own, o, 0))
+    from_rest = F.transform(ordinal(F.col("strays")), lambda o: meet("r", o, own, 1))
+    dealt = placed.select("node", "group", "component", F.explode(F.when(F.col("stray"), F.concat(with_strays, with_rest)).otherwise(from_rest)).alias("at"))
+    dealt = dealt.select("node", "component", "group", "at.*").join(sets.withColumnRenamed("id", "node"), "node")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["side", "node"], kind="stable")
+        one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        if len(two) == 0:  # a block with itself
+            two = one
+        x, y = ([np.frombuffer(v, np.uint64) for v in part["shingles"]] for part in (one, two))
+        if not x or not y:
+            return pd.DataFrame({"a": [], "b": []})
+        common = _common(x, y)
+        union = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :] - common
+        hit = (100 * common >= percent * union) & (one["component"].to_numpy()[:, None] != two["component"].to_numpy()[None, :])
+        i, j = hit.nonzero()
+        return pd.DataFrame({"a": one["node"].to_numpy()[i], "b": two["node"].to_numpy()[j]})
+
+    kind = member.schema["node"].dataType.simpleString()
+    return cut(dealt.groupBy("group", "kind", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct())
+
+
 def _alike(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int = 6, orders: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     bands = n_bands(percent / 100, rows)
     signed = cut(_signed(docs, size, bands, rows))
@@ -157,27 +209,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int
     member = cut(whole.join(same, ["n", "k1", "k2"]).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
     entry = member.where("bands IS NOT NULL").select("rep", "n", F.explode("bands").alias("key"))
 
-    first = F.min(F.struct("rep", "n"))
-    pivot = entry.groupBy("key").agg(first.alias("p"), F.count("*").alias("c")).where("c > 1")
-    shared = cut(entry.join(pivot, "key").select("key", "rep", "n", "p"))
-    star = shared.where((F.col("rep") != F.col("p.rep")) & _alike(F.col("n"), F.col("p.n"), percent))
-    star = cut(star.select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    links = _confirmed(star, docs, size, percent)
-    comp = cut(components(links, "a", "b"))
-
-    # buckets whose members still lie in several components: those outside the largest meet all the others
-    placed = shared.select("key", "rep", "n").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    share = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = share.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    mixed = cut(placed.join(main.select("key", F.col("top.component").alias("main")), "key"))
-    stray = mixed.where("component <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    rest = mixed.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), "main")
-    met = stray.join(rest, "key").where(
-        (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("main")) | (F.col("a") < F.col("b"))) & _alike(F.col("an"), F.col("bn"), percent)
+    # a bucket's pivot is its first member in one of a few random orders, so that a group of two or three
+    # copies makes few pairs and a large one is tied together by many pivots
+    turn = F.xxhash64("rep", F.pmod("key", F.lit(orders)))
+    pivot = entry.groupBy("key").agg(F.min(F.struct(turn.alias("h"), "rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    shared = entry.join(pivot, "key").select("rep", "n", "p")
+    pairs = shared.where(F.col("rep") != F.col("p.rep")).select(
+        F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"), _alike(F.col("n"), F.col("p.n"), percent).alias("alike")
     )
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    comp = cut(components(links.union(_confirmed(met, docs, size, percent)), "a", "b"))
+    pairs = cut(pairs.distinct())
+    group = cut(components(pairs, "a", "b"))
+    sets = cut(_sets(docs.select("doc_id", "text").join(group.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), size))
+    links = _links(pairs.where("alike"), sets, percent)
+    comp = components(links, "a", "b")
+
+    # groups of documents that share buckets but lie in several components
+    known = member.where("bands IS NOT NULL").select(F.col("rep").alias("node"), "n").distinct()
+    placed = group.withColumnRenamed("component", "group").join(known, "node").join(comp, "node", "left")
+    links = links.union(_links_in_groups(placed.withColumn("component", F.coalesce("component", "node")), sets, percent))
+    comp = cut(components(links, "a", "b"))
 
     placed = member.select("doc_id", "n", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
