@@ -12,9 +12,11 @@ from .html_text import extract_text
 from .langid import identify
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .pii import find_spans
 from .quality_rules import annotate_quality
 from .toxicity import toxicity
 from .warc_zip import round_trip
+from .weak_quality import classify
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_spans(table(spark, sf_dir, "documents")).drop("row", "all_spans")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +39,10 @@ def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,9 +61,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_warc_zip": op4_warc_zip,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_weak_quality": op6_weak_quality,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
