@@ -4,20 +4,334 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as T
+from lexloom.operators import chat, corpus, evaluation, retrieval
+from lexloom.streaming import limiter
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+_BLANK_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its name, with its SQL if there is any."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""SELECT CASE WHEN grouping(source) = 1 THEN 'TOTAL' ELSE source END AS grp, count(*) AS files,
+    coalesce(sum(length(text)), 0)::BIGINT AS chars, (coalesce(sum(length(text)), 0) // greatest(count(*), 1))::BIGINT AS avg_chars
+    FROM documents GROUP BY GROUPING SETS ((source), ())""")
+def corpus_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.inventory(read(spark, sf_dir, "documents"), "source")
+
+
+@query("""SELECT doc_id, length(text)::BIGINT AS chars, CASE WHEN length(text) < 200 THEN 'stub' ELSE 'oversize' END AS flag
+    FROM documents WHERE length(text) < 200 OR length(text) > 15000""")
+def flag_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.anomalies(read(spark, sf_dir, "documents"), 200, 15000)
+
+
+_FIRST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trim(substr(text, 1, 300), {_BLANK_SQL}) ORDER BY doc_id) AS r FROM {{0}}) WHERE r = 1"
+
+
+@query(f"SELECT doc_id FROM ({_FIRST.format('documents')})")
+def dedup_first300(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", corpus.fingerprint(F.col("text")).alias("k"))
+    return corpus.first_wins(docs, F.col("k"), "doc_id").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 50")
+def holdout_50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.sample_exactly(read(spark, sf_dir, "documents").select("doc_id"), 50, "doc_id")
+
+
+@query(f"""WITH kept AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 50)),
+    uniq AS ({_FIRST.format('kept')}),
+    clean AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {_BLANK_SQL}) AS body FROM uniq)
+    SELECT doc_id, length(body)::BIGINT AS chars, md5(body) AS digest FROM clean WHERE length(body) >= 500""")
+def build_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = corpus.sample_exactly(docs.select("doc_id"), 50, "doc_id")
+    kept = docs.select("doc_id", "text").join(held, "doc_id", "left_anti")
+    ids = corpus.first_wins(kept.select("doc_id", corpus.fingerprint(F.col("text")).alias("k")), F.col("k"), "doc_id")
+    body = F.regexp_replace(F.regexp_replace("text", r"<[^>]+>", ""), r"\n{3,}", "\n\n")
+    clean = kept.join(ids.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.btrim(body, F.lit(T.BLANK)).alias("body"))
+    return clean.where(F.length("body") >= 500).select("doc_id", F.length("body").cast("long").alias("chars"), F.md5("body").alias("digest"))
+
+
+@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&'),
+    '<[^>]+>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), """ + _BLANK_SQL + """)) AS digest FROM pages""")
+def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("html")
+    for a, b in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    c = F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"\n{3,}", "\n\n")
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(F.btrim(c, F.lit(T.BLANK))).alias("digest"))
+
+
+@query()
+def clean_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = read(spark, sf_dir, "pages").select("page_id", T.unescape(F.replace("html", F.lit("\r\n"), F.lit("\n"))).alias("t"))
+    return decoded.select("page_id", T.clean_markdown(F.col("t")).alias("text"))
+
+
+def _windows_sql(size: int, step: int, least: int, tail: int) -> str:
+    return f"""SELECT doc_id, ord, md5(chunk) AS digest, length(chunk)::BIGINT AS chars FROM (
+        SELECT doc_id, (s // {step})::INT AS ord, trim(substr(text, s + 1, {size}), {_BLANK_SQL}) AS chunk
+        FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - {tail}, 0), {step})) AS s FROM documents)) WHERE length(chunk) >= {least}"""
+
+
+def _windows(spark: SparkSession, sf_dir: str, *how: int) -> DataFrame:
+    cut = corpus.windows(read(spark, sf_dir, "documents"), *how)
+    return cut.select("doc_id", F.col("ord").cast("int").alias("ord"), F.md5("chunk").alias("digest"), F.length("chunk").cast("long").alias("chars"))
 
 
+@query(_windows_sql(1200, 800, 400, 400))
+def chunk_1200_400(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, 1200, 800, 400, 400)
+
+
+@query(_windows_sql(600, 300, 100, 100))
+def chunk_600_300(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, 600, 300, 100, 100)
+
+
+@query()
+def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.pack_sentences(read(spark, sf_dir, "documents"))
+
+
+_MARKERS = " + ".join(f"contains(lower(text), '{m}')::INT" for m in T.PORTUGUESE)
+
+
+@query(f"SELECT doc_id, CASE WHEN {_MARKERS} >= 2 THEN 'pt' ELSE 'en' END AS language FROM documents")
+def lang_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.language(F.col("text")).alias("language"))
+
+
+def _hash_sql(seed: str, key: str) -> str:
+    return f"('0x' || substr(md5('{seed}|' || {key}), 1, 8))::BIGINT"
+
+
+_TOPIC = " ".join(f"WHEN contains(lower(text), '{t.lower()}') THEN '{t}'" for t in T.TOPICS)
+
+
+@query(f"SELECT doc_id, CASE {_TOPIC} ELSE {list(T.FALLBACK_TOPICS)}[({_hash_sql('topic', 'doc_id')} % 5)::INT + 1] END AS topic FROM documents")
+def topic_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.topic(F.col("text"), F.col("doc_id")).alias("topic"))
+
+
+@query(r"""SELECT ref, count(*)::BIGINT AS uses, count(DISTINCT doc_id)::BIGINT AS docs FROM (
+    SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b[a-z]+ [0-9]{1,3}\b')) AS ref FROM documents) GROUP BY ref""")
+def ref_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]+ [0-9]{1,3}\b"), F.lit(0))).alias("ref"))
+    return found.groupBy("ref").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("docs"))
+
+
+_SCORE = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+_TOP = f"SELECT e.vec_id, e.label, {_SCORE} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0"
+
+
+def _first_vector(e: DataFrame) -> DataFrame:
+    return e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+
+
+@query(f"{_TOP} ORDER BY score DESC, vec_id LIMIT 6")
+def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return retrieval.top_k(e, _first_vector(e), 6)
+
+
+@query(f"{_TOP} AND e.label < 3 ORDER BY score DESC, vec_id LIMIT 6")
 def topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    scored = e.where("label < 3").join(F.broadcast(q)).select("vec_id", "label", F.round(dot("embedding", "q"), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(6)
+    e = read(spark, sf_dir, "embeddings")
+    return retrieval.top_k(e.where("label < 3"), _first_vector(e), 6)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"topk_filtered": topk_filtered}
-SQL: dict[str, str] = {}
+@query(f"SELECT * FROM ({_TOP} ORDER BY score DESC, vec_id LIMIT 6) WHERE label IS NULL OR label BETWEEN 0 AND 4 ORDER BY score DESC, vec_id LIMIT 5")
+def topk_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_cosine(spark, sf_dir).where(retrieval.in_years(F.col("label"), 0, 4)).orderBy(F.desc("score"), "vec_id").limit(5)
+
+
+_KNN = f"""SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_SCORE} AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SCORE} DESC, e.vec_id) AS rank
+    FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 5"""
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return retrieval.top_k_each(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5)
+
+
+@query(f"SELECT query_id, vec_id, label, score, rank::INT AS rank FROM ({_KNN})")
+def knn_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir)
+
+
+@query(f"""SELECT query_id, label AS vote, n AS votes FROM (SELECT query_id, label, count(*) AS n, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, label) AS r
+    FROM ({_KNN}) GROUP BY query_id, label) WHERE r = 1""")
+def knn_label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _neighbours(spark, sf_dir).groupBy("query_id", "label").agg(F.count("*").alias("votes"))
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("votes"), "label"))
+    return n.withColumn("r", r).where("r = 1").select("query_id", F.col("label").alias("vote"), "votes")
+
+
+@query(f"""SELECT count(*)::BIGINT AS queries, sum(hits)::BIGINT AS hits FROM (SELECT k.query_id, count_if(k.label = q.label) AS hits
+    FROM ({_KNN}) k JOIN embeddings q ON q.vec_id = k.query_id GROUP BY k.query_id)""")
+def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    hits = _neighbours(spark, sf_dir).join(own, "query_id").groupBy("query_id").agg(F.count_if(F.col("label") == F.col("own")).alias("h"))
+    return hits.agg(F.count("*").alias("queries"), F.sum("h").alias("hits"))
+
+
+@query(f"""SELECT query_id, string_agg('[Document ' || vec_id || ' — "label ' || label || '", Volume ' || rank || ']' || chr(10) || score::DECIMAL(9, 6) || chr(10), chr(10) || chr(10) ORDER BY rank) AS context
+    FROM ({_KNN}) GROUP BY query_id""")
+def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _neighbours(spark, sf_dir).select(
+        "query_id", "rank", F.col("vec_id").alias("number"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("title"),
+        F.col("rank").alias("volume"), F.lit("").alias("reference"), F.col("score").cast("decimal(9,6)").cast("string").alias("text"),
+    )
+    return retrieval.context_blocks(rows, "query_id", "rank")
+
+
+@query("""SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) || '<|assistant|>' || chr(10) AS prompt FROM conversations
+    WHERE role IN ('system', 'user', 'assistant') GROUP BY conv_id""")
+def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.gather(read(spark, sf_dir, "conversations")).select("conv_id", chat.role_tags(F.col("messages")).alias("prompt"))
+
+
+@query("SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+def chat_chatml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.gather(read(spark, sf_dir, "conversations")).select("conv_id", chat.chatml(F.col("messages")).alias("prompt"))
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6")
+def chat_last6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.last_messages(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "role")
+
+
+_USER = "coalesce((SELECT arg_min(u.text, u.turn) FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'user'), '')"
+
+
+@query(f"SELECT DISTINCT conv_id, {_USER} AS question FROM conversations c")
+def chat_first_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.gather(read(spark, sf_dir, "conversations")).select("conv_id", chat.first_of_role(F.col("messages")).alias("question"))
+
+
+@query(f"SELECT min(conv_id) AS conv_id FROM (SELECT DISTINCT conv_id, {_USER} AS question FROM conversations c) GROUP BY question")
+def chat_dedup_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.merge(chat.gather(read(spark, sf_dir, "conversations")), "conv_id").select("conv_id")
+
+
+@query("SELECT conv_id, turn, (role = 'assistant')::INT AS weight, CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END::BIGINT AS trained_chars FROM conversations")
+def chat_loss_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("role") == "assistant"
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", own.cast("int").alias("weight"), F.when(own, F.length("text")).otherwise(0).cast("long").alias("trained_chars"))
+
+
+@query("""SELECT conv_id, turn, length(trim(text)) > 15 AND length(trim(reply)) > 40 AS valid FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS reply
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'""")
+def qa_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.question_answers(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "valid")
+
+
+@query(f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_hash_sql('42', 'doc_id')}, doc_id) <= ceil(count(*) OVER () * 0.05) THEN 'test' ELSE 'train' END AS split FROM documents""")
+def split_95_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.split(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.05)
+
+
+@query(f"SELECT doc_id, {_hash_sql('7', 'doc_id')} % 100 < 7 AS refusal FROM documents")
+def refusal_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", (T.hash32("7", F.col("doc_id")) % 100 < 7).alias("refusal"))
+
+
+@query("""SELECT d.source, count(*)::BIGINT AS judged, round(avg(nullif(l.quality, 0)), 6) AS mean_quality, round(avg(l.toxic) * 100, 6) AS toxic_rate,
+    round(avg((length(d.text) >= 500)::INT) * 100, 6) AS long_rate FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source""")
+def judge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("chars")), "doc_id")
+    return both.groupBy("source").agg(
+        F.count("*").alias("judged"), F.round(evaluation.mean_nonzero(F.col("quality")), 6).alias("mean_quality"),
+        F.round(evaluation.rate(F.col("toxic")), 6).alias("toxic_rate"), F.round(evaluation.rate(F.col("chars") >= 500), 6).alias("long_rate"),
+    )
+
+
+_AB = f"""SELECT doc_id, lang, ({_hash_sql('a', 'doc_id')} % 51) / 10.0::DOUBLE AS a, ({_hash_sql('b', 'doc_id')} % 51) / 10.0::DOUBLE AS b FROM documents"""
+
+
+@query(f"""SELECT lang, round(avg(nullif(a, 0)), 6) AS mean_a, round(avg(nullif(b, 0)), 6) AS mean_b, round(avg(nullif(b, 0)) - avg(nullif(a, 0)), 6) AS delta,
+    count_if(b - a >= 0.1) AS wins, count_if(b - a <= -0.1) AS losses, count_if(abs(b - a) < 0.1) AS ties FROM ({_AB}) GROUP BY lang""")
+def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = lambda s: docs.select("doc_id", "lang", ((T.hash32(s, F.col("doc_id")) % 51) / F.lit(10.0)).alias("score"))
+    return evaluation.compare(scored("a"), scored("b"), "doc_id", "lang")
+
+
+@query(f"""SELECT lang, round(exp(sum((1 + {_hash_sql('loss', 'doc_id')} % 200 / 100.0::DOUBLE) * least(n_chars, 2048)) / sum(least(n_chars, 2048))), 6) AS perplexity FROM documents GROUP BY lang""")
+def weighted_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loss = 1 + (T.hash32("loss", F.col("doc_id")) % 200) / F.lit(100.0)
+    tokens = F.least("n_chars", F.lit(2048))
+    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.round(evaluation.perplexity(loss, tokens), 6).alias("perplexity"))
+
+
+@query("""SELECT conv_id, turn, contains(text, 'the') AND contains(text, conv_id::VARCHAR) AS has_citations,
+    contains(lower(text), 'do not find') OR contains(lower(text), 'not addressed') OR contains(lower(text), 'insufficient') AS admits_limitation FROM conversations WHERE role = 'assistant'""")
+def heuristics_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return answers.select("conv_id", "turn", evaluation.has_citations(F.col("text"), F.array("conv_id"), "the").alias("has_citations"), evaluation.admits_limitation(F.col("text")).alias("admits_limitation"))
+
+
+@query("""SELECT u.event_id, u.user_id, count(*)::BIGINT AS used FROM events u JOIN events e ON e.user_id = u.user_id AND e.ts <= u.ts AND e.ts >= u.ts - INTERVAL 1 HOUR GROUP BY u.event_id, u.user_id""")
+def usage_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limiter.usage(read(spark, sf_dir, "events"))
+
+
+@query()
+def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limiter.admit(read(spark, sf_dir, "events"))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limiter.event_windows(read(spark, sf_dir, "events"))
+
+
+@query("""SELECT doc_id, (sum(t) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - t) // 2048 AS bin FROM (SELECT doc_id, ceil(length(text) * 0.2374)::BIGINT AS t FROM documents)""")
+def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2048 estimated tokens in id order; prefix sums run over ranges of ids first."""
+    t = F.ceil(F.length("text") * F.lit(0.2374)).cast("long")
+    docs = read(spark, sf_dir, "documents").select("doc_id", t.alias("t"), F.floor(F.col("doc_id") / 512).alias("part"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = docs.groupBy("part").agg(F.sum("t").alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = docs.withColumn("w", F.coalesce(F.sum("t").over(within), F.lit(0))).join(sums, "part")
+    return placed.select("doc_id", F.floor((F.col("ahead") + F.col("w")) / 2048).cast("long").alias("bin"))
+
+
+@query("""SELECT doc_id, (len(text) - len(replace(text, 'the', ''))) // 3 AS hits, ceil(length(text) * 0.2374)::BIGINT AS tokens FROM documents""")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("the")).cast("long").alias("hits"), F.ceil(F.length("text") * F.lit(0.2374)).cast("long").alias("tokens"))
+
+
+@query("""SELECT c.c_mktsegment, n.n_name, count(*) AS orders, sum(CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18, 2)))::DOUBLE AS revenue FROM lineitem l
+    JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
+    WHERE l.l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY 1, 2""")
+def segment_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = read(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1995-01-01'")
+    joined = line.join(read(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    joined = joined.join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return joined.groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("orders"), F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,2)")).cast("double").alias("revenue"))
