@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -39,7 +40,7 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """HTML character references decoded; no built-in knows them all."""
     return s.map(lambda x: x if x is None else html.unescape(x))

@@ -327,11 +327,11 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("the")).cast("long").alias("hits"), F.ceil(F.length("text") * F.lit(0.2374)).cast("long").alias("tokens"))
 
 
-@query("""SELECT c.c_mktsegment, n.n_name, count(*) AS orders, sum(CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18, 2)))::DOUBLE AS revenue FROM lineitem l
+@query("""SELECT c.c_mktsegment, n.n_name, count(*) AS orders, sum(l.l_extendedprice::DECIMAL(12, 2) * (1 - l.l_discount::DECIMAL(4, 2)))::DOUBLE AS revenue FROM lineitem l
     JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
     WHERE l.l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY 1, 2""")
 def segment_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1995-01-01'")
     joined = line.join(read(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     joined = joined.join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    return joined.groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("orders"), F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,2)")).cast("double").alias("revenue"))
+    return joined.groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("orders"), F.sum(F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("double").alias("revenue"))
