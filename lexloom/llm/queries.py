@@ -12,6 +12,7 @@ from .html_text import extract_text
 from .langid import identify
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .oracle import MIX_SOURCES, QUALITY_RULES
 from .pii import find_spans
 from .quality_rules import annotate_quality
 from .toxicity import toxicity
@@ -71,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_quality_rules": QUALITY_RULES, "op10_mix_sources": MIX_SOURCES}
