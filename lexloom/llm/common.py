@@ -58,3 +58,12 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df from reliable files in the shared folder, so that what follows doesn't run its plan again."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """An aggregate behind an exchange of its own.
+
+    A join right on an aggregate runs in the aggregate's stage, where hot keys of the
+    other side can't be split; with an exchange on either side they can.
+    """
+    return df.hint("rebalance")

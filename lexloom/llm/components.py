@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import apart, cut
 
 
 def _hook(links: DataFrame, large: bool) -> DataFrame:
@@ -20,7 +20,7 @@ def _hook(links: DataFrame, large: bool) -> DataFrame:
     else:
         both = links
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+    joined = both.join(apart(least), "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

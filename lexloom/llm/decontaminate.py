@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: The part of a walk that is sampled: a text is used up in about two of the three steps a character, and padding follows.
+REACH = 0.6
 SCHEMA = "item_id long, start long, length long, distance long"
 
 
@@ -84,8 +86,7 @@ class Tables:
     def __post_init__(self) -> None:
         rng = np.random.default_rng(self.seed)
         self.advance = rng.integers(0, 2, size=(self.walks, 3 * self.longest, 256), dtype=np.uint8)
-        # a walk uses a text up in about two steps a character; samples stay ahead of what pads it
-        self.at = rng.random((self.walks, self.tables, self.bits)) * 0.6
+        self.at = rng.random((self.walks, self.tables, self.bits)) * REACH
         self.odd = rng.integers(1, 2**62, size=self.bits, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def keys(self, code: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -93,7 +94,7 @@ class Tables:
         out = np.empty((len(start), self.walks * self.tables), np.uint64)
         if not len(start):
             return out
-        steps, last = 3 * int(length.max()), len(code) - 1
+        steps, last = int(REACH * 3 * length.max()) + 1, len(code) - 1
         walked = np.empty((steps, len(start)), np.uint8)
         mine = np.arange(len(start))[:, None]
         for w in range(self.walks):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import apart, cut
 from .components import components
 
 RING_BITS = 20
@@ -206,14 +206,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int
     signed = cut(_signed(docs, size, bands, rows))
     whole = signed.where("n > 0 AND doc_id IS NOT NULL")
     same = whole.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    member = cut(whole.join(same, ["n", "k1", "k2"]).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
+    member = cut(whole.join(apart(same), ["n", "k1", "k2"]).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
     entry = member.where("bands IS NOT NULL").select("rep", "n", F.explode("bands").alias("key"))
 
     # a bucket's pivot is its first member in one of a few random orders, so that a group of two or three
     # copies makes few pairs and a large one is tied together by many pivots
     turn = F.xxhash64("rep", F.pmod("key", F.lit(orders)))
     pivot = entry.groupBy("key").agg(F.min(F.struct(turn.alias("h"), "rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    shared = entry.join(pivot, "key").select("rep", "n", "p")
+    shared = entry.join(apart(pivot), "key").select("rep", "n", "p")
     pairs = shared.where(F.col("rep") != F.col("p.rep")).select(
         F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"), _alike(F.col("n"), F.col("p.n"), percent).alias("alike")
     )

@@ -2,7 +2,7 @@
 
 The lexicon holds words and word beginnings that are much likelier in toxic than in
 other labelled documents. It is a trie; a word's Levenshtein automaton (rows of edit
-distances) walks the trie and so finds terms within one edit, or two for long terms.
+distances) walks the trie and so finds longer terms within one edit.
 Words that clean documents use are no misspellings. Each hit is weighed by its
 context: less inside a quotation, more with other hits within a window of words. Two
 weights and an offset turn the sums into a probability.
@@ -41,10 +41,15 @@ class Trie:
         self.starts = {t[:-1] for t in weights if t.endswith("*")}
         self.weights = weights
         self.lengths = sorted({len(t) for t in self.starts})
-        self.heads = {t[: len(t) // 2] for t in self.whole if len(t) >= 5} | {t[: len(t) // 2] for t in self.starts if len(t) >= 6}
-        self.tails = {t[len(t) // 2 :] for t in self.whole if len(t) >= 5}
-        self.mids = {t[len(t) // 2 :] for t in self.starts if len(t) >= 6}
-        self.spans = sorted({len(x) for x in self.heads | self.tails | self.mids})
+        # one edit leaves the first or the second half of a term whole, the second perhaps moved by one place
+        halves: dict[tuple[int, int], set[str]] = {}
+        for t in weights:
+            word, n = t.rstrip("*"), len(t.rstrip("*"))
+            if self.edits(t):
+                halves.setdefault((0, n // 2), set()).add(word[: n // 2])
+                for at in (n // 2 - 1, n // 2, n // 2 + 1):
+                    halves.setdefault((at, at + n - n // 2), set()).add(word[n // 2 :])
+        self.halves = sorted((a, b, frozenset(x)) for (a, b), x in halves.items())
         for t in weights:
             node = self.root
             for c in t:
@@ -54,12 +59,12 @@ class Trie:
 
     def edits(self, term: str) -> int:
         n = len(term.rstrip("*"))
-        return 0 if n < (6 if term.endswith("*") else 5) else 2 if n >= 10 else 1
+        return int(n >= (6 if term.endswith("*") else 5))
 
     def find(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the nearest term, heavier ones first among equals."""
         if word not in self.known:
-            if len(self.known) > 500_000:
+            if len(self.known) > 1_000_000:
                 self.known.clear()
             self.known[word] = self._find(word)
         return self.known[word]
@@ -69,8 +74,7 @@ class Trie:
         exact += [word[:n] + "*" for n in self.lengths if word[:n] in self.starts]
         if exact:
             return max(exact, key=lambda t: (self.weights[t], t)), 0
-        # one edit leaves the first or the second half of a term whole
-        if len(word) < 4 or not (len(word) >= 9 or any(word[:n] in self.heads or word[-n:] in self.tails or any(word[i : i + n] in self.mids for i in (1, 2, 3, 4, 5)) for n in self.spans)):
+        if len(word) < 4 or not any(word[a:b] in x for a, b, x in self.halves):
             return None
         best: tuple[int, float, str] | None = None
         stack = [(self.root, list(range(len(word) + 1)))]
@@ -87,7 +91,7 @@ class Trie:
                     new = [row[0] + 1]
                     for i, w in enumerate(word, 1):
                         new.append(min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (w != c)))
-                    if min(new) > 2:
+                    if min(new) > 1:
                         continue
                     stack.append((child, new))
                     if "" not in child:

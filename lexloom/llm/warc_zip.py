@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir
+from .common import apart, ensure_checkpoint_dir
 
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 _DATE = "2024-01-01T00:00:00Z"  # captures carry no time of their own
@@ -140,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     again = base.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c"))
-    typed = base.join(again.where("c > 1").select("digest", "first"), "digest", "left")
+    typed = base.join(apart(again.where("c > 1").select("digest", "first")), "digest", "left")
     typed = typed.select("page_id", "url", "html", F.when(F.octet_length("html") >= least_bytes, F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
