@@ -49,8 +49,12 @@ def test_shortened_hashes_that_collide_fall_back(spark, monkeypatch):
 
 
 def test_filter_keeps_prose_and_columns(spark, frame):
-    prose = "\n".join(" ".join("abcdefghij"[(i * 7 + k * 3) % 10] * 2 + "xyz"[k % 3] + "klmnop"[(i + k) % 6] for k in range(9)) + "." for i in range(12))
-    docs = frame([prose, prose.upper().replace(".", "!!"), "| ".join(f"cell{i}" for i in range(90)), "again " * 90, None])
+    looped = "\n".join(" ".join("abcdefghij"[(i * 7 + k * 3) % 10] * 2 + "xyz"[k % 3] + "klmnop"[(i + k) % 6] for k in range(9)) + "." for i in range(12))
+    n, *_, repeated = brute(looped)
+    assert 100 * repeated > 50 * n  # its lines come back shifted, so the base rule rejects it
+    prose = "\n".join(" ".join("abcdefghij"[i] + "".join("klmnopqrst"[int(c)] for c in str(100 + 9 * i + k)) for k in range(9)) + "." for i in range(10))
+    assert brute(prose)[4] == 0
+    docs = frame([prose, prose.upper().replace(".", "!!"), "| ".join(f"cell{i}" for i in range(90)), "again " * 90, None, looped])
     kept = Q.filter_quality(docs)
     assert kept.columns == docs.columns
     assert [r["doc_id"] for r in kept.collect()] == [1]
