@@ -16,7 +16,7 @@ def _hook(links: DataFrame, large: bool) -> DataFrame:
     before the shuffle, so a node with very many links doesn't gather in one task.
     """
     if large:
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
     else:
         both = links
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -25,7 +25,7 @@ def _hook(links: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -39,7 +39,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = state(now)
     while seen[0]:
-        now = cut(_hook(_hook(now, True), False))
+        now = cut(_hook(_hook(now, True), False).distinct())  # a large star has no more rows than links
         if (found := state(now)) == seen:
             break
         seen = found

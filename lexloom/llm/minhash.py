@@ -218,18 +218,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int
         F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"), _alike(F.col("n"), F.col("p.n"), percent).alias("alike")
     )
     pairs = cut(pairs.distinct())
-    group = cut(components(pairs, "a", "b"))
-    sets = cut(_sets(docs.select("doc_id", "text").join(group.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), size))
-    links = _links(pairs.where("alike"), sets, percent)
-    comp = components(links, "a", "b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = cut(_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi"), size))
+    comp = components(_links(pairs.where("alike"), sets, percent), "a", "b")
 
-    # groups of documents that share buckets but lie in several components
+    # components that still share buckets make groups; only their members are compared further
+    def of_components(links: DataFrame) -> DataFrame:
+        of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"{end}c"))
+        return links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+
+    group = components(of_components(pairs), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("group"))
     known = member.where("bands IS NOT NULL").select(F.col("rep").alias("node"), "n").distinct()
-    placed = group.withColumnRenamed("component", "group").join(known, "node").join(comp, "node", "left")
-    links = links.union(_links_in_groups(placed.withColumn("component", F.coalesce("component", "node")), sets, percent))
-    comp = cut(components(links, "a", "b"))
+    placed = known.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(group, "component")
+    more = _links_in_groups(placed.select("node", "n", "group", "component"), sets, percent)
+    tied = components(of_components(more), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("least"))
 
     placed = member.select("doc_id", "n", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    placed = placed.withColumn("component", F.coalesce("component", "rep")).join(tied, "component", "left")
+    placed = placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "component").alias("component_id"))
     alone = signed.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return placed.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
