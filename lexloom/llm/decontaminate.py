@@ -5,8 +5,11 @@ character of the item. An item cut into one more piece than it may have edits ke
 at least one piece whole, so windows of the item's size are laid around every
 occurrence of a piece. Windows and items are embedded by CGK random walks, which turn
 few edits into few differing positions; samples of positions are hashed, in as many
-tables as a simulation on the items themselves needs for the target recall. Windows
-that meet an item in a table are confirmed by the exact edit distance.
+tables as a simulation on the items of a length class needs for the target recall.
+Windows that meet an item in a table are confirmed by the exact edit distance. Where
+tables don't reach the recall, as for long items, all windows of the class are: those
+of an item that overlap are read as one, and only parts are compared that share as many
+short runs of characters with the item as the allowed edits must leave.
 
 Texts are compared lower-cased with white space collapsed. Null, blank and very
 short texts hold no item; null or blank items are never found. Repeated rows each
@@ -31,6 +34,8 @@ from .common import cut
 
 #: The part of a walk that is sampled: a text is used up in about two of the three steps a character, and padding follows.
 REACH = 0.6
+#: Characters of the runs that are counted before an exact distance; a number of 32 bits holds them.
+GRAM = 4
 SCHEMA = "item_id long, start long, length long, distance long"
 
 
@@ -117,6 +122,14 @@ def encode(text: str) -> np.ndarray:
     return (code % 255 + 1).astype(np.uint8)
 
 
+def grams(code: np.ndarray) -> np.ndarray:
+    """The runs of GRAM characters, as numbers; at the end of the code there are fewer."""
+    if len(code) < GRAM:
+        return np.empty(0, np.uint32)
+    runs = np.lib.stride_tricks.sliding_window_view(code, GRAM)
+    return np.ascontiguousarray(runs).view(np.uint32)[:, 0]
+
+
 def lay_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code of all texts in a row, with start and length of each."""
     length = np.array([len(t) for t in texts], np.int64)
@@ -137,98 +150,162 @@ def _mutate(item: str, edits: int, rng: np.random.Generator) -> str:
     return "".join(out)
 
 
-def plan_tables(items: list[str], ratio: float, recall: float, bits: int = 4, walks: int = 4, most: int = 96) -> Tables:
-    """Tables for the recall, as simulated with the allowed edits on a sample of the items."""
-    longest = max(map(len, items))
-    rng = np.random.default_rng(5)
-    trial = Tables(walks, most // walks, bits, longest)
-    chosen = [items[i] for i in rng.permutation(len(items))[:60]]
-    changed = [(_mutate(x, max(1, allowed(len(x), ratio)), rng) + " " * len(x))[: len(x)] for x in chosen]
-    met = (trial.keys(*lay_out(chosen)) == trial.keys(*lay_out(changed))).reshape(len(chosen), walks, -1)
-    for tables in range(1, most // walks + 1):
-        if met[:, :, :tables].any(axis=(1, 2)).mean() >= recall:
-            return Tables(walks, min(most // walks, 2 * tables), bits, longest)  # twice, as the simulation is a sample
-    return trial
+def size_class(length: int) -> int:
+    """Items of a class differ in length by a factor of about 1.4 at most."""
+    return int(2 * math.log2(length))
+
+
+def plan_tables(items: list[str], ratio: float, recall: float, bits: int = 4, walks: int = 4, most: int = 96, trials: int = 200) -> dict[int, Tables | None]:
+    """Tables of each length class for the recall, as simulated with the allowed edits on its items.
+
+    None stands for a class whose recall isn't met by ``most`` tables; as recall falls with
+    length, longer classes aren't tried then. Their windows are all confirmed.
+    """
+    classes: dict[int, list[str]] = {}
+    for x in items:
+        classes.setdefault(size_class(len(x)), []).append(x)
+    plan: dict[int, Tables | None] = {}
+    for kind, own in sorted(classes.items()):
+        plan[kind] = None
+        if None in list(plan.values())[:-1]:
+            continue
+        longest = max(map(len, own))
+        rng = np.random.default_rng(5)
+        trial = Tables(walks, most // walks, bits, longest)
+        order = rng.permutation(len(own))
+        chosen = [own[order[i % len(own)]] for i in range(trials)]
+        changed = [(_mutate(x, max(1, allowed(len(x), ratio)), rng) + " " * len(x))[: len(x)] for x in chosen]
+        met = (trial.keys(*lay_out(chosen)) == trial.keys(*lay_out(changed))).reshape(len(chosen), walks, -1)
+        for tables in range(1, most // walks + 1):
+            if met[:, :, :tables].any(axis=(1, 2)).mean() >= recall:
+                plan[kind] = Tables(walks, min(most // walks, 2 * tables), bits, longest)  # twice, as the simulation is a sample
+                break
+    return plan
 
 
 _searchers: dict[str, Searcher] = {}
 
 
-def searcher(token: str, rows: list[tuple[int, str]], ratio: float, tables: Tables) -> Searcher:
+def searcher(token: str, rows: list[tuple[int, str]], ratio: float, plan: dict[int, Tables | None]) -> Searcher:
     """One for a Python worker, which may run many tasks."""
     if token not in _searchers:
         _searchers.clear()
-        _searchers[token] = Searcher(rows, ratio, tables)
+        _searchers[token] = Searcher(rows, ratio, plan)
     return _searchers[token]
 
 
 class Searcher:
     """Finds one block of items in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], ratio: float, tables: Tables) -> None:
-        self.items, self.ratio, self.tables = items, ratio, tables
+    def __init__(self, items: list[tuple[int, str]], ratio: float, plan: dict[int, Tables | None]) -> None:
+        self.items, self.ratio, self.plan = items, ratio, plan
         self.seeds = ahocorasick.Automaton()
-        where: dict[str, set[tuple[int, int]]] = {}
-        for _, text in items:
+        where: dict[str, tuple[set[tuple[int, int]], set[tuple[int, int]]]] = {}
+        for i, (_, text) in enumerate(items):
+            whole = plan[size_class(len(text))] is None
             for offset, piece in pieces(text, ratio):
-                where.setdefault(piece, set()).add((offset, len(text)))
-        for piece, places in where.items():
-            self.seeds.add_word(piece, (len(piece), tuple(places)))
+                where.setdefault(piece, (set(), set()))[whole].add((offset, i if whole else len(text)))
+        for piece, (hashed, whole) in where.items():
+            self.seeds.add_word(piece, (len(piece), tuple(hashed), tuple(whole)))
         if where:
             self.seeds.make_automaton()
-        self.by_key: dict[tuple[int, int], list[int]] = {}
-        keys = tables.keys(*lay_out([t for _, t in items]))
-        for i, row in enumerate(keys.tolist()):
-            for t, key in enumerate(row):
-                self.by_key.setdefault((t, key), []).append(i)
-        self.known = [np.unique(keys[:, t]) for t in range(keys.shape[1])]
+        self.grams = {i: np.unique(grams(encode(t))) for i, (_, t) in enumerate(items) if plan[size_class(len(t))] is None}
+        self.by_key: dict[tuple[int, int, int], list[int]] = {}
+        self.known: dict[int, list[np.ndarray]] = {}
+        for kind, tables in plan.items():
+            if tables is None:
+                continue
+            own = [i for i, (_, t) in enumerate(items) if size_class(len(t)) == kind]
+            keys = tables.keys(*lay_out([items[i][1] for i in own]))
+            for i, row in zip(own, keys.tolist(), strict=True):
+                for t, key in enumerate(row):
+                    self.by_key.setdefault((kind, t, key), []).append(i)
+            self.known[kind] = [np.unique(keys[:, t]) for t in range(keys.shape[1])]
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """(item_id, start, length, distance) of each text, positions in the normalised text."""
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         if not self.items:
             return out
-        laid: set[tuple[int, int, int]] = set()
+        laid: dict[int, set[tuple[int, int, int]]] = {}
+        around: dict[tuple[int, int], set[int]] = {}
         base = []
         at = 0
         for d, text in enumerate(texts):
             base.append(at)
-            for end, (n, places) in self.seeds.iter(text):
-                for offset, length in places:
+            for end, (n, hashed, whole) in self.seeds.iter(text):
+                for offset, length in hashed:
                     start = max(0, end + 1 - n - offset)
-                    if len(text) - start >= length * (1 - self.ratio):
-                        laid.add((d, start, length))
+                    if len(text) - start >= length - allowed(length, self.ratio):
+                        laid.setdefault(size_class(length), set()).add((d, start, length))
+                for offset, item in whole:
+                    around.setdefault((d, item), set()).add(max(0, end + 1 - n - offset))
             at += len(text) + 1
-        if not laid:
+        if not laid and not around:
             return out
         code = encode("\0".join(texts))
-        windows = sorted(laid)
-        candidates: set[tuple[int, int, int]] = set()
-        for i in range(0, len(windows), 50_000):
-            part = np.array(windows[i : i + 50_000], np.int64)
-            start = np.array(base)[part[:, 0]] + part[:, 1]
-            keys = self.tables.keys(code, start, part[:, 2])
-            for t, known in enumerate(self.known):
-                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, keys[:, t]), len(known) - 1)] == keys[:, t])
-                for w, key in zip(hit.tolist(), keys[hit, t].tolist(), strict=True):
-                    for item in self.by_key[(t, key)]:
-                        candidates.add((int(part[w, 0]), item, int(part[w, 1])))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, item, start in sorted(candidates):
-            item_id, text = self.items[item]
-            k = allowed(len(text), self.ratio)
-            if best.get((d, item), (k + 1,))[0] == 0:
-                continue
-            low = max(0, start - k)
-            stretch = texts[d][low : start + len(text) + k]
-            distance, end = infix_distance(text, stretch)
-            if distance <= k and distance < best.get((d, item), (k + 1,))[0]:
-                back, length = infix_distance(text[::-1], stretch[:end][::-1])
-                best[(d, item)] = (distance, low + end - length, length)
-        for (d, item), (distance, start, length) in sorted(best.items()):
-            out[d].append((self.items[item][0], start, length, distance))
+        for d, item, start in self._candidates(code, base, laid):
+            around.setdefault((d, item), set()).add(start)
+        gram = grams(code) if self.grams else code
+        for (d, item), starts in sorted(around.items()):
+            if found := self._nearest(item, sorted(starts), texts[d], gram[base[d] : base[d] + len(texts[d])]):
+                out[d].append((self.items[item][0], *found))
         return out
 
+    def _candidates(self, code: np.ndarray, base: list[int], laid: dict[int, set[tuple[int, int, int]]]) -> set[tuple[int, int, int]]:
+        """(text, item, start) of the windows that meet an item in a table of their class."""
+        found: set[tuple[int, int, int]] = set()
+        for kind, own in laid.items():
+            windows = sorted(own)
+            for i in range(0, len(windows), 50_000):
+                part = np.array(windows[i : i + 50_000], np.int64)
+                start = np.array(base)[part[:, 0]] + part[:, 1]
+                keys = self.plan[kind].keys(code, start, part[:, 2])
+                for t, known in enumerate(self.known[kind]):
+                    hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, keys[:, t]), len(known) - 1)] == keys[:, t])
+                    for w, key in zip(hit.tolist(), keys[hit, t].tolist(), strict=True):
+                        for item in self.by_key[(kind, t, key)]:
+                            found.add((int(part[w, 0]), item, int(part[w, 1])))
+        return found
+
+    def _nearest(self, item: int, starts: list[int], text: str, gram: np.ndarray) -> tuple[int, int, int] | None:
+        """(start, length, distance) of the nearest stretch around the starts, of which those that overlap are read as one."""
+        own = self.items[item][1]
+        k = allowed(len(own), self.ratio)
+        stretches: list[list[int]] = []
+        for start in starts:
+            low, high = max(0, start - k), min(len(text), start + len(own) + k)
+            if stretches and low <= stretches[-1][1]:
+                stretches[-1][1] = high
+            else:
+                stretches.append([low, high])
+        best: tuple[int, int, int] | None = None
+        for low, high in stretches:
+            if item in self.grams:
+                low, high = self._alike(item, k, gram, low, high)  # noqa: PLW2901
+            if high - low < len(own) - k or (best and best[2] == 0):
+                continue
+            stretch = text[low:high]
+            distance, end = infix_distance(own, stretch)
+            if distance <= k and (best is None or distance < best[2]):
+                back, length = infix_distance(own[::-1], stretch[:end][::-1])
+                best = (low + end - length, length, distance)
+        return best
+
+    def _alike(self, item: int, k: int, gram: np.ndarray, low: int, high: int) -> tuple[int, int]:
+        """The part of a stretch that can hold the item: an edit changes GRAM of its runs of GRAM characters at most."""
+        n = len(self.items[item][1])
+        least, width = n - GRAM + 1 - GRAM * k, n + k - GRAM + 1
+        own, here = self.grams[item], gram[low : max(low, high - GRAM + 1)]
+        if least <= 0 or not len(own):
+            return low, high
+        if not len(here):
+            return low, low
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(own[np.minimum(np.searchsorted(own, here), len(own) - 1)] == here)])
+        width = min(width, len(here))
+        enough = np.flatnonzero(total[width:] - total[:-width] >= least)
+        return (low + int(enough[0]), low + int(enough[-1]) + width + GRAM - 1) if len(enough) else (low, low)
+
 
 def find_items(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.1, recall: float = 0.99, block: int = 20_000) -> DataFrame:
     """doc_id, item_id, start, length and distance of every item found in a document.
