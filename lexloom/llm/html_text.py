@@ -15,12 +15,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<svg\b(?:[^>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+/>"
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select|object)\b.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-z][a-z0-9:-]*)(?P<attrs2>[^<>]*+)(?:>|\Z)"
@@ -35,15 +37,28 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset("head title nav footer aside form button dialog menu".split())
 _OPEN_ENDED = frozenset("p li dd dt td th tr option".split())
+_CONTAINERS = frozenset("div section aside nav ul ol dl dir menu table header footer form details dialog fieldset figure".split())
 _HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
     r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|replies|related|recommend\w*|share|sharing|social|footer|"
-    r"masthead|topbar|widget|skip|login|signup|search)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"masthead|topbar|widget|skip|login|signup|search"
 )
-_ATTR = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_ROLE = re.compile(r"""\brole\s*=\s*["']?(?:navigation|banner|complementary|contentinfo|search|form|dialog|alert|menu)\b""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\bhidden(?=$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+#: Words that say of a hint only where or what kind of element it is.
+_LAYOUT = re.compile(
+    r"site|page|global|main|primary|secondary|top|bottom|left|right|sticky|fixed|js|box|wrapper|wrap|container|holder|inner|outer|bar|block|"
+    r"section|area|panel|pane|region|slot|unit|list|items?|links?|buttons?|btns?|icons?|form|posts|articles|stories|thread|to|content|\d+(?:x\d+)?"
+)
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?""")
+_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu".split())
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+
+
+@lru_cache(maxsize=100_000)
+def _hinted(name: str) -> bool:
+    """Whether a class name or id as a whole says boilerplate: words of hints, and of layout beside them."""
+    words = [w for w in re.split(r"[-_]+", name.lower()) if w]
+    hints = [bool(_HINT.fullmatch(w)) for w in words]
+    return any(hints) and all(h or _LAYOUT.fullmatch(w) for h, w in zip(hints, words, strict=True))
 
 
 def _boilerplate(name: str, attrs: str, within: bool) -> bool:
@@ -51,9 +66,15 @@ def _boilerplate(name: str, attrs: str, within: bool) -> bool:
         return True
     if not attrs or name in ("html", "body", "article", "main"):
         return False
-    if _ROLE.search(attrs) or _HIDDEN.search(attrs):
-        return True
-    return any(_HINT.search(a or b or c) for a, b, c in _ATTR.findall(attrs))
+    for key, *values in _ATTR.findall(attrs):
+        key, value = key.lower(), "".join(values)  # noqa: PLW2901
+        if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and _NO_DISPLAY.search(value)):
+            return True
+        if key == "role" and not _ROLES.isdisjoint(value.lower().split()):
+            return True
+        if (key == "class" or (key == "id" and name in _CONTAINERS)) and any(map(_hinted, value.split())):
+            return True
+    return False
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
