@@ -4,7 +4,8 @@ Spans of fixed form (email, ip, card, phone) are the seeds. The words around a s
 are lexical patterns. Patterns and the identifiers seen in them make a graph: a
 pattern scores by the share of its occurrences that are believed to be of a kind, an
 identifier by its best patterns, and both are scored again for a few rounds. Tokens
-with the digits of a kind that stand in patterns of high score are new spans.
+with a digit or an @, and runs of several digit groups, are new spans where they look
+like a kind and stand in patterns of high score for it.
 
 Positions are code points, ends exclusive. Null and blank texts have no spans. Rows
 with equal id and text get the same spans; ids may be null. Tables without a seed
@@ -30,7 +31,9 @@ FORMS = {
 }
 #: What a text must hold for the form to be worth a search.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-TOKEN = rf"(?<![^{_S}])[^{_S}0-9]*+[0-9][^{_S}]*+"
+TOKEN = rf"(?<![^{_S}])[^{_S}0-9@]*+[0-9@][^{_S}]*+"
+#: Digit groups joined by spaces, brackets, dots or hyphens, as long as they go on.
+RUN = r"(?<![0-9A-Za-z])(?:\((?=[0-9]++\)))?+[0-9]++(?:[\x20\x09.()-]++[0-9]++)++"
 OCCURRENCE = "array<struct<start:bigint,stop:bigint,token:string,l1:string,l2:string,r1:string>>"
 
 
@@ -123,15 +126,18 @@ def _looks(kind: str, token: Column) -> Column:
     if kind == "email":
         return F.contains(token, F.lit("@"))
     if kind == "ip":
-        return token.rlike(r"[0-9a-fA-F]+([.:][0-9a-fA-F]*){3,}")
+        return token.rlike(r"[0-9a-fA-F]+([.:][0-9a-fA-F]*){3,}") & ~token.rlike(rf"[{_S}]")
     return n.between(13, 19) if kind == "card" else n.between(7, 15)
 
 
 def _seen(docs: DataFrame) -> DataFrame:
-    """row, doc_id, the seeds of each kind and other tokens with digits."""
+    """row, doc_id, the seeds of each kind, and other tokens with digits or @ and runs of digit groups of several words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.when(text.rlike("[0-9]{1}"), occurrences(text, TOKEN)).otherwise(F.array().cast(OCCURRENCE))
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), *[seeds(text, k).alias(k) for k in KINDS], tokens.alias("other"))
+    tokens = F.when(text.rlike("[0-9@]{1}"), occurrences(text, TOKEN)).otherwise(F.array().cast(OCCURRENCE))
+    # runs with fewer or more digits are of no kind
+    spaced = lambda x: x["token"].rlike(rf"[{_S}]") & F.length(_digits(x["token"])).between(7, 19)
+    runs = F.when(text.rlike(r"[0-9][.()-]*[\x20\x09][\x20\x09.()-]*[0-9]"), F.filter(occurrences(text, RUN), spaced)).otherwise(F.array().cast(OCCURRENCE))
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), *[seeds(text, k).alias(k) for k in KINDS], F.concat(tokens, runs).alias("other"))
 
 
 def discover(seen: DataFrame, rounds: int = 3, least_score: float = 0.8, least_seeds: int = 3) -> DataFrame:
