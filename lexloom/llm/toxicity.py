@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -103,12 +104,20 @@ class Trie:
         return (best[2], best[0]) if best else None
 
 
-def _quoted(line: str, at: int) -> bool:
-    before = line[:at]
-    if before.count('"') % 2 and '"' in line[at:]:
-        return True
-    depth = sum(before.count(c) for c in _OPENING) - sum(before.count(c) for c in _CLOSING)
-    return depth > 0 and any(c in line[at:] for c in _CLOSING)
+class _Quotation:
+    """Marks of one whole line, read once, with what stands before each."""
+
+    def __init__(self, line: str) -> None:
+        self.at, self.before, now = [], [(0, 0, 0)], (0, 0, 0)  # straight marks, depth, closing marks
+        for m in re.finditer(f'["{_OPENING}{_CLOSING}]', line):
+            opens, closes = m[0] in _OPENING, m[0] in _CLOSING
+            now = (now[0] + (m[0] == '"'), now[1] + opens - closes, now[2] + closes)
+            self.at.append(m.start())
+            self.before.append(now)
+
+    def holds(self, at: int) -> bool:
+        (straight, depth, closing), last = self.before[bisect_left(self.at, at)], self.before[-1]
+        return (straight % 2 == 1 and last[0] > straight) or (depth > 0 and last[2] > closing)
 
 
 def hits(text: str | None, trie: Trie, window: int = 10) -> list[tuple[str, str, int, bool, int]]:
@@ -116,18 +125,25 @@ def hits(text: str | None, trie: Trie, window: int = 10) -> list[tuple[str, str,
     low = (text or "").lower()
     if not any(trie.find(w) for w in set(_WORD.findall(low))):
         return []
-    found = []
+    found, line, end = [], None, -1
     for i, m in enumerate(_WORD.finditer(low)):
         if hit := trie.find(m[0]):
-            start = low.rfind("\n", 0, m.start()) + 1
-            end = low.find("\n", m.end())
-            line = low[max(start, m.start() - 2000) : min(len(low) if end < 0 else end, m.end() + 2000)]
-            found.append((i, m[0], *hit, _quoted(line, m.start() - max(start, m.start() - 2000))))
+            if m.start() >= end:
+                start = low.rfind("\n", 0, m.start()) + 1
+                end = low.find("\n", m.end())
+                end = len(low) if end < 0 else end
+                line = _Quotation(low[start:end])
+            found.append((i, m[0], *hit, line.holds(m.start() - start)))
     at = np.array([x[0] for x in found])
     near = np.searchsorted(at, at + window, "right") - np.searchsorted(at, at - window, "left") - 1
     return [(*x[1:], int(n)) for x, n in zip(found, near, strict=True)]
 
 
+def gathered(found: list) -> list[tuple[str, str, int, bool, int, int]]:
+    """All hits, those that weigh the same as one with their number."""
+    return [(*h, n) for h, n in sorted(Counter((*h[:4], int(h[4] > 0)) for h in found).items())]
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -140,10 +156,10 @@ class Model:
 
     def sums(self, found: list) -> tuple[float, float]:
         exact = fuzzy = 0.0
-        for word, term, edits, quoted, near in found:
+        for word, term, edits, quoted, near, *n in found:
             if edits and word in self.clean:
                 continue
-            value = (self.fuzzy if edits else self.weights)[term] * (self.quotation if quoted else 1.0) * (self.company if near else 1.0)
+            value = (self.fuzzy if edits else self.weights)[term] * (self.quotation if quoted else 1.0) * (self.company if near else 1.0) * (n[0] if n else 1)
             if edits:
                 fuzzy += value
             else:
@@ -224,12 +240,12 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(trie_of.value)
-        kind = pa.list_(pa.struct([("word", pa.string()), ("term", pa.string()), ("edits", pa.int64()), ("quoted", pa.bool_()), ("near", pa.int64())]))
+        kind = pa.list_(pa.struct([("word", pa.string()), ("term", pa.string()), ("edits", pa.int64()), ("quoted", pa.bool_()), ("near", pa.int64()), ("n", pa.int64())]))
         for batch in batches:
-            found = [[dict(zip(("word", "term", "edits", "quoted", "near"), h, strict=True)) for h in hits(t.as_py(), trie)[:200]] for t in batch.column("text")]
+            found = [[dict(zip(("word", "term", "edits", "quoted", "near", "n"), h, strict=True)) for h in gathered(hits(t.as_py(), trie))] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, kind)], ["toxic", "hits"])
 
-    schema = "toxic int, hits array<struct<word:string,term:string,edits:long,quoted:boolean,near:long>>"
+    schema = "toxic int, hits array<struct<word:string,term:string,edits:long,quoted:boolean,near:long,n:long>>"
     seen = [(r["toxic"], [tuple(h) for h in r["hits"]]) for r in rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, schema).collect()]
     rows.unpersist()
     # how much a misspelling of each term tells, in rows that use it; untried ones count as the term, but less
