@@ -44,13 +44,24 @@ def unit_hash(seed: str, *key: Column) -> Column:
     return (F.conv(hexed, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """r1 and r2: 128 bits that tell rows apart by id and text, null ids too; only equal rows share them."""
+    text_ = F.when(text.isNull(), F.lit("")).otherwise(F.concat(F.lit("t"), text))
+    return [F.xxhash64(doc_id, text_).alias("r1"), F.xxhash64(F.lit(1), text_, doc_id).alias("r2")]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a session without that setting (a test) gets one of its own."""
+    """The folder of spark.checkpoint.dir. Without that setting a local session, as in tests, gets one of its own; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

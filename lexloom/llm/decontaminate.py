@@ -12,9 +12,10 @@ of an item that overlap are read as one, and only parts are compared that share
 short runs of characters with the item as the allowed edits must leave.
 
 Texts are compared lower-cased with white space collapsed. Null, blank and very
-short texts hold no item; null or blank items are never found. Repeated rows each
-give their rows; equal items are all reported. Items are read in blocks of bounded
-size, each a pass over the documents, so a large benchmark needs no more memory.
+short texts hold no item; null or blank items are never found. Ids may be of any type;
+null and repeated ids of documents do no harm, as every row is judged by its own text.
+Repeated rows each give their rows; equal items are all reported. Items go out in
+blocks of bounded numbers and characters, so a large benchmark needs no more memory.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut
 
@@ -36,7 +38,9 @@ from .common import cut
 REACH = 0.6
 #: Characters of the runs that are counted before an exact distance; a number of 32 bits holds them.
 GRAM = 4
-SCHEMA = "item_id long, start long, length long, distance long"
+#: Longer items aren't hashed, as their tables would take much memory and miss the recall; all their windows are confirmed.
+LONGEST_HASHED = 4096
+SCHEMA = "start long, length long, distance long"
 
 
 def normalise(text: str | None) -> str:
@@ -167,9 +171,9 @@ def plan_tables(items: list[str], ratio: float, recall: float, bits: int = 4, wa
     plan: dict[int, Tables | None] = {}
     for kind, own in sorted(classes.items()):
         plan[kind] = None
-        if None in list(plan.values())[:-1]:
-            continue
         longest = max(map(len, own))
+        if longest > LONGEST_HASHED or None in list(plan.values())[:-1]:
+            continue
         rng = np.random.default_rng(5)
         trial = Tables(walks, most // walks, bits, longest)
         order = rng.permutation(len(own))
@@ -186,7 +190,7 @@ def plan_tables(items: list[str], ratio: float, recall: float, bits: int = 4, wa
 _searchers: dict[str, Searcher] = {}
 
 
-def searcher(token: str, rows: list[tuple[int, str]], ratio: float, plan: dict[int, Tables | None]) -> Searcher:
+def searcher(token: str, rows: list[tuple[object, str]], ratio: float, plan: dict[int, Tables | None]) -> Searcher:
     """One for a Python worker, which may run many tasks."""
     if token not in _searchers:
         _searchers.clear()
@@ -197,7 +201,7 @@ def searcher(token: str, rows: list[tuple[int, str]], ratio: float, plan: dict[i
 class Searcher:
     """Finds one block of items in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], ratio: float, plan: dict[int, Tables | None]) -> None:
+    def __init__(self, items: list[tuple[object, str]], ratio: float, plan: dict[int, Tables | None]) -> None:
         self.items, self.ratio, self.plan = items, ratio, plan
         self.seeds = ahocorasick.Automaton()
         where: dict[str, tuple[set[tuple[int, int]], set[tuple[int, int]]]] = {}
@@ -222,9 +226,9 @@ class Searcher:
                     self.by_key.setdefault((kind, t, key), []).append(i)
             self.known[kind] = [np.unique(keys[:, t]) for t in range(keys.shape[1])]
 
-    def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+    def find(self, texts: list[str]) -> list[list[tuple[object, int, int, int]]]:
         """(item_id, start, length, distance) of each text, positions in the normalised text."""
-        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        out: list[list[tuple[object, int, int, int]]] = [[] for _ in texts]
         if not self.items:
             return out
         laid: dict[int, set[tuple[int, int, int]]] = {}
@@ -307,42 +311,62 @@ class Searcher:
         return (low + int(enough[0]), low + int(enough[-1]) + width + GRAM - 1) if len(enough) else (low, low)
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.1, recall: float = 0.99, block: int = 20_000) -> DataFrame:
-    """doc_id, item_id, start, length and distance of every item found in a document.
-
-    block bounds the items that a pass over the documents sends to each task.
-    """
-    spark = docs.sparkSession
-    # as many passes as blocks; an item goes to a block by its hash
+def _blocks(benchmark: DataFrame, ratio: float, recall: float, block: int, characters: int) -> Iterator:
+    """Broadcast (items, plan) of each block of at most about so many items and characters; an item goes to a block by its hash."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
-    blocks = max(1, math.ceil(items.count() / (block * 0.8)))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = None
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
+    blocks = max(1, math.ceil(size["n"] / (block * 0.8)), math.ceil(size["c"] / (characters * 0.8)))
     for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toLocalIterator()
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()
         rows = sorted((r["item_id"], t) for r in own if (t := normalise(r["text"])))
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast((rows, plan_tables([t for _, t in rows], ratio, recall)))
+        if rows:
+            yield benchmark.sparkSession.sparkContext.broadcast((rows, plan_tables([t for _, t in rows], ratio, recall)))
+
+
+def _searched(batches: Iterator[pa.RecordBatch], search: Searcher) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of the batches with what is found in each of their texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            yield part, search.find([normalise(x.as_py()) for x in part.column("text")])
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.1, recall: float = 0.99, block: int = 20_000, characters: int = 50_000_000) -> DataFrame:
+    """doc_id, item_id, start, length and distance of every item found in a document.
+
+    block and characters bound the items that a pass over the documents sends to each task.
+    """
+    id_of = lambda df, c: df.schema[c].dataType
+    schema = f"doc_id {id_of(docs, 'doc_id').simpleString()}, item_id {id_of(benchmark, 'item_id').simpleString()}, {SCHEMA}"
+    item_kind = to_arrow_type(id_of(benchmark, "item_id"))
+    found = docs.sparkSession.createDataFrame([], schema)
+    for i, sent in enumerate(_blocks(benchmark, ratio, recall, block, characters)):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for part, hits in _searched(batches, searcher(token, sent.value[0], ratio, sent.value[1])):
+                which = pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64())
+                flat = [x for h in hits for x in h]
+                columns = [pa.array([x[j] for x in flat], kind) for j, kind in enumerate((item_kind, pa.int64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(which), *columns], ["doc_id", "item_id", "start", "length", "distance"])
+
+        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        found = part if i == 0 else found.union(part)
+    return found
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.1, recall: float = 0.99, block: int = 20_000, characters: int = 50_000_000) -> DataFrame:
+    """The rows of docs that hold no item, with their columns as they are.
+
+    Each block of items filters what the ones before it let through; nothing is shuffled.
+    """
+    kept = docs
+    for i, sent in enumerate(_blocks(benchmark, ratio, recall, block, characters)):
+        if i and i % 4 == 0:  # a task runs at most four searches in a row
+            kept = cut(kept)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            search = searcher(token, sent.value[0], ratio, sent.value[1])
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    hits = search.find([normalise(x.as_py()) for x in part.column("text")])
-                    ids = part.column("doc_id")
-                    which = [i for i, h in enumerate(hits) for _ in h]
-                    flat = [x for h in hits for x in h]
-                    columns = [pa.array([x[j] for x in flat], pa.int64()) for j in range(4)]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), *columns], ["doc_id", "item_id", "start", "length", "distance"])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
-        found = part if found is None else found.union(part)
-    return spark.createDataFrame([], f"doc_id {kind}, {SCHEMA}") if found is None else found
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.1) -> DataFrame:
-    """The rows of docs that hold no item, with their columns as they are; null ids stay."""
-    bad = cut(find_items(docs, benchmark, ratio).select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+            for part, hits in _searched(batches, searcher(token, sent.value[0], ratio, sent.value[1])):
+                yield part.filter(pa.array([not h for h in hits]))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept

@@ -1,13 +1,18 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that every block of a page becomes a line; blocks of menus,
-headers, footers, sidebars, notices, adverts, forms and comments become lines of
-length 0. Text lengths are summed over a sliding window of lines. A block of text
-starts where the sum surges and ends where it dives to 0; text between is kept.
-
-Null, empty and text-free pages give an empty text. Broken markup is read as far as
-it goes: unclosed elements end with their parent, a cut-off tag at the end is dropped.
-Repeated rows each give a row; extra columns are ignored.
+Markup is stripped so that every block of a page becomes a line. A line weighs its text
+length: nothing if it lies in a menu, header, footer, sidebar, notice, advert, form or
+comment, or is mostly links; if the page marks articles, lines outside them weigh nothing
+and lines inside a surge's weight more. Weights are summed over a sliding window of lines:
+text starts where the sum surges and ends where it dives to 0, and what lies between is
+kept. A page whose windows all stay below a surge has its own, lower surge point: half of
+its greatest sum.
+
+Null, empty and text-free pages give an empty text. Broken markup is read as far as it
+goes, in time that grows with the page's length: unclosed elements end with their parent,
+an element of raw text that is never closed loses its tag only (a script or style the
+rest of the page), a cut-off tag at the end is dropped. Repeated rows and null ids each
+give a row; very long pages are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,22 +25,20 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<svg\b(?:[^>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+/>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select|object)\b.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-z][a-z0-9:-]*)(?P<attrs2>[^<>]*+)(?:>|\Z)"
-    r"|<[!?][^>]*+(?:>|\Z)"
-    r"|</?\Z",
-    re.DOTALL | re.IGNORECASE,
-)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+#: Attributes up to the tag's end; quotes count after = only, as in browsers.
+_QUOTED = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=[^"'])|\Z))*+>""")
+_UNQUOTED = re.compile(r"[^<>]*+>?")
+#: Their content is text, not markup.
+_RAW = frozenset("script style textarea iframe noembed noframes xmp".split())
+#: Elements that count only if they are closed, as they'd take the rest of the page with them.
+_CLOSED = frozenset("svg math template noscript select object canvas video audio".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIPPED = frozenset("head title nav footer aside form button dialog menu".split())
+_SKIPPED = frozenset("head title nav footer aside form button dialog menu".split()) | _CLOSED
 _OPEN_ENDED = frozenset("p li dd dt td th tr option".split())
 _CONTAINERS = frozenset("div section aside nav ul ol dl dir menu table header footer form details dialog fieldset figure".split())
 _HINT = re.compile(
@@ -64,7 +67,7 @@ def _hinted(name: str) -> bool:
 def _boilerplate(name: str, attrs: str, within: bool) -> bool:
     if name in _SKIPPED or (name == "header" and not within):
         return True
-    if not attrs or name in ("html", "body", "article", "main"):
+    if not attrs or name in ("html", "body", "main"):
         return False
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), "".join(values)  # noqa: PLW2901
@@ -77,33 +80,106 @@ def _boilerplate(name: str, attrs: str, within: bool) -> bool:
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, inside an article) of every block in page order; boilerplate has an empty text."""
-    lines: list[tuple[str, int, bool]] = []
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of every piece of markup; comments and raw elements have no name.
+
+    Every search that can fail for want of an end does so once a page, so that time is linear.
+    """
+    low = page.lower()
+    last: dict[str, int] = {}
+    quotes, at = True, 0
+
+    def closed(name: str, after: int) -> bool:
+        if name not in last:
+            last[name] = low.rfind(f"</{name}")
+        return last[name] >= after
+
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif m := _NAME.match(page, at + 1):
+            name, rest = m[1].lower(), None
+            if quotes:
+                rest = _QUOTED.match(page, m.end())
+                quotes = rest is not None
+            rest = rest or _UNQUOTED.match(page, m.end())
+            end, attrs = rest.end(), rest[0].removesuffix(">")
+            closes = page[at + 1] == "/"
+            if name in _RAW and not closes and not attrs.endswith("/"):
+                stop = low.find(f"</{name}", end) if closed(name, end) else -1
+                if stop >= 0 or name in ("script", "style"):
+                    end = len(page) if stop < 0 else (page.find(">", stop) + 1 or len(page))
+                yield at, end, "", False, ""
+            elif name in _CLOSED and not closes and not closed(name, end):
+                yield at, end, "", False, ""
+            else:
+                yield at, end, name, closes, attrs
+        elif page.startswith(("<!", "<?", "</"), at):
+            end = page.find(">", at)
+            end = len(page) if end < 0 else end + 1
+            yield at, end, "", False, ""
+        elif at + 1 == len(page):
+            end = at + 1
+            yield at, end, "", False, ""
+        else:
+            end = at + 1  # a plain less-than sign
+        at = end
+
+
+class _Open:
+    """The open elements, with what holds inside the innermost and how many there are of a name."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, str]] = []  # name, skipped, the innermost of article and main
+        self.count: dict[str, int] = {}
+
+    def state(self) -> tuple[bool, str]:
+        return self.stack[-1][1:] if self.stack else (False, "")
+
+    def push(self, name: str, skipped: bool, within: str) -> None:
+        self.stack.append((name, skipped, within))
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def pop(self) -> str:
+        name = self.stack.pop()[0]
+        self.count[name] -= 1
+        return name
+
+    def close(self, name: str) -> None:
+        if self.count.get(name):
+            while self.pop() != name:
+                pass
+
+
+def page_lines(page: str) -> list[tuple[str, int, str]]:
+    """(text, characters in links, the article or main that it's in) of every block in page order; boilerplate has an empty text."""
+    lines: list[tuple[str, int, str]] = []
     parts: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, skipped, inside an article
-    linked = 0
+    open_ = _Open()
+    linked, gap = 0, False
 
     def flush() -> None:
-        nonlocal linked
-        skipped, within = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
-        if parts:
-            lines.append(("" if skipped else " ".join("".join(parts).split()), 0 if skipped else linked, within))
+        nonlocal linked, gap
+        if parts or gap:
+            lines.append((" ".join("".join(parts).split()), linked, open_.state()[1]))
             parts.clear()
-            linked = 0
+            linked, gap = 0, False
 
     def text(piece: str) -> None:
-        nonlocal linked
-        if piece:
-            parts.append(decoded := html.unescape(piece))
-            if any(x[0] == "a" for x in open_):
+        nonlocal linked, gap
+        if piece and open_.state()[0]:
+            gap = True
+        elif piece:
+            parts.append(decoded := html.unescape(piece) if "&" in piece else piece)
+            if open_.count.get("a"):
                 linked += len(decoded.strip())
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
+    for start, end, name, closes, attrs in tags(page):
+        text(page[at:start])
+        at = end
         if not name:
             continue
         if name in _BLOCKS:
@@ -112,56 +188,62 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             parts.append(" ")
         if name in _VOID:
             continue
-        if m["end"] or m["end2"]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    del open_[i:]
-                    break
+        if closes:
+            open_.close(name)
             continue
-        attrs = m["attrs"] or m["attrs2"] or ""
         if attrs.endswith("/"):
             continue
         if name in ("article", "main"):  # an element left open before it doesn't hold it
-            while open_ and open_[-1][1] and not re.match("(?:aside|footer|form)$", open_[-1][0]):
+            while open_.stack and open_.stack[-1][1] and open_.stack[-1][0] not in ("aside", "footer", "form", "article"):
                 open_.pop()
-        if name in _OPEN_ENDED and open_ and open_[-1][0] == name:
+        if name in _OPEN_ENDED and open_.stack and open_.stack[-1][0] == name:
             open_.pop()
-        skipped, within = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
-        within = within or (name in ("article", "main") and not skipped)
-        open_.append((name, skipped or _boilerplate(name, attrs, within), within))
+        skipped, within = open_.state()
+        skipped = skipped or _boilerplate(name, attrs, bool(within))
+        open_.push(name, skipped, name if name in ("article", "main") and not skipped and within != "article" else within)
     text(page[at:])
     flush()
     return lines
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
-    """The text between surge and dive points, blocks joined by one line feed.
+def weigh(lines: list[tuple[str, int, str]], surge: int) -> list[int]:
+    """The weight of each line; marks of the page raise or drop it."""
+    marks = {within for text, _, within in lines if text}
+    best = "article" if "article" in marks else "main" if "main" in marks else ""
+    out = []
+    for text, linked, within in lines:
+        if best and within == best:
+            out.append(len(text) + surge if text else 0)
+        else:
+            out.append(0 if best or 2 * linked > len(text) else len(text))
+    return out
+
 
-    Where a page marks its article, only lines in it have a length and any text is a
-    surge; else a window must hold ``surge`` characters outside links.
+def keep_lines(weight: list[int], window: int, surge: int) -> list[bool]:
+    """Whether each line lies between a surge point and the next dive point and weighs something.
+
+    A line's sum is that of the window that begins with it. Text begins at a line with a
+    weight whose sum reaches the surge and ends before the first line whose sum is 0.
     """
+    total = [0]
+    for n in weight:
+        total.append(total[-1] + n)
+    sums = [total[min(i + window, len(weight))] - total[i] for i in range(len(weight))]
+    least = min(surge, max(1, max(sums, default=0) // 2))
+    kept, within = [], False
+    for n, ahead in zip(weight, sums, strict=True):
+        within = ahead > 0 and (within or (n > 0 and ahead >= least))
+        kept.append(within and n > 0)
+    return kept
+
+
+def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
+    """The text between surge and dive points, blocks joined by one line feed."""
     if not page:
         return ""
     lines = page_lines(page)
-    marked = any(within and text for text, _, within in lines)
-    least = 1 if marked else surge
-    length = [
-        len(text) if (within if marked else 2 * linked <= len(text)) else 0 for text, linked, within in lines
-    ]
-    total = [0]
-    for n in length:
-        total.append(total[-1] + n)
-    ahead = lambda i: total[min(i + window, len(length))] - total[i]
-    kept, i = [], 0
-    while i < len(length):
-        if not length[i] or ahead(i) < least:
-            i += 1
-            continue
-        while i < len(length) and ahead(i):
-            if length[i]:
-                kept.append(lines[i][0])
-            i += 1
-    return "\n".join(kept)
+    kept = keep_lines(weigh(lines, surge), window, surge)
+    return "\n".join(text for (text, _, _), k in zip(lines, kept, strict=True) if k)
 
 
 def extract_text(pages: DataFrame, window: int = 3, surge: int = 60) -> DataFrame:

@@ -5,9 +5,11 @@ of labelled documents. A document's trigrams are drawn from a mixture of these:
 expectation-maximisation estimates its proportions, and languages join the set one
 by one as long as the penalised likelihood rises.
 
-Null texts and texts without a letter are ``und`` with score 0. Empty tables give no
-rows; without labelled rows every text is ``und``. Very long texts are read whole;
-repeated rows each give a row; extra columns are ignored.
+Null texts and texts without a letter are ``und`` with score 0; a language whose texts
+have no letter isn't learnt. Empty tables give no rows; without labelled rows every text
+is ``und``. Of languages with equal proportions the first by name is taken. Very long
+texts are read whole; null ids are ids like others; repeated rows each give a row; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,11 @@ def _letters() -> np.ndarray:
 def trigrams(text: str) -> np.ndarray:
     """Buckets of the trigrams of letters and word ends, lower-cased; empty if there is no letter."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = np.where(_letters()[np.minimum(code, 0xFFFF)], code, 0)
+    known = _letters()[np.minimum(code, 0xFFFF)]
+    if (beyond := code > 0xFFFF).any():
+        rare, at = np.unique(code[beyond], return_inverse=True)
+        known[beyond] = np.array([chr(c).isalpha() for c in rare])[at]
+    code = np.where(known, code, 0)
     if not code.any():
         return np.empty(0, np.int64)
     code = np.concatenate([np.zeros(1, np.uint32), code, np.zeros(1, np.uint32)])
@@ -51,12 +57,12 @@ def tally(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_by_language(docs: DataFrame, per_language: int) -> DataFrame:
-    """About per_language documents of each language, by a hash of the id."""
+    """About per_language documents of each language, by a hash of id and text."""
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return docs
     rate = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_language / n))])
-    return docs.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) < F.element_at(rate, F.col("lang")) * (1 << 20))
+    return docs.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1 << 20)) < F.element_at(rate, F.col("lang")) * (1 << 20))
 
 
 def train(docs: DataFrame, per_language: int = 3000, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
@@ -74,7 +80,7 @@ def train(docs: DataFrame, per_language: int = 3000, smoothing: float = 0.5) ->
                 found[lang] += np.bincount(trigrams(text.as_py()), minlength=BUCKETS)
         for lang, n in found.items():
             at = n.nonzero()[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
     counted = sample_by_language(docs.select("doc_id", "text", "lang"), per_language)
     rows = counted.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()

@@ -5,14 +5,15 @@ shifted by one place for each coordinate, gives all coordinates of the signature
 shingle's values are a run of neighbours in one table. Documents that agree in all
 coordinates of a band are candidates, and links are confirmed on whole shingle sets.
 
-Groups of copies are never expanded into pairs. Documents with equal sets stand as
-one. In a band's bucket each member is compared with a pivot. Documents that buckets
-tie together but that then still lie in different components are compared with each
-other in blocks of bounded size.
+Groups of copies are never expanded into pairs. Rows with equal sets form a class and
+stand as one. In a band's bucket each class is compared with a pivot. A bucket whose
+other classes then still lie in different components is compared in whole, in blocks
+of bounded size, once for all buckets with the same members.
 
 Null and blank texts have an empty set and link with nothing; a text of fewer words
-than a shingle is one shingle. Rows with a null id are kept and link with nothing.
-Repeated rows each give a row. Other columns are ignored.
+than a shingle is one shingle. Links are found between rows, so null and repeated ids
+do no harm: a group's id is the least id in it, null if it has none. Every row gives a
+row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, cut
+from .common import apart, cut, row_key
 from .components import components
 
 RING_BITS = 20
@@ -93,34 +94,53 @@ def n_bands(threshold: float, rows: int, miss: float = 1e-6) -> int:
 
 
 def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n, two words that identify the set, and the band keys (null for an empty set)."""
+    """doc_id, the row key (r1, r2), n, two words that identify the set, and the band keys (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k1, k2, keys = [], [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), size)
+                one, two = set_key(s)
                 n.append(len(s))
-                k1.append(int(_mix(s ^ _ODD[21]).sum().view(np.int64)) if len(s) else 0)
-                k2.append(int(_mix(s ^ _ODD[22]).sum().view(np.int64)) if len(s) else 0)
+                k1.append(one)
+                k2.append(two)
                 keys.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n", "k1", "k2", "bands"],
-            )
+            made = [pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "r1", "r2")), *made], ["doc_id", "r1", "r2", "n", "k1", "k2", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, bands array<long>")
+    keyed = docs.select("doc_id", "text", *row_key(F.col("doc_id"), F.col("text")))
+    return keyed.mapInArrow(run, f"doc_id {kind}, r1 long, r2 long, n long, k1 long, k2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def set_key(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that identify a set of shingles."""
+    return tuple(int(_mix(shingles ^ _ODD[i]).sum().view(np.int64)) if len(shingles) else 0 for i in (21, 22))
+
+
+def _sets(docs: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """(id, shingles) of the classes in ends (node, k1, k2, r1), each from a row with that r1.
+
+    Rows repeat where whole rows do; a task gives a class once.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(text.as_py(), size).tobytes() for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+            ids, sets = [], []
+            for text, node, *key in zip(*(batch.column(c) for c in ("text", "node", "k1", "k2")), strict=True):
+                if (i := node.as_py()) in seen:
+                    continue
+                s = shingle_set(text.as_py(), size)
+                if set_key(s) == tuple(k.as_py() for k in key):
+                    seen.add(i)
+                    ids.append(i)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"id {kind}, shingles binary")
+    keyed = docs.select("text", row_key(F.col("doc_id"), F.col("text"))[0])
+    return keyed.join(ends, "r1").select("text", "node", "k1", "k2").mapInArrow(run, "id long, shingles binary")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -157,7 +177,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096)
     return out
 
 
-def _links_in_groups(member: DataFrame, sets: DataFrame, percent: int, docs_a_block: int = 256, shingles_a_block: int = 500_000) -> DataFrame:
+def _links_in_groups(member: DataFrame, sets: DataFrame, percent: int, docs_a_block: int = 64, shingles_a_block: int = 250_000) -> DataFrame:
     """Links between members (node, n, group, component) of a group that lie in different components.
 
     Those outside the group's largest component are compared with each other and with
@@ -192,49 +212,92 @@ def _links_in_groups(member: DataFrame, sets: DataFrame, percent: int, docs_a_bl
         i, j = hit.nonzero()
         return pd.DataFrame({"a": one["node"].to_numpy()[i], "b": two["node"].to_numpy()[j]})
 
-    kind = member.schema["node"].dataType.simpleString()
-    return cut(dealt.groupBy("group", "kind", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct())
+    return cut(dealt.groupBy("group", "kind", "i", "j").applyInPandas(compare, "a long, b long").distinct())
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int = 6, orders: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
+def _classes(signed: DataFrame) -> DataFrame:
+    """The distinct sets (n, k1, k2): their node, least id (rep) and least row hash (at).
+
+    A node is k1, moved on by one where different sets share it.
+    """
+    same = signed.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("r1").alias("at"))
+    order = F.row_number().over(Window.partitionBy("k1").orderBy("k2", "n"))
+    return same.withColumn("node", F.col("k1") + order - 1)
+
+
+def _open_buckets(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """(group, node, n, component) of the buckets whose members but the pivot lie in different components.
+
+    All members are compared with the pivot already. Buckets with the same members are taken once.
+    """
+    rest = shared.where("node <> pivot").join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    members = [F.count("*").alias("c"), *[F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]]
+    unfinished = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *members).where("low <> high")
+    group = unfinished.groupBy("c", "s1", "s2").agg(F.min("key").alias("group"))
+    return rest.join(apart(group), F.col("key") == F.col("group")).select("group", "node", "n", "component").distinct()
+
+
+def group_rows(docs: DataFrame, percent: int = 85, size: int = 5, rows: int = 6, orders: int = 4) -> DataFrame:
+    """doc_id, r1, r2, n, group (a number, null for empty sets) and rep (the least id of the group) for every row of docs."""
     bands = n_bands(percent / 100, rows)
     signed = cut(_signed(docs, size, bands, rows))
-    whole = signed.where("n > 0 AND doc_id IS NOT NULL")
-    same = whole.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    member = cut(whole.join(apart(same), ["n", "k1", "k2"]).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
-    entry = member.where("bands IS NOT NULL").select("rep", "n", F.explode("bands").alias("key"))
+    own = F.when(F.col("r1") == F.col("at"), F.col("bands")).alias("bands")
+    member = signed.where("n > 0").join(_classes(signed), ["n", "k1", "k2"])
+    member = cut(member.select("doc_id", "r1", "r2", "n", "k1", "k2", "node", "rep", "at", own))
+    entry = member.where("bands IS NOT NULL").select("node", "n", F.explode("bands").alias("key"))
 
     # a bucket's pivot is its first member in one of a few random orders, so that a group of two or three
     # copies makes few pairs and a large one is tied together by many pivots
-    turn = F.xxhash64("rep", F.pmod("key", F.lit(orders)))
-    pivot = entry.groupBy("key").agg(F.min(F.struct(turn.alias("h"), "rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    shared = entry.join(apart(pivot), "key").select("rep", "n", "p")
-    pairs = shared.where(F.col("rep") != F.col("p.rep")).select(
-        F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"), _alike(F.col("n"), F.col("p.n"), percent).alias("alike")
-    )
-    pairs = cut(pairs.distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi"), size))
-    comp = components(_links(pairs.where("alike"), sets, percent), "a", "b")
-
-    # components that still share buckets make groups; only their members are compared further
-    def of_components(links: DataFrame) -> DataFrame:
-        of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"{end}c"))
-        return links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
-
-    group = components(of_components(pairs), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("group"))
-    known = member.where("bands IS NOT NULL").select(F.col("rep").alias("node"), "n").distinct()
-    placed = known.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(group, "component")
-    more = _links_in_groups(placed.select("node", "n", "group", "component"), sets, percent)
-    tied = components(of_components(more), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("least"))
-
-    placed = member.select("doc_id", "n", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "rep")).join(tied, "component", "left")
-    placed = placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "component").alias("component_id"))
-    alone = signed.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return placed.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    turn = F.xxhash64("node", F.pmod("key", F.lit(orders)))
+    pivot = entry.groupBy("key").agg(F.min(F.struct(turn.alias("h"), "node", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    shared = cut(entry.join(apart(pivot), "key").select("key", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("m")))
+    pairs = shared.where(F.col("node") != F.col("pivot")).where(_alike(F.col("n"), F.col("m"), percent))
+    pairs = cut(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+    # sets are laid out for all that a comparison may need: whoever shares a bucket
+    ends = member.where("bands IS NOT NULL").select("node", "k1", "k2", "r1").distinct()
+    ends = ends.join(shared.select("node").distinct(), "node", "left_semi")
+    sets = cut(_sets(docs, ends, size))
+    comp = components(_links(pairs, sets, percent), "a", "b")
+
+    more = _links_in_groups(_open_buckets(shared, comp), sets, percent)
+    of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"{end}c"))
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+    tied = components(between, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("least"))
+
+    # classes with a link and, in ``tied`` alone, those that only the second round linked
+    alone = tied.join(comp.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), "component")
+    linked = comp.union(alone).join(tied, "component", "left").select("node", F.coalesce("least", "component").alias("group"))
+    reps = member.where("bands IS NOT NULL").select("node", "rep").distinct().join(linked, "node").groupBy("group").agg(F.min("rep").alias("least"))
+    linked = linked.join(apart(reps), "group").select("node", "group", "least")
+    whole = member.select("doc_id", "r1", "r2", "n", "node", "rep").join(linked, "node", "left")
+    whole = whole.select("doc_id", "r1", "r2", "n", F.coalesce("group", "node").alias("group"), F.when(F.col("group").isNull(), F.col("rep")).otherwise(F.col("least")).alias("rep"))
+    empty = signed.where("n = 0").select("doc_id", "r1", "r2", "n", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("rep"))
+    return whole.union(empty)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int = 6, orders: int = 4) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (whether these ids are equal) for every row of docs."""
+    grouped = group_rows(docs, percent, size, rows, orders)
+    return grouped.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("rep")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """One row of each group of near duplicates, that of the least id (null comes last), with its columns as they are.
+
+    Rows without words stay. Of rows equal in id and text one stays; of different texts with one id, the least by hash.
+    """
+    grouped = cut(group_rows(docs, percent, size).where("n > 0").select("group", "doc_id", "r1", "r2"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "r1", "r2")
+    best = grouped.groupBy("group").agg(F.min(first).alias("w"), F.count("*").alias("c")).where("c > 1").select("group", F.col("w.r1").alias("w1"), F.col("w.r2").alias("w2"))
+    placed = cut(grouped.join(apart(best), "group").select("r1", "r2", ((F.col("r1") == F.col("w1")) & (F.col("r2") == F.col("w2"))).alias("stays")))
+    gone = placed.where("NOT stays").select("r1", "r2").distinct()
+    # rows that repeat as a whole can only be told apart by keeping the first of each
+    again = cut(placed.where("stays").groupBy("r1", "r2").count().where("count > 1").select("r1", "r2"))
+    row = docs.select(F.struct("*").alias("row"), *row_key(F.col("doc_id"), F.col("text"))).join(gone, ["r1", "r2"], "left_anti")
+    if not again.isEmpty():
+        row = row.join(again, ["r1", "r2"], "left_anti").union(row.join(again, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]))
+    return row.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

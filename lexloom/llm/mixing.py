@@ -1,16 +1,20 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-A document's key is -ln(u) / weight, with u from a hash of its id, so reruns agree.
-Each source repeats whole epochs up to its target; what is left of the target goes to
-the documents with the least keys, up to the one that crosses the budget, which is
-taken if that brings the sum nearer.
-
-Prefix sums don't gather a source in one task: keys are cut into about
-sqrt(rows) ranges, ranges are summed first, and rows are ordered within their range only.
+A document's key is -ln(u) / weight, with u from a hash of its id and text, so reruns
+agree. Each source repeats whole epochs up to its target; what is left of the target
+goes to the documents with the least keys, up to the one that crosses the budget, which
+is taken if that brings the sum nearer.
+
+Prefix sums don't gather a source in one task: rows are dealt to ranges of (source,
+key), cut at quantiles, so that ranges are even whatever the weights; ranges are summed
+first, and rows are ordered within their range only. Rows equal in id and text are
+told apart by their place in the written table; as they are alike in size, which of
+them is taken doesn't change the result. The table of sources, a few numbers each, is
+ordered in one task.
 
 Null sources form one source, last in order; null and blank texts have size 0 and
-take nothing. Ties in key are broken by id; repeated rows count as often as they
-occur. An empty table gives an empty result.
+take nothing. Null ids are ids like others; repeated rows count as often as they
+occur. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,29 +55,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return level.select("source", "n", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("w")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
+def sort_key(seed: str, doc_id: Column, text: Column, weight: Column) -> Column:
+    u = unit_hash(seed, F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+    return -F.log(u) / weight
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix", rows_a_range: int = 500_000) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs and taken for every row of docs."""
     sized = docs.select("doc_id", "source", "text", count_words(F.col("text")).alias("size"))
-    weight = quality_weight(F.col("text"), F.col("size"))
-    key = -F.log(unit_hash(seed, F.col("doc_id"))) / weight
+    key = sort_key(seed, F.col("doc_id"), F.col("text"), quality_weight(F.col("text"), F.col("size")))
     slot = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    sized = cut(sized.select("doc_id", "source", "size", key.alias("key"), slot.alias("slot")))
+    sized = cut(sized.select("doc_id", "source", "size", key.alias("key"), slot.alias("slot"), F.xxhash64(F.monotonically_increasing_id()).alias("tie")))
 
-    # keys of unit weight are spread evenly by 1 - exp(-key); others keep their order
-    ranges = math.ceil(math.sqrt(sized.count()))
-    sized = sized.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges))
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(sized.count() / rows_a_range))
+    dealt = cut(sized.repartitionByRange(ranges, "slot", "key", "doc_id", "tie").withColumn("range", F.spark_partition_id()))
 
-    by_source = sized.groupBy("source", "slot").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    by_range = cut(dealt.groupBy("source", "slot", "range").agg(F.count("*").alias("n"), F.sum("size").alias("in_range")))
+    by_source = by_range.groupBy("source", "slot").agg(F.sum("n").alias("n"), F.sum("in_range").alias("source_size"))
     goal = targets(by_source, weights, most).withColumn("slot", slot)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.select("slot", "source_size", "target", epochs.alias("epochs"))
     goal = goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
 
     ahead = Window.partitionBy("slot").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sized.groupBy("slot", "range").agg(F.sum("size").alias("in_range"))
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("in_range").over(ahead), F.lit(0))).join(goal, "slot")
-    within = Window.partitionBy("slot", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["slot", "range"])
+    sums = by_range.select("slot", "range", F.coalesce(F.sum("in_range").over(ahead), F.lit(0)).alias("ahead")).join(goal, "slot")
+    within = Window.partitionBy("slot", "range").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["slot", "range"])
     start = F.col("ahead") + F.col("within")
     more = F.when(start + F.col("size") / 2 <= F.col("budget"), F.col("size")).otherwise(F.lit(0))
     return placed.select(

@@ -22,8 +22,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 MIX_SOURCES = rf"""
-WITH s AS (SELECT doc_id, source, {_COUNT.format('[^' + chr(92) + 'x20' + chr(92) + 'x09-' + chr(92) + 'x0D]+')} AS size, {_COUNT.format('[#*$%&|<>]')} AS symbols FROM documents),
-    k AS (SELECT *, -ln((('0x' || substr(md5('mix|' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496) / greatest(0.05::DOUBLE, 1 - symbols::DOUBLE / greatest(size, 1)) AS key FROM s),
+WITH s AS (SELECT doc_id, source, {_COUNT.format('[^' + chr(92) + 'x20' + chr(92) + 'x09-' + chr(92) + 'x0D]+')} AS size, {_COUNT.format('[#*$%&|<>]')} AS symbols,
+        md5(coalesce(text, '')) AS digest FROM documents),
+    k AS (SELECT *, -ln((('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || digest), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496) / greatest(0.05::DOUBLE, 1 - symbols::DOUBLE / greatest(size, 1)) AS key FROM s),
     g AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM s GROUP BY source),
     c AS (SELECT source, ss, [5, 2, 1][((r - 1) % 3 + 1)::INT] AS w, 3 * ss AS cap FROM g),
     l AS (SELECT *, (sum(ss) OVER () - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, source NULLS LAST {_BEFORE}), 0))::DOUBLE

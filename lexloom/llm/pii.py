@@ -9,7 +9,8 @@ like a kind and stand in patterns of high score for it.
 
 Positions are code points, ends exclusive. Null and blank texts have no spans. Rows
 with equal id and text get the same spans; ids may be null. Tables without a seed
-give no new spans. Extra columns pass through ``redact`` and are ignored by ``find_spans``.
+give no new spans. Extra columns, whatever their names, pass through ``redact`` and are
+ignored by ``find_spans``.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, let, row_key
 
 KINDS = ("email", "ip", "card", "phone")
+ROW = ("r1", "r2")
+#: Characters before and after an occurrence in which its context words are read.
+CONTEXT = (200, 100)
 _S = r"\x20\x09-\x0D"
 #: Loops over groups are possessive, which the regex engine runs without recursion, and runs are only tried at
 #: their start (or where the last match ended), so that very long runs take linear time. Matches are the same.
@@ -34,7 +38,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TOKEN = rf"(?<![^{_S}])[^{_S}0-9@]*+[0-9@][^{_S}]*+"
 #: Digit groups joined by spaces, brackets, dots or hyphens, as long as they go on.
 RUN = r"(?<![0-9A-Za-z])(?:\((?=[0-9]++\)))?+[0-9]++(?:[\x20\x09.()-]++[0-9]++)++"
-OCCURRENCE = "array<struct<start:bigint,stop:bigint,token:string,l1:string,l2:string,r1:string>>"
+OCCURRENCE = "array<struct<start:bigint,stop:bigint,token:string,l1:string,l2:string,n1:string>>"
 
 
 def _running(lengths: Column) -> Column:
@@ -63,7 +67,7 @@ def occurrences(text: Column, form: str) -> Column:
     empty = F.array().cast(OCCURRENCE)
 
     def word_at(piece: Column, left: bool, n: int) -> Column:
-        near = F.substring(piece, -200, 200) if left else F.substring(piece, 1, 100)
+        near = F.substring(piece, -CONTEXT[0], CONTEXT[0]) if left else F.substring(piece, 1, CONTEXT[1])
         split = F.filter(F.split(F.lower(near), rf"[{_S}]+"), lambda x: x != "")
         k = F.size(split) - n if left else F.lit(n - 1)
         return let(split, lambda s: F.coalesce(F.when(k >= 0, F.get(s, F.size(s) - n if left else F.lit(n - 1))), F.lit("#")))
@@ -80,7 +84,7 @@ def occurrences(text: Column, form: str) -> Column:
                     m.alias("token"),
                     word_at(F.get(piece, i), True, 1).alias("l1"),
                     word_at(F.get(piece, i), True, 2).alias("l2"),
-                    word_at(F.get(piece, i + 1), False, 1).alias("r1"),
+                    word_at(F.get(piece, i + 1), False, 1).alias("n1"),
                 ),
             ),
         )
@@ -131,30 +135,30 @@ def _looks(kind: str, token: Column) -> Column:
 
 
 def _seen(docs: DataFrame) -> DataFrame:
-    """row, doc_id, the seeds of each kind, and other tokens with digits or @ and runs of digit groups of several words."""
+    """r1, r2, doc_id, the seeds of each kind, and other tokens with digits or @ and runs of digit groups of several words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     tokens = F.when(text.rlike("[0-9@]{1}"), occurrences(text, TOKEN)).otherwise(F.array().cast(OCCURRENCE))
     # runs with fewer or more digits are of no kind
     spaced = lambda x: x["token"].rlike(rf"[{_S}]") & F.length(_digits(x["token"])).between(7, 19)
     runs = F.when(text.rlike(r"[0-9][.()-]*[\x20\x09][\x20\x09.()-]*[0-9]"), F.filter(occurrences(text, RUN), spaced)).otherwise(F.array().cast(OCCURRENCE))
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), *[seeds(text, k).alias(k) for k in KINDS], F.concat(tokens, runs).alias("other"))
+    return docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), *[seeds(text, k).alias(k) for k in KINDS], F.concat(tokens, runs).alias("other"))
 
 
 def discover(seen: DataFrame, rounds: int = 3, least_score: float = 0.8, least_seeds: int = 3) -> DataFrame:
-    """row, kind, start and stop of tokens that stand in patterns of a kind.
+    """r1, r2, kind, start and stop of tokens that stand in patterns of a kind.
 
     A pattern counts only if least_seeds different identifiers vouch for it.
     """
-    part = lambda kind, column: seen.select("row", F.lit(kind).alias("kind"), F.explode(column).alias("o"))
+    part = lambda kind, column: seen.select(*ROW, F.lit(kind).alias("kind"), F.explode(column).alias("o"))
     seed = part(KINDS[0], KINDS[0])
     for kind in KINDS[1:]:
         seed = seed.union(part(kind, kind))
     base = F.concat(*[F.col(k) for k in KINDS])
     free = F.filter("other", lambda x: ~F.exists(base, lambda b: (x["start"] < b["stop"]) & (b["start"] < x["stop"])))
-    other = seen.select("row", F.lit(None).cast("string").alias("kind"), F.explode(free).alias("o"))
+    other = seen.select(*ROW, F.lit(None).cast("string").alias("kind"), F.explode(free).alias("o"))
     # copies of a text would vouch for one another, so that occurrences are counted once for each token and context
-    mention = cut(seed.union(other).select("row", "kind", "o.start", "o.stop", F.lower("o.token").alias("token"), "o.l1", "o.l2", "o.r1"))
-    patterns = F.array(F.concat_ws(" ", F.lit("L2"), "l2", "l1"), F.concat_ws(" ", F.lit("LR"), "l1", "r1"))
+    mention = cut(seed.union(other).select(*ROW, "kind", "o.start", "o.stop", F.lower("o.token").alias("token"), "o.l1", "o.l2", "o.n1"))
+    patterns = F.array(F.concat_ws(" ", F.lit("L2"), "l2", "l1"), F.concat_ws(" ", F.lit("LR"), "l1", "n1"))
     edge = mention.select("kind", "token", F.explode(patterns).alias("pattern")).distinct()
     total = edge.groupBy("pattern").agg(F.count_distinct("token").alias("n"))
     trusted = edge.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count_distinct("token").alias("s")).where(F.col("s") >= least_seeds)
@@ -172,7 +176,7 @@ def discover(seen: DataFrame, rounds: int = 3, least_score: float = 0.8, least_s
     for kind in KINDS:
         looks = F.when(F.col("kind") == kind, _looks(kind, F.col("token"))).otherwise(looks)
     best = F.max(F.struct("p", "kind"))["kind"]
-    return hit.where(looks).groupBy("row", "start", "stop").agg(best.alias("kind"))
+    return hit.where(looks).groupBy(*ROW, "start", "stop").agg(best.alias("kind"))
 
 
 def _listed(spans: Column) -> Column:
@@ -187,16 +191,16 @@ def _ranked(rank: int, column: str) -> Column:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, row, count of each kind, base_sha256, spans, and the spans as an array (all_spans), for every row of docs."""
+    """doc_id, the row key, count of each kind, base_sha256, spans, and the spans as an array (all_spans), for every row of docs."""
     seen = cut(_seen(docs))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    new = discover(seen).groupBy("row").agg(F.collect_list(F.struct(rank.alias("rank"), "start", "stop")).alias("new"))
+    new = discover(seen).groupBy(*ROW).agg(F.collect_list(F.struct(rank.alias("rank"), "start", "stop")).alias("new"))
     base = F.concat(*[_ranked(i, k) for i, k in enumerate(KINDS)])
-    joined = seen.join(new, "row", "left").withColumn("base", base)
+    joined = seen.join(new, [*ROW], "left").withColumn("base", base)
     every = F.array_sort(F.concat("base", F.coalesce("new", F.array().cast("array<struct<rank:int,start:bigint,stop:bigint>>"))))
     return joined.select(
         "doc_id",
-        "row",
+        *ROW,
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(every).alias("spans"),
@@ -209,10 +213,11 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Spans that overlap are replaced as one, named after the first.
     """
-    found = find_spans(docs).where(F.size("all_spans") > 0).select("row", F.col("all_spans").alias("_spans")).dropDuplicates(["row"])
+    found = find_spans(docs).where(F.size("all_spans") > 0).select(*ROW, F.col("all_spans").alias("spans")).dropDuplicates([*ROW])
     kinds = F.array(*map(F.lit, KINDS))
-    by_start = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["rank"].alias("rank"))))
-    text = F.col("text")
+    by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["rank"].alias("rank"))))
+    old = lambda c: F.col("doc").getField(c)
+    text = old("text")
 
     def rebuilt(s: Column) -> Column:
         begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
@@ -225,8 +230,9 @@ def redact(docs: DataFrame) -> DataFrame:
         done = F.aggregate(s, begin, step)
         return let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, (d["at"] + 1).cast("int"), F.length(text))))
 
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(found.withColumnRenamed("row", "_row"), "_row", "left")
-    out = marked.withColumn("text", F.when(F.col("_spans").isNotNull(), let(by_start, rebuilt)).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    # the columns of docs stay in a struct, so that no name clashes
+    whole = docs.select(F.struct("*").alias("doc"), *row_key(F.col("doc_id"), F.col("text"))).join(found, [*ROW], "left")
+    whole = whole.withColumn("text", F.when(F.col("spans").isNotNull(), let(by_start, rebuilt)).otherwise(text))
+    n_chars = F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(old("n_chars") if "n_chars" in docs.columns else F.lit(None))
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return whole.select(*[(new[c] if c in new else old(c)).alias(c) for c in docs.columns])

@@ -29,7 +29,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_spans(table(spark, sf_dir, "documents")).drop("row", "all_spans")
+    return find_spans(table(spark, sf_dir, "documents")).drop("r1", "r2", "all_spans")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,19 @@
 """Toxicity by a learnt lexicon, misspellings and context windows.
 
 The lexicon holds words and word beginnings that are much likelier in toxic than in
-other labelled documents. It is a trie; a word's Levenshtein automaton (rows of edit
-distances) walks the trie and so finds longer terms within one edit.
-Words that clean documents use are no misspellings. Each hit is weighed by its
-context: less inside a quotation, more with other hits within a window of words. Two
-weights and an offset turn the sums into a probability.
+other labelled documents. It is a trie; a word's Levenshtein automaton, whose states are
+bits over the word's positions, is walked along the trie and so finds the terms within
+one edit, or two for long terms; a swap of neighbours is one edit. Words may hold digits
+and symbols between letters, as misspellings do; where such a word is no term, its runs
+of letters are tried. Words that clean documents use are no misspellings. Each hit is
+weighed by its context: less inside a quotation, more with other hits within a window of
+words. Two weights and an offset turn the sums into a probability.
 
 Null and empty texts have no hits and get the score of the offset. Without labelled
-rows the lexicon is empty and every score is low. Repeated rows each give a row;
-extra columns are ignored; null labels are skipped.
+rows that have a text the lexicon is empty and every score is low. Ties between terms go
+to fewer edits, then the heavier term, then by name; of several labels for an id the
+toxic one counts. Texts are read whole. Repeated rows and null ids each give a row; extra
+columns are ignored; null labels are skipped.
 """
 
 from __future__ import annotations
@@ -29,38 +33,58 @@ from pyspark.sql import functions as F
 from .langid import held_out
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Letters and digits, with symbols among them and perhaps one before.
+_TOKEN = re.compile(r"[@$!]?[^\W_]+(?:[*@$!#%&+|]+[^\W_]+)*")
 _OPENING, _CLOSING = "“«„", "”»"
 PREFIXES = range(4, 9)
+#: Lengths from which a term may have one edit and two; a beginning needs one letter more, a word with a digit or symbol one less.
+ONE_EDIT, TWO_EDITS = 5, 10
+
+
+def _letters(word: str) -> int:
+    """The letters of a word as bits."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
 
 
 class Trie:
     """Terms with weights; a term that ends in * stands for all words that begin so."""
 
     def __init__(self, weights: dict[str, float]) -> None:
-        self.root: dict = {}
+        self.weights = weights
         self.whole = {t for t in weights if not t.endswith("*")}
         self.starts = {t[:-1] for t in weights if t.endswith("*")}
-        self.weights = weights
         self.lengths = sorted({len(t) for t in self.starts})
-        # one edit leaves the first or the second half of a term whole, the second perhaps moved by one place
-        halves: dict[tuple[int, int], set[str]] = {}
-        for t in weights:
-            word, n = t.rstrip("*"), len(t.rstrip("*"))
-            if self.edits(t):
-                halves.setdefault((0, n // 2), set()).add(word[: n // 2])
-                for at in (n // 2 - 1, n // 2, n // 2 + 1):
-                    halves.setdefault((at, at + n - n // 2), set()).add(word[n // 2 :])
-        self.halves = sorted((a, b, frozenset(x)) for (a, b), x in halves.items())
+        # a node: children by letter, (term, length) ends, and least and greatest number of letters still to come
+        self.root: list = [{}, [], 99, 0]
         for t in weights:
+            word = t.rstrip("*")
             node = self.root
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
+            for i, c in enumerate(word):
+                left = len(word) - i
+                node[2], node[3] = min(node[2], left), max(node[3], left if t != word + "*" else 10**9)
+                node = node[0].setdefault(c, [{}, [], 99, 0])
+            node[1].append(t)
+            node[2], node[3] = 0, max(node[3], 0 if t == word else 10**9)
+        self.twice = any(self.edits(t, True) == 2 for t in weights)
+        # an edit takes one letter of a term away at most: letter sets of terms, by the lengths of words that they can match
+        self.sets: dict[int, set[tuple[int, int]]] = {}
+        self.begin: set[tuple[int, int, int]] = set()
+        for t in weights:
+            own, k = _letters(t.rstrip("*")), self.edits(t, True)
+            if t.endswith("*"):
+                self.begin.add((len(t) - 1 - k, own, k))
+            else:
+                for n in range(len(t) - k, len(t) + k + 1):
+                    self.sets.setdefault(n, set()).add((own, k))
         self.known: dict[str, tuple[str, int] | None] = {}
 
-    def edits(self, term: str) -> int:
-        n = len(term.rstrip("*"))
-        return int(n >= (6 if term.endswith("*") else 5))
+    @staticmethod
+    def edits(term: str, obscured: bool = False) -> int:
+        n = len(term.rstrip("*")) - term.endswith("*") + obscured
+        return (n >= ONE_EDIT) + (n >= TWO_EDITS)
 
     def find(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the nearest term, heavier ones first among equals."""
@@ -70,37 +94,53 @@ class Trie:
             self.known[word] = self._find(word)
         return self.known[word]
 
+    def _close(self, word: str) -> bool:
+        """Whether the automaton has to run: a quick test that lets all words within reach of a term pass."""
+        n, lack = len(word), ~_letters(word)
+        if any((own & lack).bit_count() <= k for own, k in self.sets.get(n, ())):
+            return True
+        return any(n >= least and (own & lack).bit_count() <= k for least, own, k in self.begin)
+
     def _find(self, word: str) -> tuple[str, int] | None:
         exact = [word] if word in self.whole else []
         exact += [word[:n] + "*" for n in self.lengths if word[:n] in self.starts]
         if exact:
             return max(exact, key=lambda t: (self.weights[t], t)), 0
-        if len(word) < 4 or not any(word[a:b] in x for a, b, x in self.halves):
+        n = len(word)
+        if n < ONE_EDIT - 1:
+            return None
+        odd = sum(not c.isalpha() for c in word)  # each is an edit
+        obscured, k = odd > 0, 2 if n >= TWO_EDITS - 3 and self.twice else 1
+        if odd > k:
             return None
+        if not self._close(word):
+            return None
+        at: dict[str, int] = {}
+        for i, c in enumerate(word):
+            at[c] = at.get(c, 0) | 1 << i
+        full, done = (1 << n + 1) - 1, 1 << n
         best: tuple[int, float, str] | None = None
-        stack = [(self.root, list(range(len(word) + 1)))]
+        # states: bit i of the j-th number says that the first i letters stand for the trie's path with j edits
+        stack = [(self.root, (1, 3, 7 if k == 2 else 0), (0, 0, 0), 0)]
         while stack:
-            node, row = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    term = child
-                    continue
-                if c == "*":
-                    term = child[""]
-                    distance = min(row)
-                else:
-                    new = [row[0] + 1]
-                    for i, w in enumerate(word, 1):
-                        new.append(min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (w != c)))
-                    if min(new) > 1:
-                        continue
-                    stack.append((child, new))
-                    if "" not in child:
-                        continue
-                    term, distance = child[""], new[-1]
-                if distance <= self.edits(term):
+            (children, terms, _, _), now, last, before = stack.pop()
+            for term in terms:
+                reached = full if term.endswith("*") else done
+                distance = 0 if now[0] & reached else 1 if now[1] & reached else 2 if now[2] & reached else 3
+                if distance <= self.edits(term, obscured):
                     found = (distance, -self.weights[term], term)
                     best = found if best is None else min(best, found)
+            r0, r1, r2 = now
+            for c, child in children.items():
+                m = at.get(c, 0)
+                swap = m & (before >> 1)  # the word has this letter and then the one before
+                n0 = (r0 & m) << 1
+                n1 = ((r1 & m) << 1 | r0 << 1 | r0 | n0 << 1 | (last[0] & swap) << 2) & full
+                n2 = ((r2 & m) << 1 | r1 << 1 | r1 | n1 << 1 | (last[1] & swap) << 2) & full if k == 2 else 0
+                reach = n0 | n1 | n2 if k == 2 else n0 | n1
+                # no more letters may be left over, in the word or in the term, than edits
+                if reach and n - reach.bit_length() + 1 <= child[3] + k and child[2] - k <= n - (reach & -reach).bit_length() + 1:
+                    stack.append((child, (n0, n1, n2), now, m))
         return (best[2], best[0]) if best else None
 
 
@@ -120,20 +160,30 @@ class _Quotation:
         return (straight % 2 == 1 and last[0] > straight) or (depth > 0 and last[2] > closing)
 
 
+def matched(token: str, trie: Trie) -> list[tuple[str, tuple[str, int]]]:
+    """(word, hit) of a token as a whole, else of its runs of letters."""
+    if hit := trie.find(token):
+        return [(token, hit)]
+    if token.isalpha():
+        return []
+    return [(w, hit) for w in _WORD.findall(token) if (hit := trie.find(w))]
+
+
 def hits(text: str | None, trie: Trie, window: int = 10) -> list[tuple[str, str, int, bool, int]]:
     """(word, term, edits, quoted, other hits within the window) of every hit in the text."""
     low = (text or "").lower()
-    if not any(trie.find(w) for w in set(_WORD.findall(low))):
+    own = {t: found for t in set(_TOKEN.findall(low)) if (found := matched(t, trie))}
+    if not own:
         return []
     found, line, end = [], None, -1
-    for i, m in enumerate(_WORD.finditer(low)):
-        if hit := trie.find(m[0]):
+    for i, m in enumerate(_TOKEN.finditer(low)):
+        if here := own.get(m[0]):
             if m.start() >= end:
                 start = low.rfind("\n", 0, m.start()) + 1
                 end = low.find("\n", m.end())
                 end = len(low) if end < 0 else end
                 line = _Quotation(low[start:end])
-            found.append((i, m[0], *hit, line.holds(m.start() - start)))
+            found += [(i, word, *hit, line.holds(m.start() - start)) for word, hit in here]
     at = np.array([x[0] for x in found])
     near = np.searchsorted(at, at + window, "right") - np.searchsorted(at, at - window, "left") - 1
     return [(*x[1:], int(n)) for x, n in zip(found, near, strict=True)]
@@ -161,10 +211,10 @@ class Model:
                 continue
             value = (self.fuzzy if edits else self.weights)[term] * (self.quotation if quoted else 1.0) * (self.company if near else 1.0) * (n[0] if n else 1)
             if edits:
-                fuzzy += value
+                fuzzy += value / edits
             else:
                 exact += value
-        return min(exact, 20.0), min(fuzzy, 20.0)
+        return exact, fuzzy
 
     def score(self, found: list) -> float:
         exact, fuzzy = self.sums(found)
@@ -172,6 +222,16 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+_tries: list[Trie] = []
+
+
+def trie_for(weights: dict[str, float]) -> Trie:
+    """One for a Python worker, which may run many tasks; it remembers the words it has looked up."""
+    if not _tries or _tries[0].weights != weights:
+        _tries[:] = [Trie(weights)]
+    return _tries[0]
+
+
 def _terms(text: str) -> tuple[int, set[str]]:
     """A key that near copies mostly share, and the terms of the text."""
     words = set(_WORD.findall(text.lower()))
@@ -217,6 +277,9 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(taken), "doc_id").select("text", "toxic").persist()
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
     n1, n0 = toxic.count(), clean.count()
+    if not n1:
+        rows.unpersist()
+        return Model()
     least = max(6, math.ceil(0.01 * n1))
     pos = {r["term"]: r["n"] for r in _count(toxic, None).where(F.col("n") >= least).toLocalIterator()}
     neg = {r["term"]: r["n"] for r in _count(clean, set(pos)).toLocalIterator()} if pos else {}
@@ -239,7 +302,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean
     trie_of = rows.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(trie_of.value)
+        trie = trie_for(trie_of.value)
         kind = pa.list_(pa.struct([("word", pa.string()), ("term", pa.string()), ("edits", pa.int64()), ("quoted", pa.bool_()), ("near", pa.int64()), ("n", pa.int64())]))
         for batch in batches:
             found = [[dict(zip(("word", "term", "edits", "quoted", "near", "n"), h, strict=True)) for h in gathered(hits(t.as_py(), trie))] for t in batch.column("text")]
@@ -277,7 +340,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(sent.value.weights)
+        trie = trie_for(sent.value.weights)
         for batch in batches:
             found = [hits(t.as_py(), trie) for t in batch.column("text")]
             value = [sent.value.score(f) for f in found]

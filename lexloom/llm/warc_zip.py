@@ -95,9 +95,12 @@ def locate_members(file, size: int) -> dict[str, tuple[int, int]]:  # noqa: ANN0
         file.seek(offset)
         return file.read(length)
 
-    tail_at = max(0, size - 65_557)
+    tail_at = max(0, size - 65_577)  # the longest comment, the end record and a ZIP64 locator
     tail = at(tail_at, size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
+    # the comment may hold the same four bytes; the record's own comment ends with the file
+    while end >= 0 and (len(tail) < end + 22 or end + 22 + struct.unpack("<H", tail[end + 20 : end + 22])[0] != len(tail)):
+        end = tail.rfind(b"PK\x05\x06", 0, end + 3)
     if end < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack("<HII", tail[end + 10 : end + 20])

@@ -6,8 +6,8 @@ how often each labeller is right and the share of good documents. Posterior labe
 a sample train a linear scorer on hashed character features, which scores every text.
 
 Null and empty texts are voted bad by length and get the score of their (empty)
-features. An empty table gives no rows. Repeated rows each give a row; extra columns
-are ignored.
+features. An empty table gives no rows. Equal texts get equal scores; repeated rows and
+null ids each give a row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,7 +130,7 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 2.
 def classify(docs: DataFrame, most_rows: int = 3000, least_score: float = 0.5) -> DataFrame:
     """doc_id, score, weak_label (the labellers' posterior) and kept for every row of docs.
 
-    most_rows bounds the documents, drawn by a hash of the id, that train the scorer.
+    most_rows bounds the documents, drawn by a hash of id and text, that train the scorer.
     """
     cast = votes(docs)
     tally = cast.groupBy("votes").agg(F.count("*").alias("n")).collect()  # 3 ** labellers rows at most
@@ -151,7 +151,7 @@ def classify(docs: DataFrame, most_rows: int = 3000, least_score: float = 0.5) -
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array([table.value[tuple(v)] for v in own], pa.float64())], ["x", "y"])
 
     rate = min(1.0, most_rows / max(1, total))
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    drawn = docs.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id", "text"), F.lit(1 << 20)) < rate * (1 << 20))
     rows = votes(drawn).select("text", "dense", "votes").mapInArrow(featured, "x binary, y double").collect() if total else []
     if rows:
         x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)

@@ -61,8 +61,12 @@ def test_filter_keeps_prose_and_columns(spark, frame):
 
 
 def test_order_is_by_rejections_per_second(spark, frame):
-    ordered = Q.order_rules(frame(["a b c"] * 50))
-    assert [x[2] / max(x[1], 1e-6) for x in ordered] == sorted((x[2] / max(x[1], 1e-6) for x in ordered), reverse=True)
+    docs = frame(["abc def ghi"] * 50)
+    ordered = Q.order_rules(docs)
+    assert [x[2] / x[1] for x in ordered] == sorted((x[2] / x[1] for x in ordered), reverse=True)
+    assert ordered[0][0].name == "too_few_words" and ordered[0][2] == 1.0
+    rows = Q.report_order(docs).orderBy("place").collect()
+    assert rows[0]["rule"] == "too_few_words" and {r["rule"] for r in rows} == {r.name for r in Q.RULES} and all(r["seconds"] > 0 for r in rows)
 
 
 def test_empty_tables(spark, frame):

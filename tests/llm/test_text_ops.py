@@ -198,17 +198,47 @@ def test_trie_finds_misspellings():
     assert found["stupid"] == ("stupid", 0) and found["stupd"] == ("stupid", 1) and found["stuupid"] == ("stupid", 1)
     assert found["worthles"] == ("worthless", 1) and found["disgustin"] == ("disgusting", 1)
     assert found["verminous"] == ("vermin*", 0) and found["vermn"] == ("vermin*", 1)
-    assert found["bed"] is found["plain"] is found["sutpid"] is None
+    assert found["sutpid"] == ("stupid", 1) and found["bed"] is found["plain"] is None
+
+
+def test_trie_finds_digits_and_symbols():
+    trie = X.Trie({"stupid": 5.0, "idiot": 4.0, "scum": 3.0, "disgusting": 6.0})
+    text = "An id1ot, $tupid; sc*m! and d1sgust1ng stuff by id-iots? 1234 x@y.org"
+    assert [(h[0], h[1], h[2]) for h in X.hits(text, trie)] == [("id1ot", "idiot", 1), ("$tupid", "stupid", 1), ("sc*m", "scum", 1), ("d1sgust1ng", "disgusting", 2)]
+    assert trie.find("scam") is None and trie.find("scum!") is None
+    assert [h[0] for h in X.hits("stop!stupid", trie)] == ["stupid"]
+
+
+def swaps_too(a, b):
+    """Edits where a swap of neighbours is one."""
+    d = [list(range(len(b) + 1))]
+    for i in range(1, len(a) + 1):
+        d.append([i])
+        for j in range(1, len(b) + 1):
+            least = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                least = min(least, d[i - 2][j - 2] + 1)
+            d[i].append(least)
+    return d[-1]
 
 
 def test_trie_against_all_distances():
     rng = random.Random(8)
-    terms = ["".join(rng.choice("abc") for _ in range(n)) for n in (5, 5, 6, 7, 9, 12)]
-    trie = X.Trie(dict.fromkeys(terms, 1.0))
-    for _ in range(3000):
-        word = D._mutate(rng.choice(terms), rng.randrange(3), np.random.default_rng(rng.randrange(10**6)))
-        best = min(levenshtein(word, t) for t in terms)
-        assert (trie.find(word) or (None, None))[1] == (best if best <= 1 else None), word
+    whole = ["".join(rng.choice("abc") for _ in range(n)) for n in (4, 5, 5, 6, 7, 9, 10, 12, 13)]
+    starts = ["".join(rng.choice("abc") for _ in range(n)) for n in (6, 7, 10, 11)]
+    trie = X.Trie({**dict.fromkeys(whole, 1.0), **{f"{t}*": 1.0 for t in starts}})
+    for _ in range(4000):
+        word = list(rng.choice(whole + starts)) + [rng.choice("abc") for _ in range(rng.choice([0, 0, 3]))]
+        for _ in range(rng.randrange(4)):
+            i, kind = rng.randrange(len(word)), rng.randrange(4)
+            word[i : i + 1 + (kind == 3)] = [[rng.choice("abc")], [rng.choice("abc"), word[i]], [], word[i : i + 2][::-1]][kind]
+            word = word or ["a"]
+        word = "".join(word)
+        if len(word) < 4:
+            continue
+        near = [(swaps_too(t, word)[-1], t) for t in whole] + [(min(swaps_too(t, word)), f"{t}*") for t in starts]
+        best = min((d for d, t in near if d <= X.Trie.edits(t)), default=None)
+        assert (trie.find(word) or (None, None))[1] == best, word
 
 
 def test_quotation_weighs_less():
