@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm.common import cut, ensure_checkpoint_dir, table
+from lexloom.llm.common import ensure_checkpoint_dir, table
 from lexloom.llm.decontaminate import drop_contaminated
-from lexloom.llm.minhash import near_duplicates
+from lexloom.llm.minhash import drop_near_duplicates
 from lexloom.llm.mixing import mix_sources
 from lexloom.llm.pii import redact
 from lexloom.llm.quality_rules import filter_quality
@@ -22,8 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id."""
-    gone = cut(near_duplicates(docs, percent=80).where("NOT kept").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return drop_near_duplicates(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
