@@ -11,13 +11,13 @@ from pyspark.sql.types import StringType
 
 BLANK = " \t\n\x0b\x0c\r"
 
-# Lines that start a footer, searched for in the last 25 lines without regard to case.
+# Lines that start a footer, searched for in the last 25 lines without regard to case. A collection adds
+# the line that names it through ``patterns``.
 FOOTERS = (
     r"portion\s+of\s+scripture\s+read",
     r"portions\s+of\s+scripture\s+read",
     r"hymns\s+from",
     r"pray\s+the\s+holy\s+spirit\s+will\s+use",
-    r"adapted\s+from\s+the\s+.{1,40}\s+collection",
     r"the\s+tongue\s+of\s+the\s+wicked\s+has\s+assailed",
     r"passmore\s*&\s*alabaster",
     r"published\s+by\s+passmore",
@@ -55,32 +55,37 @@ def drop_footer(c: Column, window: int = 25, patterns: tuple[str, ...] = FOOTERS
     return F.when(at > 0, F.array_join(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")), "\n")).otherwise(c)
 
 
-# The steps of the cleaner in their order (pattern, replacement).
+# The steps of the cleaner in their order (name, pattern, replacement).
 MARKDOWN_STEPS = (
-    (r"(?dUm)^#{1,6}\s+", ""),
-    (r"(?dU)\*{1,3}(.+?)\*{1,3}", "$1"),
-    (r"(?dU)_{1,3}(.+?)_{1,3}", "$1"),
-    (r"(?dUm)^>\s?", ""),
-    (r"(?dUm)^[-*_]{3,}\s*$", ""),
-    (r"(?dU)\[(.+?)\]\(.*?\)", "$1"),
-    (r"(?dU)\[\^[^\]]+\]", ""),
-    (r"(?dUm)^\[\^[^\]]+\]:.*$", ""),
-    (r"(?dU)<[^>]+>", ""),
-    (r"(?dUmi)^(SERMON\s+)?NO\.\s*\d+\.?\s*$", ""),
-    (r"(?dUmi)^Volume\s+[IVXLCDM\d]+\.?\s*$", ""),
-    (r"(?dU)\n{3,}", "\n\n"),
+    ("headings", r"(?dUm)^#{1,6}\s+", ""),
+    ("stars", r"(?dU)\*{1,3}(.+?)\*{1,3}", "$1"),
+    ("underscores", r"(?dU)_{1,3}(.+?)_{1,3}", "$1"),
+    ("quotes", r"(?dUm)^>\s?", ""),
+    ("rules", r"(?dUm)^[-*_]{3,}\s*$", ""),
+    ("links", r"(?dU)\[(.+?)\]\(.*?\)", "$1"),
+    ("footnotes", r"(?dU)\[\^[^\]]+\]", ""),
+    ("footnote_texts", r"(?dUm)^\[\^[^\]]+\]:.*$", ""),
+    ("tags", r"(?dU)<[^>]+>", ""),
+    ("numbers", r"(?dUmi)^(SERMON\s+)?NO\.\s*\d+\.?\s*$", ""),
+    ("volumes", r"(?dUmi)^Volume\s+[IVXLCDM\d]+\.?\s*$", ""),
+    ("blank_lines", r"(?dU)\n{3,}", "\n\n"),
 )
 
 
-def clean_markdown(c: Column) -> Column:
+def apply_steps(c: Column, *names: str) -> Column:
+    """The named steps of the cleaner in its order, all without a name."""
+    for name, pattern, by in MARKDOWN_STEPS:
+        if not names or name in names:
+            c = F.regexp_replace(c, pattern, by)
+    return c
+
+
+def clean_markdown(c: Column, footers: tuple[str, ...] = FOOTERS) -> Column:
     """Plain text of a markdown document: footer, markup, number lines and blank runs go, in this order.
 
     Character references are decoded beforehand with ``unescape``, in a projection of its own.
     """
-    c = drop_footer(F.replace(c, F.lit("\r\n"), F.lit("\n")))
-    for pattern, by in MARKDOWN_STEPS:
-        c = F.regexp_replace(c, pattern, by)
-    return strip(c)
+    return strip(apply_steps(drop_footer(F.replace(c, F.lit("\r\n"), F.lit("\n")), patterns=footers)))
 
 
 def clean_for_questions(c: Column) -> Column:
@@ -121,6 +126,25 @@ def hash32(seed: str, key: Column) -> Column:
 
 def topic(c: Column, key: Column, lower_topics: bool = True) -> Column:
     """The first topic in the list's order that the text holds; one by hash if none does."""
-    low = F.lower(c)
-    hit = [F.when(F.contains(low, F.lit(t.lower() if lower_topics else t)), F.lit(t)) for t in TOPICS]
-    return F.coalesce(*hit, pick("topic", key, FALLBACK_TOPICS))
+    hit = lambda low: F.coalesce(*[F.when(F.contains(low, F.lit(t.lower() if lower_topics else t)), F.lit(t)) for t in TOPICS], F.lit(None).cast("string"))
+    found = F.get(F.transform(F.array(F.lower(c)), hit), F.lit(0))  # the text is lower-cased once
+    return F.coalesce(found, pick("topic", key, FALLBACK_TOPICS))
+
+
+def look_up(table: dict[str, dict[str, str]], key: Column, lang: Column, default: str = "en") -> Column:
+    """A text by language and key: that of the default language where there is none, else the key."""
+    flat = F.create_map(*[F.lit(x) for k, texts in table.items() for name, value in texts.items() for x in (f"{k}|{name}", value)])
+    of = lambda code: F.try_element_at(flat, F.concat(code, F.lit("|"), key))
+    return F.coalesce(of(F.lower(lang)), of(F.lit(default)), key)
+
+
+def comma_list(items: Column) -> Column:
+    """Elements joined by commas; empty for none."""
+    return F.coalesce(F.array_join(items.cast("array<string>"), ","), F.lit(""))
+
+
+def numbered_url(template: str, volume: Column, number: Column) -> Column:
+    """The template with {volume} and {number}; empty unless both are there and not 0."""
+    there = (F.coalesce(volume, F.lit(0)) != 0) & (F.coalesce(number, F.lit(0)) != 0)
+    filled = F.replace(F.replace(F.lit(template), F.lit("{volume}"), volume.cast("string")), F.lit("{number}"), number.cast("string"))
+    return F.when(there, filled).otherwise(F.lit(""))

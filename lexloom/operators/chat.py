@@ -55,6 +55,12 @@ def merge(records: DataFrame, *order: str) -> DataFrame:
     return first_wins(records.withColumn("_u", first_of_role(F.col("messages"))), F.col("_u"), *order).drop("_u")
 
 
+def merge_counts(records: DataFrame, source: str, *order: str) -> DataFrame:
+    """How many records of each input a merge loads, and how many it leaves out as duplicates."""
+    ranked = records.select(source, F.row_number().over(Window.partitionBy(F.md5(first_of_role(F.col("messages")))).orderBy(source, *order)).alias("r"))
+    return ranked.groupBy(source).agg(F.count_if(F.col("r") == 1).alias("loaded"), F.count_if(F.col("r") > 1).alias("duplicates"))
+
+
 def parse_pairs(raw: Column) -> Column:
     """Question-answer pairs of a model's JSON output, an array or one object, fenced or not; null if it's neither."""
     from lexloom.functions.text import strip_fences
@@ -62,3 +68,50 @@ def parse_pairs(raw: Column) -> Column:
     body = strip_fences(raw)
     body = F.when(F.startswith(body, F.lit("{")), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
     return F.from_json(body, "array<struct<question:string,answer:string>>")
+
+
+def remember(turns: DataFrame, succeeded: Column) -> DataFrame:
+    """The turns that a conversation's memory holds: answers that succeeded, and the questions that they answer.
+
+    A question goes again when its answer fails or never comes.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    marked = turns.withColumn("_ok", succeeded & (F.col("role") == "assistant"))
+    marked = marked.withColumn("_next", F.lead("_ok").over(order))
+    stays = F.when(F.col("role") == "user", F.coalesce("_next", F.lit(False))).when(F.col("role") == "assistant", F.col("_ok")).otherwise(F.lit(True))
+    return marked.where(stays).drop("_ok", "_next")
+
+
+def remember_stream(turns: DataFrame) -> DataFrame:
+    """The same over a stream of (conv_id, turn, role, text, ok): each batch gives the memory of its conversations as it then stands."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        memory = [tuple(x) for x in zip(*state.get, strict=True)] if state.exists else []
+        for r in pd.concat(batches).sort_values("turn").itertuples():
+            if memory and memory[-1][1] == "user" and (r.role == "user" or not r.ok):
+                memory.pop()
+            if r.role != "assistant" or r.ok:
+                memory.append((r.turn, r.role, r.text))
+        state.update(tuple(map(list, zip(*memory, strict=True))) if memory else ([], [], []))
+        yield pd.DataFrame({"conv_id": [key[0]] * len(memory), "turn": [m[0] for m in memory], "role": [m[1] for m in memory], "text": [m[2] for m in memory]})
+
+    out, kept = "conv_id long, turn int, role string, text string", "turn array<int>, role array<string>, text array<string>"
+    return turns.groupBy("conv_id").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def build_messages(system: Column, history: Column, user: Column, n: int = 6) -> Column:
+    """System message, the last n of the history and the question with its context."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    recent = F.coalesce(F.slice(history, F.greatest(F.size(history) - n, F.lit(0)) + 1, F.lit(n)), F.array().cast(MESSAGES))
+    return F.concat(F.array(turn("system", system)), recent, F.array(turn("user", user)))
+
+
+def system_prompt(author: Column, variant: Column, base: dict[str, str], default_author: str, other: str) -> Column:
+    """The prompt of a variant, ``default`` where it isn't known; another author than the default has ``other`` in every variant."""
+    known = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
+    chosen = F.coalesce(F.try_element_at(known, variant), F.lit(base["default"]))
+    return F.when(F.coalesce(author, F.lit(default_author)) == default_author, chosen).otherwise(F.replace(F.lit(other), F.lit("{author}"), author))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions.references import extract_references
 from lexloom.functions.text import BLANK, hash32
 
 
@@ -41,28 +44,98 @@ def sample_exactly(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame
     return df.orderBy(*seeded(seed, key)).limit(n)
 
 
-def split(df: DataFrame, key: str, test_share: float, seed: int = 42, scale: int = 1 << 16) -> DataFrame:
+def split(df: DataFrame, key: str, test_share: float, seed: int = 42, scale: int = 1 << 16, floor_train: bool = False) -> DataFrame:
     """df with a column split: exactly ceil(share * rows) test rows, the least by hash.
 
+    With floor_train there are floor((1 - share) * rows) training rows, and the rest are test rows.
+    Null keys are rows like others, first in order; ties are in any order.
+
     Rows are counted by ranges of the hash first; only the range that holds the
     boundary is ranked, so no task sees all rows.
     """
-    h = hash32(str(seed), F.col(key))
+    h = F.coalesce(hash32(str(seed), F.col(key)), F.lit(0))
     marked = df.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") / ((1 << 32) // scale)))
     sums = marked.groupBy("_b").agg(F.count("*").alias("c"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_a"), F.ceil(F.sum("c").over(Window.partitionBy()) * test_share).alias("_t"))
+    rows = F.sum("c").over(Window.partitionBy())
+    tests = rows - F.floor(rows * (1 - F.lit(test_share))) if floor_train else F.ceil(rows * test_share)
+    sums = sums.select("_b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_a"), tests.alias("_t"))
     ranked = marked.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))).join(sums, "_b")
     return ranked.withColumn("split", F.when(F.col("_a") + F.col("_r") <= F.col("_t"), F.lit("test")).otherwise(F.lit("train"))).drop("_h", "_b", "_r", "_a", "_t")
 
 
 def windows(docs: DataFrame, size: int, step: int, least: int, tail: int) -> DataFrame:
-    """doc_id, ord and chunk: stripped windows of size characters at every step before length - tail, if long enough."""
+    """doc_id, ord and chunk: stripped windows of size characters at every step before length - tail, if long enough.
+
+    A text is cut once into pieces that windows are made of, so that work grows with its length.
+    """
+    g = math.gcd(size, step)
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{g}}}"), F.lit(0))
     n = F.length("text")
     starts = F.when(n > tail, F.sequence(F.lit(0), n - tail - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    cut = docs.select("doc_id", "text", F.posexplode(starts).alias("ord", "start"))
-    chunk = F.btrim(F.substring(F.col("text"), F.col("start") + 1, F.lit(size)), F.lit(BLANK))
-    return cut.select("doc_id", "ord", chunk.alias("chunk")).where(F.length("chunk") >= least)
+    whole = lambda p: F.transform(starts, lambda s: F.btrim(F.array_join(F.slice(p, (s / g).cast("int") + 1, F.lit(size // g)), ""), F.lit(BLANK)))
+    chunks = F.get(F.transform(F.array(pieces), whole), F.lit(0))
+    return docs.select("doc_id", F.posexplode(chunks).alias("ord", "chunk")).where(F.length("chunk") >= least)
+
+
+def outcomes(docs: DataFrame, held: DataFrame, key: str, least: int) -> DataFrame:
+    """How many documents are held out, double, too short or written."""
+    first = F.row_number().over(Window.partitionBy("k").orderBy(key)) == 1
+    marked = docs.join(held.select(key, F.lit(True).alias("h")), key, "left")
+    ranked = marked.where("h IS NULL").withColumn("first", first)
+    reason = F.when(~F.col("first"), F.lit("duplicate")).when(F.col("chars") < least, F.lit("short")).otherwise(F.lit("written"))
+    return marked.where("h").select(F.lit("held_out").alias("reason")).union(ranked.select(reason)).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def pack_tokens(docs: DataFrame, size: int = 768, overlap: int = 128) -> DataFrame:
+    """doc_id, ord and chunk: whole sentences up to size words; a chunk begins with the last sentences of the one before, up to overlap words.
+
+    Words stand for tokens. Sentences of over size words are cut into runs of size words. White space becomes one space.
+    """
+    none = F.array().cast("array<array<string>>")
+    words = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size)), lambda i: F.slice(w, i, F.lit(size)))
+    sentences = F.filter(F.flatten(F.transform(F.split("text", r"(?<=[.!?])\s+"), lambda s: runs(words(s)))), lambda w: F.size(w) > 0)
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, w: n + F.size(w))
+
+    def tail(cur: Column, new: Column) -> Column:
+        """The longest run of last sentences within the overlap that leaves room for the new one."""
+        room = F.least(F.lit(overlap), F.lit(size) - F.size(new))
+        start = F.struct(F.lit(0).alias("n"), none.alias("kept"), F.lit(True).alias("on"))
+        fits = lambda a, w: a["on"] & (a["n"] + F.size(w) <= room)
+        grow = lambda a, w: F.when(fits(a, w), F.struct((a["n"] + F.size(w)).alias("n"), F.concat(F.array(w), a["kept"]).alias("kept"), F.lit(True).alias("on"))).otherwise(
+            F.struct(a["n"].alias("n"), a["kept"].alias("kept"), F.lit(False).alias("on"))
+        )
+        return F.aggregate(F.reverse(cur), start, grow)["kept"]
+
+    def step(a: Column, w: Column) -> Column:
+        full = (F.size(a["cur"]) > 0) & (total(a["cur"]) + F.size(w) > size)
+        flushed = F.struct(F.concat(tail(a["cur"], w), F.array(w)).alias("cur"), F.concat(a["out"], F.array(F.array_join(F.flatten(a["cur"]), " "))).alias("out"))
+        return F.when(full, flushed).otherwise(F.struct(F.concat(a["cur"], F.array(w)).alias("cur"), a["out"].alias("out")))
+
+    packed = F.aggregate(sentences, F.struct(none.alias("cur"), F.array().cast("array<string>").alias("out")), step)
+    last = lambda p: F.when(F.size(p["cur"]) > 0, F.concat(p["out"], F.array(F.array_join(F.flatten(p["cur"]), " ")))).otherwise(p["out"])
+    return docs.select("doc_id", F.posexplode(F.get(F.transform(F.array(packed), last), F.lit(0))).alias("ord", "chunk"))
+
+
+def with_references(chunks: DataFrame, of_document: str = "references", most: int = 12) -> DataFrame:
+    """chunks with their own references and, in order of name, those of chunk and document together; all columns are carried along."""
+    own = chunks.withColumn("chunk_references", extract_references(F.col("chunk"), most))
+    return own.withColumn("all_references", F.array_sort(F.array_union(F.coalesce(of_document, F.array().cast("array<string>")), "chunk_references")))
+
+
+def bins(docs: DataFrame, key: str, size: str, width: int, ranges: int = 64) -> DataFrame:
+    """key and bin: place of each row's first unit, in key order, in bins of so many units.
+
+    Rows are dealt to ranges of the key cut at quantiles, so that sums run over even
+    ranges whatever the keys; the table of ranges is small. More rows ask for more ranges.
+    """
+    dealt = docs.select(key, size).repartitionByRange(ranges, key).withColumn("part", F.spark_partition_id()).persist()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("part").agg(F.sum(size).alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("w", F.coalesce(F.sum(size).over(within), F.lit(0))).join(F.broadcast(sums), "part")  # as many rows as ranges
+    return placed.select(key, F.floor((F.col("ahead") + F.col("w")) / width).cast("long").alias("bin"))
 
 
 def pack_sentences(docs: DataFrame, size: int = 1200, least: int = 400, most: int = 3) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,18 +52,33 @@ def parse_numbers(c: Column) -> Column:
 
 
 def top_k(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """The k rows nearest to the one query vector (column q) by inner product; ids break ties."""
-    scored = vectors.join(F.broadcast(query.select("q")))  # one row
+    """The k rows nearest to the one query vector (column q) by inner product; ids break ties. Several query rows are an error."""
+    found = query.select("q").limit(2).agg(F.collect_list("q").alias("qs"))
+    one = found.select(F.when(F.size("qs") < 2, F.get("qs", F.lit(0))).otherwise(F.raise_error(F.lit("top_k takes one query"))).alias("q"))
+    scored = vectors.join(F.broadcast(one)).where("q IS NOT NULL")
     return scored.withColumn("score", F.round(dot("embedding", "q"), 6)).drop("q", "embedding").orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2000, most_blocks: int = 10_000) -> DataFrame:
+def retrieve(vectors: DataFrame, query: DataFrame, keep: Column | None, k: int, then: Column | None, most: int) -> DataFrame:
+    """Filter, top k, a second filter on these only, and at most ``most`` of what is left, with their place from 1."""
+    found = top_k(vectors if keep is None else vectors.where(keep), query, k)
+    found = (found if then is None else found.where(then)).orderBy(F.desc("score"), "vec_id").limit(most)
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))  # at most k rows
+
+
+def range_filter(column: str, low: int, high: int, whole: tuple[int, int]) -> Column | None:
+    """No filter where the range is the whole one."""
+    return None if (low, high) == whole else F.col(column).between(low, high)
+
+
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2000) -> DataFrame:
     """query_id, vec_id, score and rank of the k nearest other rows of each query (query_id, q).
 
-    Queries go out in blocks of about ``block`` rows by a hash of their id, so that what
-    a task holds doesn't grow with them; each block is one pass over the vectors.
+    Exact, so each query meets every vector. Queries go out in blocks of about ``block``
+    rows by a hash of their id, so that what a task holds doesn't grow with them; each
+    block is one pass over the vectors.
     """
-    blocks = min(most_blocks, -(-queries.count() // block) or 1)
+    blocks = -(-queries.count() // block) or 1
     out = None
     for b in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
@@ -74,13 +90,32 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2000
     return out
 
 
-def context_blocks(rows: DataFrame, by: str, rank: str, separator: str = "\n\n") -> DataFrame:
-    """One string of attributed blocks a group, in rank order; rows has number, title, volume, reference and text."""
-    header = F.concat(
-        F.lit("[Document "), F.coalesce(F.col("number").cast("string"), F.lit("?")), F.lit(' — "'), F.coalesce("title", F.lit("Untitled")), F.lit('"'),
-        F.when(F.col("volume").isNotNull(), F.concat(F.lit(", Volume "), F.col("volume").cast("string"))).otherwise(F.lit("")),
-        F.when(F.col("reference") != "", F.concat(F.lit(" | Text: "), "reference")).otherwise(F.lit("")), F.lit("]"),
-    )
-    block = F.concat(header, F.lit("\n"), F.trim("text"), F.lit("\n"))
+@dataclass(frozen=True)
+class Header:
+    """The line above an excerpt: what comes before the volume and the reference, and what an untitled one is called."""
+
+    word: str = "Document"
+    untitled: str = "Untitled"
+    volume: str | None = ", Volume "
+    reference: str | None = " | Text: "
+
+    def column(self) -> Column:
+        """Over the columns number, title, volume and reference."""
+        given = lambda prefix, value, there: F.when(there, F.concat(F.lit(prefix), value)).otherwise(F.lit("")) if prefix else F.lit("")
+        number = F.coalesce(F.col("number").cast("string"), F.lit("?"))
+        return F.concat(
+            F.lit(f"[{self.word} "), number, F.lit(' — "'), F.coalesce("title", F.lit(self.untitled)), F.lit('"'),
+            given(self.volume, F.col("volume").cast("string"), F.col("volume").isNotNull() & (F.col("volume") != 0)),
+            given(self.reference, F.col("reference"), F.coalesce(F.col("reference") != "", F.lit(False))), F.lit("]"),
+        )
+
+
+#: The three forms in use: prompts, evaluation and samples.
+PROMPT_HEADER, EVALUATION_HEADER, SAMPLE_HEADER = Header(), Header(untitled="", volume=", Vol. ", reference=" | "), Header(untitled="", volume=None, reference=None)
+
+
+def context_blocks(rows: DataFrame, by: str, rank: str, separator: str = "\n\n", header: Header = PROMPT_HEADER, tail: str = "\n") -> DataFrame:
+    """One string of attributed blocks a group, in rank order; rows has number, title, volume, reference and text. Groups are the few rows of a query."""
+    block = F.concat(header.column(), F.lit("\n"), F.trim("text"), F.lit(tail))
     listed = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), block.alias("b"))))
     return rows.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: x["b"]), separator).alias("context"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -68,7 +69,7 @@ def build_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = corpus.sample_exactly(docs.select("doc_id"), 50, "doc_id")
     kept = docs.select("doc_id", "text").join(held, "doc_id", "left_anti")
     ids = corpus.first_wins(kept.select("doc_id", corpus.fingerprint(F.col("text")).alias("k")), F.col("k"), "doc_id")
-    body = F.regexp_replace(F.regexp_replace("text", r"<[^>]+>", ""), r"\n{3,}", "\n\n")
+    body = T.apply_steps(F.col("text"), "tags", "blank_lines")
     clean = kept.join(ids.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.btrim(body, F.lit(T.BLANK)).alias("body"))
     return clean.where(F.length("body") >= 500).select("doc_id", F.length("body").cast("long").alias("chars"), F.md5("body").alias("digest"))
 
@@ -76,14 +77,29 @@ def build_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&'),
     '<[^>]+>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), """ + _BLANK_SQL + """)) AS digest FROM pages""")
 def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("html")
-    for a, b in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    c = F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"\n{3,}", "\n\n")
-    return read(spark, sf_dir, "pages").select("page_id", F.md5(F.btrim(c, F.lit(T.BLANK))).alias("digest"))
+    decoded = read(spark, sf_dir, "pages").select("page_id", T.unescape(F.col("html")).alias("t"))
+    return decoded.select("page_id", F.md5(F.btrim(T.apply_steps(F.col("t"), "tags", "blank_lines"), F.lit(T.BLANK))).alias("digest"))
 
 
-@query()
+def _cleaner_sql(text: str) -> str:
+    """The cleaner's steps; expression flags are set as RE2 has them."""
+    for _, pattern, by in T.MARKDOWN_STEPS:
+        flags, body = re.match(r"\(\?([a-zA-Z]+)\)(.*)", pattern).groups()
+        flags = "".join(c for c in flags if c in "mi")
+        found = f"(?{flags}-s)" if flags else "(?-s)"
+        new = by.replace("$1", chr(92) + "1").replace("\n", "' || chr(10) || '")
+        text = f"regexp_replace({text}, '{found}{body}', '{new}', 'g')"
+    return text
+
+
+_LINES = "string_split(t, chr(10))"
+_FOOTER = f"list_position(list_transform({_LINES}, lambda x, i: i > len({_LINES}) - 25 AND regexp_matches(x, '(?i){'|'.join(T.FOOTERS)}')), true)"
+_DECODED = "replace(replace(replace(replace(replace(replace(html, chr(13) || chr(10), chr(10)), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&amp;', '&')"
+
+
+@query(f"""SELECT page_id, trim({_cleaner_sql("t")}, {_BLANK_SQL}) AS text FROM (
+    SELECT page_id, CASE WHEN coalesce(foot, 0) > 0 THEN array_to_string(list_slice({_LINES}, 1, foot - 1), chr(10)) ELSE t END AS t FROM (
+        SELECT page_id, t, {_FOOTER} AS foot FROM (SELECT page_id, {_DECODED} AS t FROM pages)))""")
 def clean_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = read(spark, sf_dir, "pages").select("page_id", T.unescape(F.replace("html", F.lit("\r\n"), F.lit("\n"))).alias("t"))
     return decoded.select("page_id", T.clean_markdown(F.col("t")).alias("text"))
@@ -110,7 +126,14 @@ def chunk_600_300(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir, 600, 300, 100, 100)
 
 
-@query()
+_SENTENCES = "string_split(regexp_replace(text, '([.!?])[\\s\\x0b]+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"""WITH p AS (SELECT doc_id, list_reduce(list_transform({_SENTENCES}, lambda s: {{'cur': s, 'out': []::VARCHAR[]}}), lambda a, x: CASE WHEN len(a.out) >= 3 THEN a
+        WHEN length(a.cur) + length(x.cur) > 1200 AND length(a.cur) > 400 THEN {{'cur': x.cur, 'out': list_append(a.out, a.cur)}}
+        ELSE {{'cur': CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || ' ' || x.cur END, 'out': a.out}} END) AS p FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, CASE WHEN len(p.out) < 3 AND length(p.cur) > 400 THEN list_append(p.out, p.cur) ELSE p.out END AS c FROM p)
+    SELECT doc_id, (i - 1)::INT AS ord, c[i] AS chunk FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM c)""")
 def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.pack_sentences(read(spark, sf_dir, "documents"))
 
@@ -135,14 +158,6 @@ def topic_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.topic(F.col("text"), F.col("doc_id")).alias("topic"))
 
 
-@query(r"""SELECT ref, count(*)::BIGINT AS uses, count(DISTINCT doc_id)::BIGINT AS docs FROM (
-    SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b[a-z]+ [0-9]{1,3}\b')) AS ref FROM documents) GROUP BY ref""")
-def ref_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    found = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]+ [0-9]{1,3}\b"), F.lit(0))).alias("ref"))
-    return found.groupBy("ref").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("docs"))
-
-
 _SCORE = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 _TOP = f"SELECT e.vec_id, e.label, {_SCORE} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0"
 
@@ -157,10 +172,11 @@ def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(e, _first_vector(e), 6)
 
 
-@query(f"{_TOP} AND e.label < 3 ORDER BY score DESC, vec_id LIMIT 6")
+@query(f"{_TOP} AND e.label IN (0, 1, 2) ORDER BY score DESC, vec_id LIMIT 6")
 def topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
-    return retrieval.top_k(e.where("label < 3"), _first_vector(e), 6)
+    keep = retrieval.metadata_filter(volumes=(0, 1, 2))
+    return retrieval.top_k(e.withColumn("volume", F.col("label")).where(keep).drop("volume"), _first_vector(e), 6)
 
 
 @query(f"SELECT * FROM ({_TOP} ORDER BY score DESC, vec_id LIMIT 6) WHERE label IS NULL OR label BETWEEN 0 AND 4 ORDER BY score DESC, vec_id LIMIT 5")
@@ -270,22 +286,22 @@ def judge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_AB = f"""SELECT doc_id, lang, ({_hash_sql('a', 'doc_id')} % 51) / 10.0::DOUBLE AS a, ({_hash_sql('b', 'doc_id')} % 51) / 10.0::DOUBLE AS b FROM documents"""
-
-
-@query(f"""SELECT lang, round(avg(nullif(a, 0)), 6) AS mean_a, round(avg(nullif(b, 0)), 6) AS mean_b, round(avg(nullif(b, 0)) - avg(nullif(a, 0)), 6) AS delta,
-    count_if(b - a >= 0.1) AS wins, count_if(b - a <= -0.1) AS losses, count_if(abs(b - a) < 0.1) AS ties FROM ({_AB}) GROUP BY lang""")
+@query("""SELECT lang, round(avg(nullif(a, 0)), 6) AS mean_a, round(avg(nullif(b, 0)), 6) AS mean_b, round(avg(nullif(b, 0)) - avg(nullif(a, 0)), 6) AS delta,
+    count_if(b - a >= 0.1) AS wins, count_if(b - a <= -0.1) AS losses, count_if(abs(b - a) < 0.1) AS ties
+    FROM (SELECT d.lang, l.quality::DOUBLE AS a, (1 - l.toxic)::DOUBLE AS b FROM labels l JOIN documents d USING (doc_id)) GROUP BY lang""")
 def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    scored = lambda s: docs.select("doc_id", "lang", ((T.hash32(s, F.col("doc_id")) % 51) / F.lit(10.0)).alias("score"))
-    return evaluation.compare(scored("a"), scored("b"), "doc_id", "lang")
+    """Two judgements of the same documents: quality, and freedom from toxicity."""
+    both = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    scored = lambda c: both.select("doc_id", "lang", c.cast("double").alias("score"))
+    return evaluation.compare(scored(F.col("quality")), scored(1 - F.col("toxic")), "doc_id", "lang")
 
 
-@query(f"""SELECT lang, round(exp(sum((1 + {_hash_sql('loss', 'doc_id')} % 200 / 100.0::DOUBLE) * least(n_chars, 2048)) / sum(least(n_chars, 2048))), 6) AS perplexity FROM documents GROUP BY lang""")
+@query(r"""SELECT lang, round(exp(sum(loss * tokens) / sum(tokens)), 6) AS perplexity FROM (SELECT lang, least(n_chars, 2048) AS tokens,
+    ln(1 + length(text)::DOUBLE / greatest(len(regexp_extract_all(text, '[^ ]+')), 1)) AS loss FROM documents) GROUP BY lang""")
 def weighted_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loss = 1 + (T.hash32("loss", F.col("doc_id")) % 200) / F.lit(100.0)
-    tokens = F.least("n_chars", F.lit(2048))
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.round(evaluation.perplexity(loss, tokens), 6).alias("perplexity"))
+    """Weighted by length up to 2048; the logarithm of the mean length of a word stands for a model's loss."""
+    loss = F.log(1 + F.length("text") / F.greatest(F.regexp_count("text", F.lit("[^ ]+")), F.lit(1)))
+    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.round(evaluation.perplexity(loss, F.least("n_chars", F.lit(2048))), 6).alias("perplexity"))
 
 
 @query("""SELECT conv_id, turn, contains(text, 'the') AND contains(text, conv_id::VARCHAR) AS has_citations,
@@ -300,7 +316,11 @@ def usage_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.usage(read(spark, sf_dir, "events"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6::DOUBLE AS moment, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    r AS (SELECT event_id, user_id, i, true AS allowed, 0 AS used, [moment] AS log FROM e WHERE i = 1
+        UNION ALL SELECT event_id, user_id, i, len(live) < 8, len(live)::INT, CASE WHEN len(live) < 8 THEN list_append(live, moment) ELSE live END
+        FROM (SELECT e.*, list_filter(r.log, lambda t: t > e.moment - 3600) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+    SELECT event_id, user_id, allowed, used FROM r""")
 def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.admit(read(spark, sf_dir, "events"))
 
@@ -312,14 +332,9 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, (sum(t) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - t) // 2048 AS bin FROM (SELECT doc_id, ceil(length(text) * 0.2374)::BIGINT AS t FROM documents)""")
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins of 2048 estimated tokens in id order; prefix sums run over ranges of ids first."""
+    """Bins of 2048 estimated tokens in id order."""
     t = F.ceil(F.length("text") * F.lit(0.2374)).cast("long")
-    docs = read(spark, sf_dir, "documents").select("doc_id", t.alias("t"), F.floor(F.col("doc_id") / 512).alias("part"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = docs.groupBy("part").agg(F.sum("t").alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.withColumn("w", F.coalesce(F.sum("t").over(within), F.lit(0))).join(sums, "part")
-    return placed.select("doc_id", F.floor((F.col("ahead") + F.col("w")) / 2048).cast("long").alias("bin"))
+    return corpus.bins(read(spark, sf_dir, "documents").select("doc_id", t.alias("t")), "doc_id", "t", 2048)
 
 
 @query("""SELECT doc_id, (len(text) - len(replace(text, 'the', ''))) // 3 AS hits, ceil(length(text) * 0.2374)::BIGINT AS tokens FROM documents""")

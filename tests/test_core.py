@@ -2,9 +2,14 @@
 
 import html
 import json
+import random
 import re
+import shutil
+import subprocess
+import sys
 from collections import deque
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import references as R
 from lexloom.functions import text as T
 from lexloom.operators import chat, corpus, evaluation, retrieval
-from lexloom.plans import catalog
+from lexloom.plans import catalog, extended  # noqa: F401
 from lexloom.sources import readers
 from lexloom.streaming import limiter
 
@@ -164,7 +169,7 @@ def test_limiter(spark):
 
 
 def test_limiter_stream(spark, tmp_path):
-    rows = [(i, i % 2, datetime.fromtimestamp(i, timezone.utc)) for i in range(30)]
+    rows = [(i, i % 2, datetime.fromtimestamp(10**6 + i, timezone.utc)) for i in range(30)]
     events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
     events.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
@@ -178,7 +183,12 @@ def test_readers(spark, tmp_path):
     (tmp_path / "c/volume-3").mkdir(parents=True)
     (tmp_path / "c/volume-3/sermon-39.md").write_text("# Sermon 39 & 40 | A Title\nin 1861\nText: John 3:16\n")
     (tmp_path / "c/README.md").write_text("no")
-    docs = readers.parse_documents(readers.markdown_files(spark, str(tmp_path / "c"))).collect()
+    (tmp_path / "c/volume-10").mkdir()
+    (tmp_path / "c/volume-10/sermon_7.md").write_text("no heading")
+    names = lambda **how: [r["stem"] for r in readers.markdown_files(spark, str(tmp_path / "c"), **how).collect()]
+    assert names(limit=5) == ["sermon-39", "sermon_7"] and names(limit=1) == ["sermon-39"] and names(folders=r"volume-\d\d") == ["sermon_7"]
+    docs = readers.parse_documents(readers.markdown_files(spark, str(tmp_path / "c"), folders="volume-3"), url="u/{volume}/{number}").collect()
+    assert docs[0]["source_url"] == "u/3/39" and docs[0]["raw_url"] == ""
     assert [(d["number"], d["title"], d["volume"], d["year"], d["reference"], d["book"]) for d in docs] == [(39, "A Title", 3, 1861, "John 3:16", "John")]
     texts = spark.createDataFrame([("a" * 300,), ("b" * 250 + "\nline",), ("short",)], "text string")
     readers.write_delimited(texts, str(tmp_path / "d"))
@@ -186,8 +196,10 @@ def test_readers(spark, tmp_path):
     good = {"messages": [{"role": "user", "content": "q"}]}
     (tmp_path / "a.jsonl").write_text(json.dumps(good) + "\n\nbroken\n" + json.dumps({"messages": [{"role": "system", "content": "s"}]}) + "\n")
     (tmp_path / "b.jsonl").write_text(json.dumps(good) + "\n")
-    chats = readers.read_chat(spark, str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl"))
-    assert chat.merge(chats, "file", "line").count() == 2
+    chats = readers.read_chat(spark, str(tmp_path / "a.jsonl"), str(tmp_path / "missing.jsonl"), str(tmp_path / "b.jsonl"))
+    assert chat.merge(chats, "file", "block", "line").count() == 2
+    with pytest.raises(Exception):  # noqa: B017
+        readers.read_chat(spark, str(tmp_path / "missing.jsonl"), strict=True).count()
 
 
 def test_templates(spark):
@@ -196,14 +208,135 @@ def test_templates(spark):
     assert one(spark, chat.first_of_role(messages), t="") == "q"
 
 
+def test_split_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None,), (None,), *[(i,) for i in range(98)]], "doc_id long")
+    for floor in (False, True):
+        assert corpus.split(df, "doc_id", 0.05, floor_train=floor).groupBy("split").count().where("split = 'test'").first()["count"] == 5
+    assert corpus.split(df.limit(3), "doc_id", 0.5, floor_train=True).where("split = 'train'").count() == 1
+
+
+def brute_tokens(text, size, overlap):
+    runs = []
+    for s in re.split(r"(?<=[.!?])\s+", text):
+        w = s.split()
+        runs += [w[i : i + size] for i in range(0, len(w), size)]
+    out, cur = [], []
+    for r in runs:
+        if cur and sum(map(len, cur)) + len(r) > size:
+            out.append(" ".join(w for x in cur for w in x))
+            room, kept = min(overlap, size - len(r)), []
+            for x in reversed(cur):
+                if len(x) > room:
+                    break
+                kept.insert(0, x)
+                room -= len(x)
+            cur = kept
+        cur = [*cur, r]
+    return out + ([" ".join(w for x in cur for w in x)] if cur else [])
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(20, 6), (7, 0), (768, 128)])
+def test_pack_tokens(spark, size, overlap):
+    r = random.Random(size)
+    texts = ["", "One.", "a b c", " ".join("w" * r.randrange(1, 4) + r.choice(["", "", "", ".", "!"]) for _ in range(3000)), "x " * 50]
+    rows = corpus.pack_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), size, overlap).collect()
+    for i, t in enumerate(texts):
+        assert [x["chunk"] for x in sorted(rows, key=lambda x: x["ord"]) if x["doc_id"] == i] == brute_tokens(t, size, overlap)
+
+
+def test_limiter_cuts_stretches(spark):
+    r = random.Random(5)
+    rows, t = [], 0.0
+    for i in range(600):
+        t += r.choice([1, 200, 900, 3599, 3600, 3601, 9000])
+        rows.append((i, r.choice([1, 1, 1, 2, None]), datetime.fromtimestamp(t, timezone.utc)))
+    got = {x["event_id"]: (x["allowed"], x["used"]) for x in limiter.admit(spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp"), limit=3).collect()}
+    logs, want = {}, {}
+    for i, user, ts in rows:
+        log = logs.setdefault(user, deque())
+        while log and log[0] <= ts.timestamp() - 3600:
+            log.popleft()
+        want[i] = (len(log) < 3, len(log))
+        if len(log) < 3:
+            log.append(ts.timestamp())
+    assert got == want
+    used = {x["event_id"]: x["used"] for x in limiter.usage(spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")).collect()}
+    assert used == {i: sum(u == v and 0 <= (b - a).total_seconds() <= 3600 for _, v, a in rows) for i, u, b in rows}
+
+
+def test_several_queries_are_an_error(spark):
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id int, embedding array<float>")
+    with pytest.raises(Exception, match="one query"):
+        retrieval.top_k(e, e.select(F.col("embedding").alias("q")), 1).collect()
+
+
+def test_headers(spark):
+    row = spark.createDataFrame([(1, 5, "T", 3, "John 3:16", " body "), (1, None, None, None, None, "b")], "g int, number int, title string, volume int, reference string, text string")
+    rows = row.withColumn("r", F.coalesce("number", F.lit(9)))
+    made = lambda **how: retrieval.context_blocks(rows, "g", "r", **how).first()["context"]
+    assert made() == '[Document 5 — "T", Volume 3 | Text: John 3:16]\nbody\n\n\n[Document ? — "Untitled"]\nb\n'
+    assert made(header=retrieval.EVALUATION_HEADER, tail="") == '[Document 5 — "T", Vol. 3 | John 3:16]\nbody\n\n[Document ? — ""]\nb'
+    assert made(header=retrieval.SAMPLE_HEADER, tail="") == '[Document 5 — "T"]\nbody\n\n[Document ? — ""]\nb'
+
+
+def test_small_readers_and_sinks(spark, tmp_path):
+    (tmp_path / "q.txt").write_text(" one \n\n two\nthree\n")
+    assert [tuple(r) for r in readers.read_lines(spark, str(tmp_path / "q.txt"), 2).collect()] == [(1, "one"), (2, "two")]
+    assert [r["text"] for r in readers.repeat_list(spark, ["a", "b"], 5).orderBy("line").collect()] == list("ababa")
+    path, schema = str(tmp_path / "v"), "id int, volume int, embedding array<float>"
+    assert readers.open_vectors(spark, path, schema).count() == 0
+    chunks = spark.createDataFrame([(1, 2, [1.0]), (2, 1, [0.0])], schema)
+    readers.write_vectors(chunks, path)
+    readers.write_vectors(chunks, path)
+    assert readers.open_vectors(spark, path, schema).count() == 4
+    readers.write_vectors(chunks, path, recreate=True)
+    assert readers.open_vectors(spark, path, schema).count() == 2
+    readers.write_splits(corpus.split(spark.range(10).withColumnRenamed("id", "doc_id"), "doc_id", 0.2), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s/split=test")).count() == 2
+    doc = json.loads(readers.result_document(chunks.select("id", "volume"), "id", [F.sum("volume").alias("volumes")], model="m").first()["document"])
+    assert doc == {"model": "m", "total": 2, "volumes": 3, "results": [{"id": 1, "volume": 2}, {"id": 2, "volume": 1}]}
+    page = "12\nTHE GOOD OLD WAY HOME\nA WORD DELIVERED ON SABBATH MORNING, JUNE 3, 1860, on John 3:16"
+    found = readers.parse_printed(spark.createDataFrame([("x/chs12.pdf", page)], "path string, raw_text string")).first()
+    assert (found["number"], found["reference"]) == (12, "John 3:16")
+
+
+def test_stream_into_writes_each_batch_once(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        readers.stream_into(spark, str(tmp_path / "in"), "id long", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_memory_stream_equals_batch(spark, tmp_path):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t}", (c + t) % 4 > 0) for c in range(6) for t in range(6)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, ok boolean")
+    turns.write.parquet(str(tmp_path / "in"))
+    stream = chat.remember_stream(spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("memory").queryName("memory_of_chats").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+    want = {(r["conv_id"], r["turn"]) for r in chat.remember(turns, F.col("ok")).collect()}
+    assert {(r["conv_id"], r["turn"]) for r in spark.table("memory_of_chats").collect()} == want
+
+
+def test_entry_without_the_llm_folders(tmp_path):
+    root = Path(__file__).parents[1]
+    for name in ("lexloom", "__spark_entry__.py", "corpus_pipeline.py", "bench.py"):
+        source = root / name
+        if source.is_dir():
+            shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif source.exists():
+            shutil.copy(source, tmp_path)
+    code = "import __spark_entry__ as e, bench; q = e.queries(); assert 'reference_list' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["corpus_inventory", "build_corpus", "chunk_600_300", "topk_postfilter", "knn_label_vote", "chat_render", "split_95_5", "ab_compare"])
+@pytest.mark.parametrize("name", ["corpus_inventory", "build_corpus", "chunk_600_300", "topk_postfilter", "knn_label_vote", "chat_render", "split_95_5", "ab_compare", "clean_markdown", "sentence_pack", "rate_limiter", "reference_list", "retrieve_sources", "grounded_records", "judge_scores", "corpus_outcomes", "conversation_memory"])
 def test_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations", "labels"):
+    for t in ("documents", "embeddings", "conversations", "labels", "pages", "events", "orders"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = catalog.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
@@ -214,4 +347,4 @@ def test_oracle(spark, name):
 
 def test_pushdown(spark):
     plan = catalog.topk_filtered(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(label), LessThan(label,3)]" in plan and "Python" not in plan
+    assert "In(label, [0,1,2])" in plan and "Python" not in plan
