@@ -32,7 +32,7 @@ def record(system: Column, context: Column, question: Column, answer: Column) ->
 
 
 def gather(turns: DataFrame) -> DataFrame:
-    """conv_id and messages in the order of turns."""
+    """conv_id and messages in the order of turns; a conversation becomes one row, as templates need it whole."""
     listed = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     return turns.groupBy("conv_id").agg(F.transform(listed, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 

@@ -25,6 +25,19 @@ def anomalies(docs: DataFrame, short: int = 3000, long: int = 80000) -> DataFram
     return docs.select("doc_id", n.cast("long").alias("chars"), flag.alias("flag")).where("flag IS NOT NULL")
 
 
+def ordered_anomalies(docs: DataFrame, short: int = 3000, long: int = 80000) -> DataFrame:
+    """Stubs from the shortest, then oversize documents from the longest."""
+    size = F.when(F.col("flag") == "stub", F.col("chars")).otherwise(-F.col("chars"))
+    return anomalies(docs, short, long).orderBy(F.desc("flag"), size, "doc_id")
+
+
+def table_lines(rows: DataFrame, width: int = 12) -> DataFrame:
+    """rows with a column line: a Markdown table row, text to the left, numbers to the right with thousands separators."""
+    numbers = {"int", "bigint", "smallint", "tinyint"}
+    cells = [F.lpad(F.format_number(c, 0), width, " ") if t in numbers else F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("")), width, " ") for c, t in rows.dtypes]
+    return rows.withColumn("line", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")))
+
+
 def first_wins(df: DataFrame, key: Column, *order: str) -> DataFrame:
     """The first row of each key; ids alone decide, so that only they and the key are sorted."""
     ranked = df.withColumn("_k", F.md5(key)).withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy(*order)))
@@ -124,12 +137,14 @@ def with_references(chunks: DataFrame, of_document: str = "references", most: in
     return own.withColumn("all_references", F.array_sort(F.array_union(F.coalesce(of_document, F.array().cast("array<string>")), "chunk_references")))
 
 
-def bins(docs: DataFrame, key: str, size: str, width: int, ranges: int = 64) -> DataFrame:
+def bins(docs: DataFrame, key: str, size: str, width: int, ranges: int | None = None) -> DataFrame:
     """key and bin: place of each row's first unit, in key order, in bins of so many units.
 
     Rows are dealt to ranges of the key cut at quantiles, so that sums run over even
-    ranges whatever the keys; the table of ranges is small. More rows ask for more ranges.
+    ranges whatever the keys; the table of ranges is small. There are as many ranges as
+    shuffle partitions unless given; they are held in the cache, spilling to disk.
     """
+    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(key, size).repartitionByRange(ranges, key).withColumn("part", F.spark_partition_id()).persist()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("part").agg(F.sum(size).alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ahead"))

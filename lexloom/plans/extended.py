@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import references as R
@@ -224,3 +224,25 @@ def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chat.build_messages(system, F.array().cast(chat.MESSAGES), user)
     at = lambda i: F.get(F.col("m"), F.lit(i))["content"]
     return read(spark, sf_dir, "documents").select("doc_id", made.alias("m")).select("doc_id", at(0).alias("system"), at(1).alias("user_text"), F.size("m").alias("messages"))
+
+
+@query("""SELECT doc_id, chars, flag, row_number() OVER (ORDER BY flag DESC, CASE WHEN flag = 'stub' THEN chars ELSE -chars END, doc_id)::INT AS place FROM (
+    SELECT doc_id, length(text)::BIGINT AS chars, CASE WHEN length(text) < 200 THEN 'stub' ELSE 'oversize' END AS flag FROM documents WHERE length(text) < 200 OR length(text) > 15000)""")
+def anomaly_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies as a report lists them; the report's few rows are numbered in one task."""
+    rows = corpus.ordered_anomalies(read(spark, sf_dir, "documents"), 200, 15000)
+    order = (F.desc("flag"), F.when(F.col("flag") == "stub", F.col("chars")).otherwise(-F.col("chars")), "doc_id")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+@query("""SELECT grp, '| ' || rpad(coalesce(grp, ''), 12, ' ') || ' | ' || lpad(format('{:,}', files), 12, ' ') || ' | ' || lpad(format('{:,}', chars), 12, ' ') || ' |' AS line FROM (
+    SELECT CASE WHEN grouping(lang) = 1 THEN 'TOTAL' ELSE lang END AS grp, count(*) AS files, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang), ()))""")
+def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.inventory(read(spark, sf_dir, "documents"), "lang").select("grp", "files", "chars")
+    return corpus.table_lines(rows).select("grp", "line")
+
+
+@query("SELECT a.place, a.conv_id, b.doc_id FROM (SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1)::INT AS place FROM conversations WHERE turn = 0) a JOIN (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::INT AS place FROM documents WHERE doc_id < 30) b USING (place)")
+def results_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = read(spark, sf_dir, "conversations").where("turn = 0").select("conv_id")
+    return evaluation.join_by_position(a, read(spark, sf_dir, "documents").where("doc_id < 30").select("doc_id"), "conv_id", "doc_id")

@@ -18,7 +18,7 @@ from lexloom.functions import references as R
 from lexloom.functions import text as T
 from lexloom.operators import chat, corpus, evaluation, retrieval
 from lexloom.plans import catalog, extended  # noqa: F401
-from lexloom.sources import readers
+from lexloom.sources import readers, settings
 from lexloom.streaming import limiter
 
 
@@ -300,6 +300,18 @@ def test_small_readers_and_sinks(spark, tmp_path):
     assert (found["number"], found["reference"]) == (12, "John 3:16")
 
 
+def test_settings(tmp_path):
+    assert settings.from_environment(environ={"LEXLOOM_TOP_K": "4", "LEXLOOM_LANGUAGE": "", "OTHER": "x"}) == settings.Settings(top_k=4)
+    (tmp_path / "s.json").write_text('{"chunk_words": 600, "unknown": 1}')
+    assert settings.from_json(str(tmp_path / "s.json")).chunk_words == 600
+
+
+def test_parse_by_suffix(spark):
+    rows = [("a/volume-1/sermon-3.md", 1, "sermon-3", "# Sermon 3 | T\nJohn 3:16"), ("x/p12.txt", None, "p12", "THE GOOD OLD WAY HOME\nRom. 8:28"), ("x/y.bin", None, "y", "z")]
+    got = readers.parse_by_suffix(spark.createDataFrame(rows, "path string, volume int, stem string, raw_text string")).collect()
+    assert sorted((r["number"], r["reference"]) for r in got) == [(3, "John 3:16"), (12, "Romans 8:28")]
+
+
 def test_stream_into_writes_each_batch_once(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "in"))
     for _ in range(2):
@@ -332,7 +344,7 @@ def test_entry_without_the_llm_folders(tmp_path):
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["corpus_inventory", "build_corpus", "chunk_600_300", "topk_postfilter", "knn_label_vote", "chat_render", "split_95_5", "ab_compare", "clean_markdown", "sentence_pack", "rate_limiter", "reference_list", "retrieve_sources", "grounded_records", "judge_scores", "corpus_outcomes", "conversation_memory"])
+@pytest.mark.parametrize("name", ["corpus_inventory", "build_corpus", "chunk_600_300", "topk_postfilter", "knn_label_vote", "chat_render", "split_95_5", "ab_compare", "clean_markdown", "sentence_pack", "rate_limiter", "reference_list", "retrieve_sources", "grounded_records", "judge_scores", "corpus_outcomes", "conversation_memory", "inventory_table", "anomaly_order"])
 def test_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
