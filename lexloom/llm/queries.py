@@ -21,42 +21,52 @@ from .weak_quality import classify
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and verdict of the cascade for every document."""
     return annotate_quality(table(spark, sf_dir, "documents"))
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract_text(table(spark, sf_dir, "pages"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base digest and spans of personal data for every document."""
     return find_spans(table(spark, sf_dir, "documents")).drop("r1", "r2", "all_spans")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every benchmark item found in a document."""
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from the archives it was written to."""
     return round_trip(table(spark, sf_dir, "pages"))
 
 
 def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, weak label and verdict for every document."""
     return classify(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict for every document; a fifth of the ids is held out."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and mixture of every document; a quarter of the ids is held out."""
     return identify(table(spark, sf_dir, "documents"))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and whether it is kept for every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
     return mix_sources(table(spark, sf_dir, "documents"))
 
 

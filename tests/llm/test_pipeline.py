@@ -6,6 +6,7 @@ import corpus_pipeline as P
 import pytest
 
 from lexloom.llm import decontaminate as D
+from lexloom.llm import mixing
 from lexloom.llm import pii
 from lexloom.llm import queries
 
@@ -76,9 +77,11 @@ def test_names():
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
-def test_native_plans(spark, corpus):
-    """No Python in the plans of the operators that are to be native."""
+def test_native_plans(spark, corpus, monkeypatch):
+    """No Python in the plans of the operators that are to be native, from the tables on."""
     folder, _, _ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for df in (queries.op8_quality_rules(spark, folder), pii._seen(docs), queries.op10_mix_sources(spark, folder)):
+    for module in (pii, mixing):
+        monkeypatch.setattr(module, "cut", lambda df: df)
+    for df in (queries.op8_quality_rules(spark, folder), pii._seen(docs), pii.find_spans(docs), pii.redact(docs), queries.op10_mix_sources(spark, folder)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
