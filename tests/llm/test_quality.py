@@ -96,3 +96,50 @@ def test_classifier_against_labels(spark):
     good = [r["kept"] for r in rows if r["quality"] == 1]
     assert sum(good) / len(good) > 0.95
     assert sum(not r["kept"] for r in rows if r["quality"] == 0) > 0.5 * sum(r["quality"] == 0 for r in rows)
+
+
+def brute_votes(text):
+    """The labellers' votes and the dense features, by plain Python."""
+    import regex
+
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n = max(len(w), 1)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    symbols, upper = len(re.findall(r"[#*$%&|<>]", text)) / n, len(regex.findall(r"\p{Lu}", text)) / n
+    ends, mean = len(re.findall(r"[.!?][ \t\n\x0b\f\r\"')]", text)) / n, len(text) / n
+    distinct, same = len(set(w)) / n, (len(lines) - len(set(lines))) / max(len(lines), 1)
+    prose = symbols < 0.05 and upper < 0.5
+    vote = lambda good, bad: W.BAD if bad else W.GOOD if good else W.NONE
+    cast = [
+        vote(False, symbols > 0.2),
+        vote(False, upper > 1.2 and len(w) >= 5),
+        vote(False, (distinct < 0.2 and 20 <= len(w) < 2000) or distinct < 0.05),
+        vote(False, same > 0.5),
+        vote(3 <= mean <= 12, not 2 <= mean <= 20 and len(w) >= 5),
+        vote(0.01 <= ends <= 0.5 or len(w) < 20, ends < 0.002 and len(w) >= 50),
+        vote(prose, not prose and ends < 0.01 and len(w) >= 20),
+    ]
+    return cast, [symbols, upper, distinct, same]
+
+
+def test_classifier_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    own = {i: brute_votes(t) for i, t in texts.items()}
+    patterns, at, counts = np.unique([v for v, _ in own.values()], axis=0, return_inverse=True, return_counts=True)
+    _, _, post = W.fit_labellers(patterns, counts)
+    weak = dict(zip(own, post[at.ravel()], strict=True))
+    x = np.stack([W.features(texts[i] or "", own[i][1]).astype(np.float16) for i in own]).astype(np.float32)
+    w, bias = W.fit_scorer(x, np.array([weak[i] for i in own]))
+    rows = {r["doc_id"]: r for r in W.classify(docs).collect()}
+    assert len(rows) == len(texts)
+    for k, i in enumerate(own):
+        assert rows[i]["weak_label"] == pytest.approx(weak[i], abs=1e-4)
+        assert rows[i]["score"] == pytest.approx(1 / (1 + np.exp(-float(x[k] @ w + bias))), abs=0.02)
+        assert rows[i]["kept"] == (rows[i]["score"] >= 0.5)
+
+
+def test_equal_texts_get_equal_scores(spark, frame):
+    rows = W.classify(frame(["Some plain words here. And more of them."] * 3 + ["# | #"] * 3)).collect()
+    assert len({round(r["score"], 9) for r in rows}) <= 2
