@@ -71,6 +71,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Takes away a folder that the operator itself has made."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def apart(df: DataFrame) -> DataFrame:
     """An aggregate behind an exchange of its own.
 

@@ -35,3 +35,33 @@ WITH s AS (SELECT doc_id, source, {_COUNT.format('[^' + chr(92) + 'x20' + chr(92
         FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, source, size, source_size, target, epochs,
     (epochs * size + CASE WHEN ahead + size / 2 <= target - epochs * source_size THEN size ELSE 0 END)::BIGINT AS taken FROM p"""
+
+
+EXACT_DEDUP = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+
+def _vector_codes(rounds: int = 6) -> str:
+    """Lloyd rounds, each a pair of tables: nearest entries, then their members' means."""
+    nearest = """a{0} AS MATERIALIZED (SELECT r, part, min({{'d': list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': entry}}) AS m
+        FROM p JOIN c{0} c USING (part) GROUP BY r, part)"""
+    means = """c{1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{0} c LEFT JOIN (
+        SELECT part, entry, list(mean ORDER BY i) AS v FROM (
+            SELECT part, a.m.e AS entry, i, floor(sum(p.v[i]) / count(*))::BIGINT AS mean FROM p JOIN a{0} a USING (r, part), places GROUP BY part, a.m.e, i)
+        GROUP BY part, entry) m USING (part, entry))"""
+    steps = ", ".join(f"{nearest.format(k)}, {means.format(k, k + 1)}" for k in range(rounds)) + ", " + nearest.format(rounds)
+    return f"""
+WITH k AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda c: floor(4096 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    places AS (SELECT unnest(range(1, (SELECT max(len(x)) // 8 FROM k) + 1)) AS i),
+    p AS MATERIALIZED (SELECT r, part, x[part * (len(x) // 8) + 1:(part + 1) * (len(x) // 8)] AS v FROM k, (SELECT unnest(range(8)) AS part)),
+    c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v FROM p WHERE r <= 16), {steps},
+    coded AS (SELECT r, string_agg(format('{{:02x}}', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM k JOIN coded USING (r)"""
+
+
+VECTOR_CODES = _vector_codes()

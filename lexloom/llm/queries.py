@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import find_items
+from .exact_dedup import exact_duplicates
 from .html_text import extract_text
 from .langid import identify
 from .minhash import near_duplicates
 from .mixing import mix_sources
-from .oracle import MIX_SOURCES, QUALITY_RULES
+from .oracle import EXACT_DEDUP, MIX_SOURCES, QUALITY_RULES, VECTOR_CODES
 from .pii import find_spans
 from .quality_rules import annotate_quality
 from .toxicity import toxicity
+from .vector_codes import encode
 from .warc_zip import round_trip
 from .weak_quality import classify
+from .whitening import whiten
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +73,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every vector."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector."""
+    return encode(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays, group size and digest of every document."""
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_pii": op2_pii,
@@ -81,5 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
+    "op11_whitening": op11_whitening,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_exact_dedup": op13_exact_dedup,
 }
-SQL: dict[str, str] = {"op8_quality_rules": QUALITY_RULES, "op10_mix_sources": MIX_SOURCES}
+SQL: dict[str, str] = {"op8_quality_rules": QUALITY_RULES, "op10_mix_sources": MIX_SOURCES, "op12_vector_codes": VECTOR_CODES, "op13_exact_dedup": EXACT_DEDUP}
