@@ -15,7 +15,7 @@ Rows whose vector is null, empty or holds a null, NaN or infinite entry go; othe
 columns than key, vector and label are ignored. Null keys are last in order, and rows
 with equal keys are ordered by their vectors. Fewer rows than entries give smaller
 codebooks. Vectors of different lengths, or of one that the parts don't divide, are an
-error, and so are entries beyond 4096 (``LARGEST``), whose distances might not fit 64 bits.
+error, and so are entries beyond 4096 (``LARGEST``) and parts of over 4096 entries (``LONGEST``), whose distances might not fit.
 An empty table gives an empty result.
 """
 
@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import apart, cut, delete_folder, ensure_checkpoint_dir
-from .vectors import batches, lists, matrix, shape, usable
+from .vectors import batches, matrix, shape, usable
 
 SCALE = 4096
 LARGEST = 4096.0
-FAR = 2**62
+#: Above every distance between parts of up to LONGEST entries, and within 32 bits.
+FAR, LONGEST = 2**31 - 1, 4096
 
 
 def integers(v: np.ndarray) -> np.ndarray:
@@ -82,12 +83,24 @@ def reassign(x: np.ndarray, a: np.ndarray, u: np.ndarray, low: np.ndarray, book:
     return len(rows) + len(i)
 
 
-STATE = "x array<long>, a array<long>, u array<long>, low array<long>"
+#: Integers of 32 bits, as bytes: Spark passes them on without looking at each.
+STATE = "x binary, a binary, u binary, low binary"
+
+
+def packed(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of integers."""
+    data = np.ascontiguousarray(rows, dtype="<i4")
+    ends = np.arange(len(data) + 1, dtype=np.int32) * data.itemsize * (data.size // max(1, len(data)))
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.array([np.frombuffer(b, "<i4") for b in column.to_pylist()], dtype=np.int64)
 
 
 def _unpack(batch: pa.RecordBatch, parts: int) -> list[np.ndarray]:
     """x (n, parts, s), a and u (n, parts) and low (n, parts, k) of a batch, to be changed."""
-    x, a, u, low = (matrix(batch.column(c)).copy() for c in ("x", "a", "u", "low"))
+    x, a, u, low = (unpacked(batch.column(c)) for c in ("x", "a", "u", "low"))
     return [x.reshape(len(x), parts, -1), a, u, low.reshape(len(x), parts, -1)]
 
 
@@ -107,7 +120,7 @@ def _sums(state: DataFrame, parts: int, k: int) -> dict[tuple[int, int], np.ndar
         total = None
         for batch in found:
             if batch.num_rows:
-                x, a = matrix(batch.column(0)), matrix(batch.column(1))
+                x, a = unpacked(batch.column(0)), unpacked(batch.column(1))
                 x = x.reshape(len(x), parts, -1)
                 total = np.zeros((parts, k, x.shape[2] + 1), dtype=np.int64) if total is None else total
                 for p in range(parts):
@@ -138,6 +151,8 @@ def encode(
     n, width = shape(kept, LARGEST)
     if not n:
         return spark.createDataFrame([], f"{ids}, code string, error long, label_error long, codebooks_sha256 string")
+    if width > parts * LONGEST:
+        raise ValueError(f"parts of over {LONGEST} entries have distances beyond 32 bits")
     if width % parts:
         raise ValueError(f"vectors have {width} entries, which {parts} parts don't divide")
     first = kept.orderBy(F.col(key).asc_nulls_last(), "v").select("v").limit(entries).collect()
@@ -146,14 +161,14 @@ def encode(
 
     def begin(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = integers(matrix(batch.column("v")))
-        fill = lambda m, by: lists(np.full((len(x), m), by, dtype=np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(key), batch.column(label), lists(x), fill(parts, 0), fill(parts, FAR // 4), fill(parts * k, 0)], [key, label, "x", "a", "u", "low"])
+        fill = lambda m, by: packed(np.full((len(x), m), by))
+        return pa.RecordBatch.from_arrays([batch.column(key), batch.column(label), packed(x), fill(parts, 0), fill(parts, FAR), fill(parts * k, 0)], [key, label, "x", "a", "u", "low"])
 
     def assign(books: np.ndarray, moved: np.ndarray):  # noqa: ANN202
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             x, a, u, low = _unpack(batch, parts)
             _round(x, a, u, low, books, moved)
-            flat = [lists(y.reshape(len(x), -1)) for y in (x, a, u, low)]
+            flat = [packed(y.reshape(len(x), -1)) for y in (x, a, u, low)]
             return pa.RecordBatch.from_arrays([batch.column(key), batch.column(label), *flat], batch.schema.names)
 
         return batches(step)

@@ -75,7 +75,7 @@ def test_bounds_hold_and_spare_distances():
     rng = np.random.default_rng(3)
     x = rng.integers(-900, 900, (2000, 8)) + 5000 * rng.integers(0, 8, (2000, 1))
     book = x[:16].copy()
-    a, u, low = np.zeros(2000, int), np.full(2000, C.FAR // 4), np.zeros((2000, 16), int)
+    a, u, low = np.zeros(2000, int), np.full(2000, C.FAR), np.zeros((2000, 16), int)
     measured = []
     for _ in range(6):
         measured.append(C.reassign(x, a, u, low, book))
