@@ -26,13 +26,16 @@ _CITED = f"""(SELECT k, r, CASE WHEN r = 'Romans 8:28' THEN [r] ELSE [r, 'Romans
 
 
 def _citing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k and a text that cites in one of all spellings; every other text names another reference under a heading."""
+    """k and a text that cites in one of all spellings and one of several sentences; every other text names another reference under a heading."""
     k, verse = F.col("o_orderkey"), (F.col("o_orderkey") % 30 + 1)
     spelled = F.element_at(F.array(*[F.lit(s.title()) for s, _ in _SPELLED]), (k % len(_SPELLED) + 1).cast("int"))
     dot = F.when(k % 3 == 0, F.lit(".")).otherwise(F.lit(""))
     verses = F.when(k % 5 > 0, F.concat(F.lit(":"), verse.cast("string"), F.when(k % 4 > 0, F.concat(F.lit("-"), (verse + k % 4).cast("string"))).otherwise(F.lit("")))).otherwise(F.lit(""))
     head = F.when(k % 2 == 0, F.lit("\nTEXT: JOHN 3:16\nand so on")).otherwise(F.lit(""))
-    text = F.concat(F.lit("As "), spelled, dot, F.lit(" "), (F.col("o_custkey") % 150 + 1).cast("string"), verses, F.lit(" says, and Rom. 8:28 too."), head)
+    cited = F.concat(spelled, dot, F.lit(" "), (F.col("o_custkey") % 150 + 1).cast("string"), verses)
+    forms = (("As ", " says, and Rom. 8:28 too."), ("12 read it (", "; romans 8:28)."), ("In chapter 3 — ", "—and at last ROM 8:28, Rom. 8:28"), ("They cited\n", ",\nRomans 8:28 and no more"))
+    made = F.coalesce(*[F.when(k % len(forms) == i, F.concat(F.lit(before), cited, F.lit(after))) for i, (before, after) in enumerate(forms)])
+    text = F.concat(made, head)
     return read(spark, sf_dir, "orders").select(k.alias("k"), text.alias("text"))
 
 
@@ -44,9 +47,12 @@ def reference_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("k", T.comma_list(F.col("refs")).alias("refs"), "first", "p.*")
 
 
-@query(f"SELECT ref, count(*)::BIGINT AS uses, count(DISTINCT k)::BIGINT AS docs FROM (SELECT k, unnest(refs) AS ref FROM {_CITED} WHERE k % 2 = 1) GROUP BY ref")
+_ALL_REFS = "CASE WHEN k % 2 = 0 AND NOT list_contains(refs, 'John 3:16') THEN list_append(refs, 'John 3:16') ELSE refs END"
+
+
+@query(f"SELECT ref, count(*)::BIGINT AS uses, count(DISTINCT k)::BIGINT AS docs FROM (SELECT k, unnest({_ALL_REFS}) AS ref FROM {_CITED}) GROUP BY ref")
 def ref_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _citing(spark, sf_dir).where("k % 2 = 1").select("k", F.explode(R.extract_references(F.col("text"))).alias("ref"))
+    found = _citing(spark, sf_dir).select("k", F.explode(R.extract_references(F.col("text"))).alias("ref"))
     return found.groupBy("ref").agg(F.count("*").alias("uses"), F.count_distinct("k").alias("docs"))
 
 
@@ -58,9 +64,9 @@ def reference_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.where(hit[0] | hit[1] | hit[2]).select("k")
 
 
-@query(f"SELECT k AS doc_id, array_to_string(list_sort(refs), ',') AS chunk_refs, array_to_string(list_sort(list_distinct(list_append(refs, 'Titus 2:1'))), ',') AS all_refs FROM {_CITED} WHERE k % 2 = 1")
+@query(f"SELECT k AS doc_id, array_to_string(list_sort({_ALL_REFS}), ',') AS chunk_refs, array_to_string(list_sort(list_distinct(list_append({_ALL_REFS}, 'Titus 2:1'))), ',') AS all_refs FROM {_CITED}")
 def chunk_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _citing(spark, sf_dir).where("k % 2 = 1").select(F.col("k").alias("doc_id"), F.col("text").alias("chunk"), F.array(F.lit("Titus 2:1")).alias("references"))
+    chunks = _citing(spark, sf_dir).select(F.col("k").alias("doc_id"), F.col("text").alias("chunk"), F.array(F.lit("Titus 2:1")).alias("references"))
     found = corpus.with_references(chunks)
     return found.select("doc_id", T.comma_list(F.array_sort("chunk_references")).alias("chunk_refs"), T.comma_list(F.col("all_references")).alias("all_refs"))
 
