@@ -56,9 +56,13 @@ def merge(records: DataFrame, *order: str) -> DataFrame:
 
 
 def merge_counts(records: DataFrame, source: str, *order: str) -> DataFrame:
-    """How many records of each input a merge loads, and how many it leaves out as duplicates."""
-    ranked = records.select(source, F.row_number().over(Window.partitionBy(F.md5(first_of_role(F.col("messages")))).orderBy(source, *order)).alias("r"))
-    return ranked.groupBy(source).agg(F.count_if(F.col("r") == 1).alias("loaded"), F.count_if(F.col("r") > 1).alias("duplicates"))
+    """How many records of each input a merge loads, and how many it leaves out as duplicates. The counts of inputs are few rows."""
+    key = F.md5(first_of_role(F.col("messages")))
+    first = records.groupBy(key.alias("_k")).agg(F.min(F.struct(source, *order)).alias("f"))
+    loaded = first.groupBy(F.col(f"f.{source}").alias("_s")).agg(F.count("*").alias("loaded"))
+    total = records.groupBy(source).agg(F.count("*").alias("n"))
+    both = total.join(loaded, F.col(source).eqNullSafe(F.col("_s")), "left").withColumn("loaded", F.coalesce("loaded", F.lit(0)))
+    return both.select(source, "loaded", (F.col("n") - F.col("loaded")).alias("duplicates"))
 
 
 def parse_pairs(raw: Column) -> Column:

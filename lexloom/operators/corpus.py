@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import deque
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.references import extract_references
 from lexloom.functions.text import BLANK, hash32
 
+from .ordinals import ahead_of, in_ranges
+
 
 def inventory(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
     """Documents, characters and mean length of each group, with a row TOTAL."""
@@ -39,9 +45,9 @@ def table_lines(rows: DataFrame, width: int = 12) -> DataFrame:
 
 
 def first_wins(df: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The first row of each key; ids alone decide, so that only they and the key are sorted."""
-    ranked = df.withColumn("_k", F.md5(key)).withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy(*order)))
-    return ranked.where("_r = 1").drop("_k", "_r")
+    """The first row of each key. Tasks keep one row a key before they shuffle, so that many rows of a key don't meet in one."""
+    first = F.min_by(F.struct(*df.columns), F.struct(*order))
+    return df.groupBy(F.md5(key).alias("_k")).agg(first.alias("_v")).select("_v.*")
 
 
 def fingerprint(text: Column, n: int = 300) -> Column:
@@ -92,43 +98,82 @@ def windows(docs: DataFrame, size: int, step: int, least: int, tail: int) -> Dat
 
 
 def outcomes(docs: DataFrame, held: DataFrame, key: str, least: int) -> DataFrame:
-    """How many documents are held out, double, too short or written."""
-    first = F.row_number().over(Window.partitionBy("k").orderBy(key)) == 1
+    """How many documents are held out, double, too short or written. docs has key, k (what double ones share) and chars."""
     marked = docs.join(held.select(key, F.lit(True).alias("h")), key, "left")
-    ranked = marked.where("h IS NULL").withColumn("first", first)
-    reason = F.when(~F.col("first"), F.lit("duplicate")).when(F.col("chars") < least, F.lit("short")).otherwise(F.lit("written"))
-    return marked.where("h").select(F.lit("held_out").alias("reason")).union(ranked.select(reason)).groupBy("reason").agg(F.count("*").alias("n"))
-
+    groups = marked.where("h IS NULL").groupBy("k").agg(F.count("*").alias("rows"), F.min_by("chars", F.struct(key)).alias("first"))
+    reason = F.when(F.col("first") < least, F.lit("short")).otherwise(F.lit("written"))
+    counted = groups.select(F.explode(F.array(F.struct(reason.alias("reason"), F.lit(1).cast("long").alias("n")), F.struct(F.lit("duplicate").alias("reason"), (F.col("rows") - 1).alias("n")))).alias("c")).select("c.*")
+    out = marked.where("h").select(F.lit("held_out").alias("reason"), F.lit(1).cast("long").alias("n")).union(counted)
+    return out.groupBy("reason").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+_WORDS = re.compile(r"[^ \t\n\x0b\f\r]+")
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+", re.ASCII)
+
+
+def _fitting(text: str, size: int, count: Callable[[str], int]) -> Iterator[tuple[str, int]]:
+    """Sentences with their tokens; longer ones than size in runs of words, and longer words in runs of characters."""
+    for sentence in _SENTENCE_END.split(text):
+        words = _WORDS.findall(sentence)
+        whole = " ".join(words)
+        if not words:
+            continue
+        if (n := count(whole)) <= size:
+            yield whole, n
+            continue
+        run, held = [], 0
+        for word in words:
+            n = count(word)
+            parts = [(word, n)] if n <= size else [(p, count(p)) for p in (word[i : i + max(1, size // 4)] for i in range(0, len(word), max(1, size // 4)))]
+            for part, m in parts:
+                if run and held + m > size:
+                    yield " ".join(run), held
+                    run, held = [], 0
+                run.append(part)
+                held += m
+        if run:
+            yield " ".join(run), held
+
+
+def _packed(text: str, size: int, overlap: int, count: Callable[[str], int]) -> Iterator[tuple[str, int]]:
+    """Chunks with their tokens. Work grows with the length of the text: a chunk looks back over the overlap only."""
+    now: deque[tuple[str, int]] = deque()
+    held = 0
+    for sentence, n in _fitting(text, size, count):
+        if now and held + n > size:
+            yield " ".join(s for s, _ in now), held
+            room, kept = min(overlap, size - n), deque()
+            held = 0
+            while now and held + now[-1][1] <= room:
+                kept.appendleft(now.pop())
+                held += kept[0][1]
+            now = kept
+        now.append((sentence, n))
+        held += n
+    if now:
+        yield " ".join(s for s, _ in now), held
+
+
+def pack_tokens(docs: DataFrame, size: int = 768, overlap: int = 128, vocabulary: Callable | None = None) -> DataFrame:
+    """doc_id, ord, chunk and tokens: whole sentences up to size tokens; a chunk begins with the last sentences of the one before, up to overlap tokens.
+
+    vocabulary is what ``tokens.vocabulary`` returns; a sentence counts with the space before it, so that the
+    tokens of a chunk add up. Without one, words stand for tokens. White space becomes one space. Null texts have no chunks.
+    """
 
-def pack_tokens(docs: DataFrame, size: int = 768, overlap: int = 128) -> DataFrame:
-    """doc_id, ord and chunk: whole sentences up to size words; a chunk begins with the last sentences of the one before, up to overlap words.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = vocabulary() if vocabulary else None
+        count = (lambda s: encoder.count(" " + s)) if encoder else (lambda s: s.count(" ") + 1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # what a task holds is the chunks of so many texts
+                part = batch.slice(at, 64)
+                rows = [(i, o, c, n) for i, t in enumerate(part.column("text").to_pylist()) for o, (c, n) in enumerate(_packed(t or "", size, overlap, count))]
+                which, order, chunk, held = zip(*rows, strict=True) if rows else ((), (), (), ())
+                ids = part.column("doc_id").take(pa.array(which, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(order, pa.int32()), pa.array(chunk, pa.string()), pa.array(held, pa.int32())], ["doc_id", "ord", "chunk", "tokens"])
 
-    Words stand for tokens. Sentences of over size words are cut into runs of size words. White space becomes one space.
-    """
-    none = F.array().cast("array<array<string>>")
-    words = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size)), lambda i: F.slice(w, i, F.lit(size)))
-    sentences = F.filter(F.flatten(F.transform(F.split("text", r"(?<=[.!?])\s+"), lambda s: runs(words(s)))), lambda w: F.size(w) > 0)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda n, w: n + F.size(w))
-
-    def tail(cur: Column, new: Column) -> Column:
-        """The longest run of last sentences within the overlap that leaves room for the new one."""
-        room = F.least(F.lit(overlap), F.lit(size) - F.size(new))
-        start = F.struct(F.lit(0).alias("n"), none.alias("kept"), F.lit(True).alias("on"))
-        fits = lambda a, w: a["on"] & (a["n"] + F.size(w) <= room)
-        grow = lambda a, w: F.when(fits(a, w), F.struct((a["n"] + F.size(w)).alias("n"), F.concat(F.array(w), a["kept"]).alias("kept"), F.lit(True).alias("on"))).otherwise(
-            F.struct(a["n"].alias("n"), a["kept"].alias("kept"), F.lit(False).alias("on"))
-        )
-        return F.aggregate(F.reverse(cur), start, grow)["kept"]
-
-    def step(a: Column, w: Column) -> Column:
-        full = (F.size(a["cur"]) > 0) & (total(a["cur"]) + F.size(w) > size)
-        flushed = F.struct(F.concat(tail(a["cur"], w), F.array(w)).alias("cur"), F.concat(a["out"], F.array(F.array_join(F.flatten(a["cur"]), " "))).alias("out"))
-        return F.when(full, flushed).otherwise(F.struct(F.concat(a["cur"], F.array(w)).alias("cur"), a["out"].alias("out")))
-
-    packed = F.aggregate(sentences, F.struct(none.alias("cur"), F.array().cast("array<string>").alias("out")), step)
-    last = lambda p: F.when(F.size(p["cur"]) > 0, F.concat(p["out"], F.array(F.array_join(F.flatten(p["cur"]), " ")))).otherwise(p["out"])
-    return docs.select("doc_id", F.posexplode(F.get(F.transform(F.array(packed), last), F.lit(0))).alias("ord", "chunk"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ord int, chunk string, tokens int")
 
 
 def with_references(chunks: DataFrame, of_document: str = "references", most: int = 12) -> DataFrame:
@@ -137,20 +182,15 @@ def with_references(chunks: DataFrame, of_document: str = "references", most: in
     return own.withColumn("all_references", F.array_sort(F.array_union(F.coalesce(of_document, F.array().cast("array<string>")), "chunk_references")))
 
 
-def bins(docs: DataFrame, key: str, size: str, width: int, ranges: int | None = None) -> DataFrame:
-    """key and bin: place of each row's first unit, in key order, in bins of so many units.
+def bins(docs: DataFrame, key: str, size: str, width: int, rows_a_range: int = 1_000_000) -> DataFrame:
+    """key and bin: place of each row's first unit, in key order, in bins of so many units, whatever documents they cut.
 
-    Rows are dealt to ranges of the key cut at quantiles, so that sums run over even
-    ranges whatever the keys; the table of ranges is small. There are as many ranges as
-    shuffle partitions unless given; they are held in the cache, spilling to disk.
+    Sums run within even ranges of the key, behind the sum of all earlier ranges.
     """
-    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(key, size).repartitionByRange(ranges, key).withColumn("part", F.spark_partition_id()).persist()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("part").agg(F.sum(size).alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("w", F.coalesce(F.sum(size).over(within), F.lit(0))).join(F.broadcast(sums), "part")  # as many rows as ranges
-    return placed.select(key, F.floor((F.col("ahead") + F.col("w")) / width).cast("long").alias("bin"))
+    dealt = in_ranges(docs.select(key, size), [key], rows_a_range)
+    within = Window.partitionBy("_range").orderBy(key, "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_w", F.coalesce(F.sum(size).over(within), F.lit(0))).join(F.broadcast(ahead_of(dealt, F.col(size))), "_range")  # a row a range
+    return placed.select(key, F.floor((F.col("_ahead") + F.col("_w")) / width).cast("long").alias("bin"))
 
 
 def pack_sentences(docs: DataFrame, size: int = 1200, least: int = 400, most: int = 3) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordinals import numbered
+
 # Phrases by which an answer admits a limitation.
 LIMITATIONS = ("do not find", "not addressed", "insufficient")
 
@@ -54,9 +56,8 @@ def perplexity(loss: Column, tokens: Column) -> Column:
 
 
 def join_by_position(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
-    """The rows of two small result tables side by side by their place (from 0), as far as the shorter goes.
+    """The rows of two result tables side by side by their place (from 0), as far as the shorter goes.
 
-    Tables that share a key are better joined by it, as ``compare`` does; places are numbered in one task.
+    Tables that share a key are better joined by it, as ``compare`` does.
     """
-    placed = lambda df, by: df.withColumn("place", F.row_number().over(Window.orderBy(by)) - 1)
-    return placed(a, order_a).join(placed(b, order_b), "place")
+    return numbered(a, order_a).join(numbered(b, order_b), "place")

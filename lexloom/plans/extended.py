@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import references as R
 from lexloom.functions import text as T
-from lexloom.operators import chat, corpus, evaluation, generation, retrieval
+from lexloom.functions import tokens
+from lexloom.operators import chat, corpus, evaluation, generation, packing, retrieval
+from lexloom.operators.ordinals import numbered
+from lexloom.sources import settings
 
 from .catalog import _BLANK_SQL, _hash_sql, _SCORE, query, read
 
@@ -73,7 +76,26 @@ def chunk_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.pack_tokens(read(spark, sf_dir, "documents"))
+    """Chunks of whole sentences by tokens, with what the settings say of them."""
+    own = settings.from_environment()
+    docs = read(spark, sf_dir, "documents").where(F.length("text") >= own.least_chars)
+    return corpus.pack_tokens(docs, own.chunk_tokens, own.chunk_overlap, tokens.vocabulary(spark, own.tokenizer))
+
+
+@query()
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and the characters of its first 2048."""
+    path = settings.from_environment().tokenizer
+    count, head = tokens.token_count(spark, path), tokens.token_head(spark, path, 2048)
+    return read(spark, sf_dir, "documents").select("doc_id", count(F.col("text")).alias("tokens"), F.length(head(F.col("text"))).alias("head_chars"))
+
+
+@query()
+def pack_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in bins of 2048 tokens, none cut that fits into one."""
+    count = tokens.token_count(spark, settings.from_environment().tokenizer)
+    sized = read(spark, sf_dir, "documents").select("doc_id", count(F.col("text")).cast("long").alias("tokens"))
+    return packing.pack_whole(sized, "doc_id", "tokens", 2048)
 
 
 _TITLED = "'[Document ' || e.vec_id || ' — \"' || coalesce(d.source, 'Untitled') || '\"' || CASE WHEN e.label <> 0 THEN ', Volume ' || e.label ELSE '' END || ' | Text: ' || d.lang || ']'"
@@ -235,10 +257,10 @@ def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, chars, flag, row_number() OVER (ORDER BY flag DESC, CASE WHEN flag = 'stub' THEN chars ELSE -chars END, doc_id)::INT AS place FROM (
     SELECT doc_id, length(text)::BIGINT AS chars, CASE WHEN length(text) < 200 THEN 'stub' ELSE 'oversize' END AS flag FROM documents WHERE length(text) < 200 OR length(text) > 15000)""")
 def anomaly_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anomalies as a report lists them; the report's few rows are numbered in one task."""
-    rows = corpus.ordered_anomalies(read(spark, sf_dir, "documents"), 200, 15000)
+    """Anomalies as a report lists them, with their place."""
     order = (F.desc("flag"), F.when(F.col("flag") == "stub", F.col("chars")).otherwise(-F.col("chars")), "doc_id")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    placed = numbered(corpus.anomalies(read(spark, sf_dir, "documents"), 200, 15000), *order, first=1)
+    return placed.withColumn("place", F.col("place").cast("int"))
 
 
 @query("""SELECT grp, '| ' || rpad(coalesce(grp, ''), 12, ' ') || ' | ' || lpad(format('{:,}', files), 12, ' ') || ' | ' || lpad(format('{:,}', chars), 12, ' ') || ' |' AS line FROM (
@@ -248,7 +270,8 @@ def inventory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table_lines(rows).select("grp", "line")
 
 
-@query("SELECT a.place, a.conv_id, b.doc_id FROM (SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1)::INT AS place FROM conversations WHERE turn = 0) a JOIN (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::INT AS place FROM documents WHERE doc_id < 30) b USING (place)")
+@query("SELECT a.place, a.conv_id, b.doc_id FROM (SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1)::INT AS place FROM conversations WHERE turn = 0) a JOIN (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::INT AS place FROM documents) b USING (place)")
 def results_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read(spark, sf_dir, "conversations").where("turn = 0").select("conv_id")
-    return evaluation.join_by_position(a, read(spark, sf_dir, "documents").where("doc_id < 30").select("doc_id"), "conv_id", "doc_id")
+    both = evaluation.join_by_position(a, read(spark, sf_dir, "documents").select("doc_id"), "conv_id", "doc_id")
+    return both.withColumn("place", F.col("place").cast("int"))

@@ -13,6 +13,7 @@ class Settings:
     """What ingest, retrieval and admission take as parameters."""
 
     chunk_words: int = 768
+    chunk_tokens: int = 768
     chunk_overlap: int = 128
     least_chars: int = 200
     top_k: int = 6
@@ -22,6 +23,7 @@ class Settings:
     window_seconds: int = 3600
     collection: str = "documents"
     language: str = "en"
+    tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _with(settings: Settings, given: Mapping[str, object]) -> Settings:
