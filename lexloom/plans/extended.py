@@ -11,6 +11,7 @@ from lexloom.functions import tokens
 from lexloom.operators import chat, corpus, evaluation, generation, packing, retrieval
 from lexloom.operators.ordinals import numbered
 from lexloom.sources import settings
+from lexloom.streaming import sessions
 
 from .catalog import _BLANK_SQL, _hash_sql, _SCORE, query, read
 
@@ -275,3 +276,13 @@ def results_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read(spark, sf_dir, "conversations").where("turn = 0").select("conv_id")
     both = evaluation.join_by_position(a, read(spark, sf_dir, "documents").select("doc_id"), "conv_id", "doc_id")
     return both.withColumn("place", F.col("place").cast("int"))
+
+
+@query("""SELECT user_id, min(ts)::TIMESTAMP AS first, max(ts)::TIMESTAMP AS last, count(*) AS events, sum(value::DECIMAL(24, 6))::DOUBLE AS total FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+            SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE)::INT, 1) AS fresh FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL))
+    GROUP BY user_id, session""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user that lie at most half an hour apart, as sessions."""
+    out = sessions.sessions(read(spark, sf_dir, "events"))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
