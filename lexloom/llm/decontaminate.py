@@ -1,19 +1,23 @@
 """Benchmark decontamination: CGK walks, bit-sampling LSH and exact edit distances.
 
 An item is found in a document where some stretch of it is within ``ratio`` edits a
-character of the item. An item cut into one more piece than it may have edits keeps
-at least one piece whole, so windows of the item's size are laid around every
-occurrence of a piece. Windows and items are embedded by CGK random walks, which turn
-few edits into few differing positions; samples of positions are hashed, in as many
-tables as a simulation on the items of a length class needs for the target recall.
-Windows that meet an item in a table are confirmed by the exact edit distance. Where
-tables don't reach the recall, as for long items, all windows of the class are: those
-of an item that overlap are read as one, and only parts are compared that share as many
-short runs of characters with the item as the allowed edits must leave.
+character of the item. An item is cut into one more piece than it may have edits, and
+the pieces are grouped into parts of about five. Of the allowed edits fewer fall on some
+part than it has pieces, so that one of its pieces stays whole: windows of the part's
+size are laid around every occurrence of a piece. Windows and parts are embedded by CGK
+random walks, which turn few edits into few differing positions; samples of positions
+are hashed, in as many tables as a simulation on whole items needs for the target
+recall. A short item is one part, and its windows are of the item's size; a long one is
+hashed part by part, as the walks of hundreds of characters with tens of edits have too
+little in common, and one part that is found will do. Around windows that meet a part in a table, the whole item is
+confirmed by the exact edit distance: stretches of an item that overlap are read as one,
+and only what shares as many short runs of characters with the item as the allowed edits
+must leave. Should tables not reach the recall for some kind of items, all their windows are
+confirmed; ``hashed_share`` tells for how many items no part needs that.
 
 Texts are compared lower-cased with white space collapsed. Null, blank and very
 short texts hold no item; null or blank items are never found. Ids may be of any type;
-null and repeated ids of documents do no harm, as every row is judged by its own text.
+null and repeated ids of documents and items do no harm, as every row is judged by its own text.
 Repeated rows each give their rows; equal items are all reported. Items go out in
 blocks of bounded numbers and characters, so a large benchmark needs no more memory.
 """
@@ -38,8 +42,8 @@ from .common import cut
 REACH = 0.6
 #: Characters of the runs that are counted before an exact distance; a number of 32 bits holds them.
 GRAM = 4
-#: Longer items aren't hashed, as their tables would take much memory and miss the recall; all their windows are confirmed.
-LONGEST_HASHED = 4096
+#: Pieces that make up a part of an item, about ten characters each where a tenth may be edited.
+PIECES_A_PART = 5
 SCHEMA = "start long, length long, distance long"
 
 
@@ -58,6 +62,37 @@ def pieces(item: str, ratio: float) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
+@dataclass(frozen=True)
+class Part:
+    """A stretch of an item with fewer edits to expect than it has pieces."""
+
+    item: int
+    offset: int
+    text: str
+    pieces: tuple[tuple[int, str], ...]  # (offset in the part, piece)
+    parts: int  # of the item
+
+    @property
+    def edits(self) -> int:
+        return len(self.pieces) - 1
+
+    @property
+    def kind(self) -> tuple[int, int]:
+        """What has tables of its own: parts of like length, of items of as many parts."""
+        return min(self.parts, 4), size_class(len(self.text))
+
+
+def parts_of(item: int, text: str, ratio: float) -> list[Part]:
+    cut = pieces(text, ratio)
+    n = max(1, round(len(cut) / PIECES_A_PART))
+    out = []
+    for i in range(n):
+        own = cut[i * len(cut) // n : (i + 1) * len(cut) // n]
+        at, end = own[0][0], own[-1][0] + len(own[-1][1])
+        out.append(Part(item, at, text[at:end], tuple((o - at, p) for o, p in own), n))
+    return out
+
+
 def infix_distance(item: str, text: str) -> tuple[int, int]:
     """(least edits, end) that turn the item into some stretch of the text, by bit-parallel columns."""
     peq: dict[str, int] = {}
@@ -159,38 +194,55 @@ def size_class(length: int) -> int:
     return int(2 * math.log2(length))
 
 
-def plan_tables(items: list[str], ratio: float, recall: float, bits: int = 4, walks: int = 4, most: int = 96, trials: int = 200) -> dict[int, Tables | None]:
-    """Tables of each length class for the recall, as simulated with the allowed edits on its items.
+def _met(part: Part, text: str) -> list[int]:
+    """Where windows of the part's size are laid in the text: around each occurrence of a piece."""
+    found = set()
+    for offset, piece in part.pieces:
+        at = text.find(piece) if piece else -1
+        while at >= 0:
+            found.add(max(0, at - offset))
+            at = text.find(piece, at + 1)
+    return sorted(found)
+
+
+def plan_tables(items: list[list[Part]], ratio: float, recall: float, bits: int = 4, walks: int = 4, most: int = 96, trials: int = 200) -> dict[tuple[int, int], Tables | None]:
+    """Tables of each kind of part for the recall of whole items, of which it takes one part to be found.
 
-    None stands for a class whose recall isn't met by ``most`` tables; as recall falls with
-    length, longer classes aren't tried then. Their windows are all confirmed.
+    Simulated on items of as many parts: edited as often as allowed, put between other text and searched by their windows.
+    None stands for kinds whose recall isn't met by ``most`` tables; their windows are all confirmed.
     """
-    classes: dict[int, list[str]] = {}
+    groups: dict[int, list[list[Part]]] = {}
     for x in items:
-        classes.setdefault(size_class(len(x)), []).append(x)
-    plan: dict[int, Tables | None] = {}
-    for kind, own in sorted(classes.items()):
-        plan[kind] = None
-        longest = max(map(len, own))
-        if longest > LONGEST_HASHED or None in list(plan.values())[:-1]:
-            continue
+        groups.setdefault(x[0].kind[0], []).append(x)
+    plan: dict[tuple[int, int], Tables | None] = {}
+    for own in groups.values():
         rng = np.random.default_rng(5)
-        trial = Tables(walks, most // walks, bits, longest)
         order = rng.permutation(len(own))
-        chosen = [own[order[i % len(own)]] for i in range(trials)]
-        changed = [(_mutate(x, max(1, allowed(len(x), ratio)), rng) + " " * len(x))[: len(x)] for x in chosen]
-        met = (trial.keys(*lay_out(chosen)) == trial.keys(*lay_out(changed))).reshape(len(chosen), walks, -1)
-        for tables in range(1, most // walks + 1):
-            if met[:, :, :tables].any(axis=(1, 2)).mean() >= recall:
-                plan[kind] = Tables(walks, min(most // walks, 2 * tables), bits, longest)  # twice, as the simulation is a sample
-                break
+        windows: dict[tuple[int, int], list[tuple[int, str, str]]] = {p.kind: [] for x in own for p in x}
+        for i in range(trials):
+            x = own[order[i % len(own)]]
+            whole = "".join(p.text for p in x)
+            around = "".join(p.text for p in own[int(rng.integers(0, len(own)))])[::-1][:200]
+            text = around + (_mutate(whole, max(1, allowed(len(whole), ratio)), rng) if len(whole) > 1 else whole) + around
+            for p in x:
+                n = len(p.text)
+                windows[p.kind] += [(i, p.text, text[at : at + n].ljust(n)) for at in _met(p, text)]
+        met = np.zeros((trials, most // walks), bool)  # whether a trial is found by so many tables a walk
+        trial = {kind: Tables(walks, most // walks, bits, max(len(p.text) for x in own for p in x if p.kind == kind)) for kind in windows}
+        for kind, laid in windows.items():
+            if laid:
+                same = trial[kind].keys(*lay_out([w[1] for w in laid])) == trial[kind].keys(*lay_out([w[2] for w in laid]))
+                np.logical_or.at(met, [w[0] for w in laid], np.logical_or.accumulate(same.reshape(len(laid), walks, -1).any(axis=1), axis=1))
+        enough = np.flatnonzero(met.mean(axis=0) >= recall)
+        for kind in windows:  # twice, as the simulation is a sample
+            plan[kind] = Tables(walks, min(most // walks, 2 * (int(enough[0]) + 1)), bits, trial[kind].longest) if len(enough) else None
     return plan
 
 
 _searchers: dict[str, Searcher] = {}
 
 
-def searcher(token: str, rows: list[tuple[object, str]], ratio: float, plan: dict[int, Tables | None]) -> Searcher:
+def searcher(token: str, rows: list[tuple[object, str]], ratio: float, plan: dict[tuple[int, int], Tables | None]) -> Searcher:
     """One for a Python worker, which may run many tasks."""
     if token not in _searchers:
         _searchers.clear()
@@ -201,26 +253,31 @@ def searcher(token: str, rows: list[tuple[object, str]], ratio: float, plan: dic
 class Searcher:
     """Finds one block of items in texts."""
 
-    def __init__(self, items: list[tuple[object, str]], ratio: float, plan: dict[int, Tables | None]) -> None:
+    def __init__(self, items: list[tuple[object, str]], ratio: float, plan: dict[tuple[int, int], Tables | None]) -> None:
         self.items, self.ratio, self.plan = items, ratio, plan
+        self.parts = [p for i, (_, text) in enumerate(items) for p in parts_of(i, text, ratio)]
         self.seeds = ahocorasick.Automaton()
-        where: dict[str, tuple[set[tuple[int, int]], set[tuple[int, int]]]] = {}
-        for i, (_, text) in enumerate(items):
-            whole = plan[size_class(len(text))] is None
-            for offset, piece in pieces(text, ratio):
-                where.setdefault(piece, (set(), set()))[whole].add((offset, i if whole else len(text)))
-        for piece, (hashed, whole) in where.items():
-            self.seeds.add_word(piece, (len(piece), tuple(hashed), tuple(whole)))
+        where: dict[str, tuple[set[tuple[int, int, int, tuple[int, int]]], set[tuple[int, int]]]] = {}
+        for p in self.parts:
+            whole = plan[p.kind] is None
+            for offset, piece in p.pieces:
+                hashed, open_ = where.setdefault(piece, (set(), set()))
+                if whole:
+                    open_.add((p.offset + offset, p.item))
+                else:
+                    hashed.add((offset, len(p.text), p.edits, p.kind))
+        for piece, (hashed, open_) in where.items():
+            self.seeds.add_word(piece, (len(piece), tuple(hashed), tuple(open_)))
         if where:
             self.seeds.make_automaton()
-        self.grams = {i: np.unique(grams(encode(t))) for i, (_, t) in enumerate(items) if plan[size_class(len(t))] is None}
-        self.by_key: dict[tuple[int, int, int], list[int]] = {}
-        self.known: dict[int, list[np.ndarray]] = {}
+        self.grams: dict[int, np.ndarray] = {}
+        self.by_key: dict[tuple[tuple[int, int], int, int], list[int]] = {}
+        self.known: dict[tuple[int, int], list[np.ndarray]] = {}
         for kind, tables in plan.items():
             if tables is None:
                 continue
-            own = [i for i, (_, t) in enumerate(items) if size_class(len(t)) == kind]
-            keys = tables.keys(*lay_out([items[i][1] for i in own]))
+            own = [i for i, p in enumerate(self.parts) if p.kind == kind]
+            keys = tables.keys(*lay_out([self.parts[i].text for i in own]))
             for i, row in zip(own, keys.tolist(), strict=True):
                 for t, key in enumerate(row):
                     self.by_key.setdefault((kind, t, key), []).append(i)
@@ -231,33 +288,34 @@ class Searcher:
         out: list[list[tuple[object, int, int, int]]] = [[] for _ in texts]
         if not self.items:
             return out
-        laid: dict[int, set[tuple[int, int, int]]] = {}
+        laid: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
         around: dict[tuple[int, int], set[int]] = {}
         base = []
         at = 0
         for d, text in enumerate(texts):
             base.append(at)
             for end, (n, hashed, whole) in self.seeds.iter(text):
-                for offset, length in hashed:
+                for offset, length, edits, kind in hashed:
                     start = max(0, end + 1 - n - offset)
-                    if len(text) - start >= length - allowed(length, self.ratio):
-                        laid.setdefault(size_class(length), set()).add((d, start, length))
+                    if len(text) - start >= length - edits:
+                        laid.setdefault(kind, set()).add((d, start, length))
                 for offset, item in whole:
                     around.setdefault((d, item), set()).add(max(0, end + 1 - n - offset))
             at += len(text) + 1
         if not laid and not around:
             return out
         code = encode("\0".join(texts))
-        for d, item, start in self._candidates(code, base, laid):
-            around.setdefault((d, item), set()).add(start)
-        gram = grams(code) if self.grams else code
+        for d, part, start in self._candidates(code, base, laid):
+            p = self.parts[part]
+            around.setdefault((d, p.item), set()).add(max(0, start - p.offset))
+        gram = grams(code) if around else code
         for (d, item), starts in sorted(around.items()):
             if found := self._nearest(item, sorted(starts), texts[d], gram[base[d] : base[d] + len(texts[d])]):
                 out[d].append((self.items[item][0], *found))
         return out
 
-    def _candidates(self, code: np.ndarray, base: list[int], laid: dict[int, set[tuple[int, int, int]]]) -> set[tuple[int, int, int]]:
-        """(text, item, start) of the windows that meet an item in a table of their class."""
+    def _candidates(self, code: np.ndarray, base: list[int], laid: dict[tuple[int, int], set[tuple[int, int, int]]]) -> set[tuple[int, int, int]]:
+        """(text, part, start) of the windows that meet a part in a table of their class."""
         found: set[tuple[int, int, int]] = set()
         for kind, own in laid.items():
             windows = sorted(own)
@@ -268,8 +326,8 @@ class Searcher:
                 for t, known in enumerate(self.known[kind]):
                     hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, keys[:, t]), len(known) - 1)] == keys[:, t])
                     for w, key in zip(hit.tolist(), keys[hit, t].tolist(), strict=True):
-                        for item in self.by_key[(kind, t, key)]:
-                            found.add((int(part[w, 0]), item, int(part[w, 1])))
+                        for own_part in self.by_key[(kind, t, key)]:
+                            found.add((int(part[w, 0]), own_part, int(part[w, 1])))
         return found
 
     def _nearest(self, item: int, starts: list[int], text: str, gram: np.ndarray) -> tuple[int, int, int] | None:
@@ -285,8 +343,7 @@ class Searcher:
                 stretches.append([low, high])
         best: tuple[int, int, int] | None = None
         for low, high in stretches:
-            if item in self.grams:
-                low, high = self._alike(item, k, gram, low, high)  # noqa: PLW2901
+            low, high = self._alike(item, k, gram, low, high)  # noqa: PLW2901
             if high - low < len(own) - k or (best and best[2] == 0):
                 continue
             stretch = text[low:high]
@@ -300,6 +357,8 @@ class Searcher:
         """The part of a stretch that can hold the item: an edit changes GRAM of its runs of GRAM characters at most."""
         n = len(self.items[item][1])
         least, width = n - GRAM + 1 - GRAM * k, n + k - GRAM + 1
+        if item not in self.grams:
+            self.grams[item] = np.unique(grams(encode(self.items[item][1])))
         own, here = self.grams[item], gram[low : max(low, high - GRAM + 1)]
         if least <= 0 or not len(own):
             return low, high
@@ -313,14 +372,26 @@ class Searcher:
 
 def _blocks(benchmark: DataFrame, ratio: float, recall: float, block: int, characters: int) -> Iterator:
     """Broadcast (items, plan) of each block of at most about so many items and characters; an item goes to a block by its hash."""
-    items = benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
     blocks = max(1, math.ceil(size["n"] / (block * 0.8)), math.ceil(size["c"] / (characters * 0.8)))
     for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()
-        rows = sorted((r["item_id"], t) for r in own if (t := normalise(r["text"])))
+        own = items.where(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(blocks)) == b).toLocalIterator()
+        rows = sorted(((r["item_id"], t) for r in own if (t := normalise(r["text"]))), key=lambda r: (r[1], str(r[0])))
         if rows:
-            yield benchmark.sparkSession.sparkContext.broadcast((rows, plan_tables([t for _, t in rows], ratio, recall)))
+            cut_up = [parts_of(i, t, ratio) for i, (_, t) in enumerate(rows)]
+            yield benchmark.sparkSession.sparkContext.broadcast((rows, plan_tables(cut_up, ratio, recall)))
+
+
+def hashed_share(benchmark: DataFrame, ratio: float = 0.1, recall: float = 0.99, block: int = 20_000, characters: int = 50_000_000) -> float:
+    """The share of items all parts of which are found through the tables; the others have windows that are confirmed without them."""
+    hashed = total = 0
+    for sent in _blocks(benchmark, ratio, recall, block, characters):
+        rows, plan = sent.value
+        total += len(rows)
+        hashed += sum(all(plan[p.kind] for p in parts_of(i, t, ratio)) for i, (_, t) in enumerate(rows))
+        sent.destroy()
+    return hashed / total if total else 1.0
 
 
 def _searched(batches: Iterator[pa.RecordBatch], search: Searcher) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -359,10 +430,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.1,
 
     Each block of items filters what the ones before it let through; nothing is shuffled.
     """
-    kept = docs
+    kept, used = docs, []
     for i, sent in enumerate(_blocks(benchmark, ratio, recall, block, characters)):
         if i and i % 4 == 0:  # a task runs at most four searches in a row
             kept = cut(kept)
+            while used:
+                used.pop().destroy()
+        used.append(sent)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for part, hits in _searched(batches, searcher(token, sent.value[0], ratio, sent.value[1])):
