@@ -1,12 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that every block of a page becomes a line. A line weighs its text
-length: nothing if it lies in a menu, header, footer, sidebar, notice, advert, form or
-comment, or is mostly links; if the page marks articles, lines outside them weigh nothing
-and lines inside a surge's weight more. Weights are summed over a sliding window of lines:
-text starts where the sum surges and ends where it dives to 0, and what lies between is
-kept. A page whose windows all stay below a surge has its own, lower surge point: half of
-its greatest sum.
+Markup is stripped so that every block of a page becomes a line; blocks of menus, headers,
+footers, sidebars, notices, adverts, forms and comments are none. A line weighs what it has
+of text outside links. Two or more lines in a row that are mostly links are a menu and weigh
+nothing, nor do lines of rights reserved outside articles. If the page marks articles, or else its main part, lines
+outside weigh nothing and those inside four times as much; an article with less than a third of the
+text of the largest is a teaser and counts as outside. Weights are summed over a sliding window of
+lines: text starts where the sum surges and ends where it dives to 0, and what lies between
+and weighs something is kept. A page whose windows all stay below a surge has its own, lower surge
+point: half of its greatest sum.
 
 Null, empty and text-free pages give an empty text. Broken markup is read as far as it
 goes, in time that grows with the page's length: unclosed elements end with their parent,
@@ -43,14 +45,22 @@ _OPEN_ENDED = frozenset("p li dd dt td th tr option".split())
 _CONTAINERS = frozenset("div section aside nav ul ol dl dir menu table header footer form details dialog fieldset figure".split())
 _HINT = re.compile(
     r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|replies|related|recommend\w*|share|sharing|social|footer|"
-    r"masthead|topbar|widget|skip|login|signup|search"
+    r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|comment(?:s|ers?|list|form|box|area|section|thread)?|disqus|repl(?:y|ies)|responses?|respond|discussion|"
+    r"related|recommend\w*|share|sharing|social|footer|masthead|topbar|widget|skip|login|signup|search"
 )
 #: Words that say of a hint only where or what kind of element it is.
 _LAYOUT = re.compile(
     r"site|page|global|main|primary|secondary|top|bottom|left|right|sticky|fixed|js|box|wrapper|wrap|container|holder|inner|outer|bar|block|"
-    r"section|area|panel|pane|region|slot|unit|list|items?|links?|buttons?|btns?|icons?|form|posts|articles|stories|thread|to|content|\d+(?:x\d+)?"
+    r"section|area|panel|pane|region|slot|unit|list|items?|links?|buttons?|btns?|icons?|form|posts?|articles?|stories|entry|blog|reader|user|law|info|"
+    r"thread|to|content|\d+(?:x\d+)?"
 )
+#: Words are parted by - and _, and before a capital within one.
+_JOINT = re.compile(r"[-_]+|(?<=[a-z0-9])(?=[A-Z])")
+#: A line that says whose the rights are.
+_RIGHTS = re.compile(r"(?:copyright\s*)?(?:©|\(c\))\s*\S.{0,100}|copyright\s+\d{4}\b.{0,100}|.{0,60}\ball rights reserved\.?", re.IGNORECASE)
+#: How much more a line weighs that the page marks as its text.
+MARKED = 4
+
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?""")
 _ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu".split())
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
@@ -59,7 +69,7 @@ _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 @lru_cache(maxsize=100_000)
 def _hinted(name: str) -> bool:
     """Whether a class name or id as a whole says boilerplate: words of hints, and of layout beside them."""
-    words = [w for w in re.split(r"[-_]+", name.lower()) if w]
+    words = [w.lower() for w in _JOINT.split(name) if w]
     hints = [bool(_HINT.fullmatch(w)) for w in words]
     return any(hints) and all(h or _LAYOUT.fullmatch(w) for h, w in zip(hints, words, strict=True))
 
@@ -154,24 +164,22 @@ class _Open:
 
 
 def page_lines(page: str) -> list[tuple[str, int, str]]:
-    """(text, characters in links, the article or main that it's in) of every block in page order; boilerplate has an empty text."""
+    """(text, characters in links, the article or main that it's in, with its number) of every block with text in page order, but boilerplate."""
     lines: list[tuple[str, int, str]] = []
     parts: list[str] = []
     open_ = _Open()
-    linked, gap = 0, False
+    linked, marks = 0, 0
 
     def flush() -> None:
-        nonlocal linked, gap
-        if parts or gap:
-            lines.append((" ".join("".join(parts).split()), linked, open_.state()[1]))
-            parts.clear()
-            linked, gap = 0, False
+        nonlocal linked
+        if line := " ".join("".join(parts).split()):
+            lines.append((line, linked, open_.state()[1]))
+        parts.clear()
+        linked = 0
 
     def text(piece: str) -> None:
-        nonlocal linked, gap
-        if piece and open_.state()[0]:
-            gap = True
-        elif piece:
+        nonlocal linked
+        if piece and not open_.state()[0]:
             parts.append(decoded := html.unescape(piece) if "&" in piece else piece)
             if open_.count.get("a"):
                 linked += len(decoded.strip())
@@ -200,22 +208,35 @@ def page_lines(page: str) -> list[tuple[str, int, str]]:
             open_.pop()
         skipped, within = open_.state()
         skipped = skipped or _boilerplate(name, attrs, bool(within))
-        open_.push(name, skipped, name if name in ("article", "main") and not skipped and within != "article" else within)
+        if name in ("article", "main") and not skipped and not within.startswith("article"):
+            marks += 1
+            within = f"{name} {marks}"
+        open_.push(name, skipped, within)
     text(page[at:])
     flush()
     return lines
 
 
-def weigh(lines: list[tuple[str, int, str]], surge: int) -> list[int]:
-    """The weight of each line; marks of the page raise or drop it."""
-    marks = {within for text, _, within in lines if text}
-    best = "article" if "article" in marks else "main" if "main" in marks else ""
-    out = []
+def marked(lines: list[tuple[str, int, str]]) -> set[str]:
+    """The articles of the page that are no teasers, else its main parts; none if it marks neither."""
+    size: dict[str, int] = {}
     for text, linked, within in lines:
-        if best and within == best:
-            out.append(len(text) + surge if text else 0)
+        size[within] = size.get(within, 0) + max(1, len(text) - linked)
+    found = {m: n for m, n in size.items() if m.startswith("article")} or {m: n for m, n in size.items() if m}
+    return {m for m, n in found.items() if 3 * n >= max(found.values())}
+
+
+def weigh(lines: list[tuple[str, int, str]]) -> list[int]:
+    """The weight of each line: its text outside links, more where the page marks its text, nothing in menus and where others are marked."""
+    best = marked(lines)
+    links = [2 * linked > len(text) for text, linked, _ in lines]
+    out = []
+    for i, (text, linked, within) in enumerate(lines):
+        menu = links[i] and (not best or any(links[max(0, i - 1) : i] + links[i + 1 : i + 2]))
+        if menu or best and within not in best or not within.startswith("article") and len(text) <= 160 and _RIGHTS.fullmatch(text):
+            out.append(0)
         else:
-            out.append(0 if best or 2 * linked > len(text) else len(text))
+            out.append(max(1, len(text) - linked) * (MARKED if best else 1))
     return out
 
 
@@ -242,7 +263,7 @@ def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
     if not page:
         return ""
     lines = page_lines(page)
-    kept = keep_lines(weigh(lines, surge), window, surge)
+    kept = keep_lines(weigh(lines), window, surge)
     return "\n".join(text for (text, _, _), k in zip(lines, kept, strict=True) if k)
 
 
