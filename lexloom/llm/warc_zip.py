@@ -25,7 +25,7 @@ import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -51,16 +51,16 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _record_id(page_id: str | None) -> str:
+    """Ids are text here; a null id has no quotes."""
+    return f"<urn:page:{quote(json.dumps(page_id), safe='')}>"
 
 
-def _page_id(record_id: str | None) -> int | None:
-    number = (record_id or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+def _page_id(record_id: str | None) -> str | None:
+    return json.loads(unquote(record_id.removeprefix("<urn:page:").removesuffix(">"))) if record_id else None
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def warc_record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None, revisit: bool) -> bytes:
     """One WARC/1.1 record; a revisit holds the HTTP headers of the payload, not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [
@@ -144,7 +144,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     base = base.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     again = base.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c"))
     typed = base.join(apart(again.where("c > 1").select("digest", "first")), "digest", "left")
-    typed = typed.select("page_id", "url", "html", F.when(F.octet_length("html") >= least_bytes, F.col("first")).alias("first"))
+    first = F.when(F.octet_length("html") >= least_bytes, F.col("first")).cast("string")
+    typed = typed.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", first.alias("first"))
+    if "://" not in folder and not folder.startswith("file:") and not pages.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError(f"{folder} has no scheme: on a cluster each executor would write to its own disk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
@@ -187,11 +190,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     return typed.mapInArrow(run, "path string, records long")
 
 
-def read_archives(spark: SparkSession, folder: str, paths: list[str], run_length: int = 64) -> DataFrame:
-    """A row per record of the archives at these paths, with its payload.
+def read_archives(spark: SparkSession, folder: str, paths: list[str], run_length: int = 64, id_type: str = "bigint", payloads: bool = True) -> DataFrame:
+    """A row per record of the archives at these paths, with its payload unless payloads is false.
 
     One task for each archive reads directories and index; runs of records are then
-    dealt to tasks that read them by range.
+    dealt to tasks that read them by range. Each payload is hashed again and must give the digest in its headers.
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +222,9 @@ def read_archives(spark: SparkSession, folder: str, paths: list[str], run_length
                     file.seek(offset)
                     for n in lengths:
                         warc, http, payload = parse_record(gzip.decompress(file.read(n)))
+                        full = warc["warc-type"] == "response"
+                        if full and base32_sha1(payload) != warc["warc-payload-digest"].removeprefix("sha1:"):
+                            raise ValueError("payload does not match its digest")
                         rows.append(
                             (
                                 _page_id(warc["warc-record-id"]),
@@ -226,35 +232,27 @@ def read_archives(spark: SparkSession, folder: str, paths: list[str], run_length
                                 warc["warc-payload-digest"].removeprefix("sha1:"),
                                 warc["warc-type"],
                                 _page_id(warc.get("warc-refers-to")),
-                                payload if warc["warc-type"] == "response" else None,
+                                payload if full and payloads else None,
                             )
                         )
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
                 names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
     archives = spark.createDataFrame([(p,) for p in paths], "path string")
     runs = archives.repartition(max(1, len(paths))).mapInArrow(index, "path string, offset long, lengths array<long>")
     dealt = runs.repartition(max(1, 2 * spark.sparkContext.defaultParallelism))
-    return dealt.mapInArrow(fetch, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    back = dealt.mapInArrow(fetch, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+    back = back.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
+    return back if payloads else back.drop("payload")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes the pages into a new folder of the shared directory and reads them back.
 
-    Only the paths of the archives pass through the driver. Each record's payload is
-    hashed again and must give the digest in its headers.
+    Only the paths of the archives pass through the driver. Ids may be of any type that text can spell.
     """
     spark = pages.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
     paths = [r.path for r in write_archives(pages, folder, least_bytes).select("path").collect()]
-    back = read_archives(spark, folder, paths)
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload, digest in zip(batch.column("payload"), batch.column("payload_digest"), strict=True):
-                if payload.is_valid and base32_sha1(payload.as_py()) != digest.as_py():
-                    raise ValueError("payload does not match its digest")
-            yield batch.drop_columns(["payload"])
-
-    return back.mapInArrow(same, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return read_archives(spark, folder, paths, id_type=pages.schema["page_id"].dataType.simpleString(), payloads=False)
