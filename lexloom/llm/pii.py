@@ -18,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, row_key
+from .common import apart, cut, let, row_key
 
 KINDS = ("email", "ip", "card", "phone")
 ROW = ("r1", "r2")
-#: Characters before and after an occurrence in which its context words are read.
+#: Characters before and after an occurrence in which its context words are looked for first; where they aren't whole in there, all the text between is read.
 CONTEXT = (200, 100)
+#: Marks around a token that aren't part of it.
+BEFORE, AFTER = "<>()[]{}\"'`“”‘’«»,;:!?*|=", "<>()[]{}\"'`“”‘’«»,;:!?*|=."
 _S = r"\x20\x09-\x0D"
 #: Loops over groups are possessive, which the regex engine runs without recursion, and runs are only tried at
 #: their start (or where the last match ended), so that very long runs take linear time. Matches are the same.
@@ -68,9 +70,10 @@ def occurrences(text: Column, form: str) -> Column:
 
     def word_at(piece: Column, left: bool, n: int) -> Column:
         near = F.substring(piece, -CONTEXT[0], CONTEXT[0]) if left else F.substring(piece, 1, CONTEXT[1])
-        split = F.filter(F.split(F.lower(near), rf"[{_S}]+"), lambda x: x != "")
-        k = F.size(split) - n if left else F.lit(n - 1)
-        return let(split, lambda s: F.coalesce(F.when(k >= 0, F.get(s, F.size(s) - n if left else F.lit(n - 1))), F.lit("#")))
+        words = lambda c: F.filter(F.split(F.lower(c), rf"[{_S}]+"), lambda x: x != "")
+        whole = lambda s: (F.size(s) > n) | (F.length(piece) <= CONTEXT[0 if left else 1])  # noqa: E731  the outermost word may be cut
+        split = let(words(near), lambda s: F.when(whole(s), s).otherwise(words(piece)))
+        return let(split, lambda s: F.coalesce(F.when(F.size(s) >= n, F.get(s, F.size(s) - n if left else F.lit(n - 1))), F.lit("#")))
 
     def placed(match: Column, piece: Column) -> Column:
         lengths = F.zip_with(F.slice(piece, 1, F.size(match)), match, lambda p, m: (F.length(p) + F.length(m)).cast("bigint"))
@@ -134,10 +137,18 @@ def _looks(kind: str, token: Column) -> Column:
     return n.between(13, 19) if kind == "card" else n.between(7, 15)
 
 
+def _bare(x: Column) -> Column:
+    """An occurrence without the marks around its token."""
+    behind = F.ltrim(x["token"], F.lit(BEFORE))
+    token = F.rtrim(behind, F.lit(AFTER))
+    start = x["start"] + F.length(x["token"]) - F.length(behind)
+    return F.struct(start.alias("start"), (start + F.length(token)).alias("stop"), token.alias("token"), x["l1"].alias("l1"), x["l2"].alias("l2"), x["n1"].alias("n1"))
+
+
 def _seen(docs: DataFrame) -> DataFrame:
     """r1, r2, doc_id, the seeds of each kind, and other tokens with digits or @ and runs of digit groups of several words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.when(text.rlike("[0-9@]{1}"), occurrences(text, TOKEN)).otherwise(F.array().cast(OCCURRENCE))
+    tokens = F.when(text.rlike("[0-9@]{1}"), F.transform(occurrences(text, TOKEN), _bare)).otherwise(F.array().cast(OCCURRENCE))
     # runs with fewer or more digits are of no kind
     spaced = lambda x: x["token"].rlike(rf"[{_S}]") & F.length(_digits(x["token"])).between(7, 19)
     runs = F.when(text.rlike(r"[0-9][.()-]*[\x20\x09][\x20\x09.()-]*[0-9]"), F.filter(occurrences(text, RUN), spaced)).otherwise(F.array().cast(OCCURRENCE))
@@ -162,16 +173,18 @@ def discover(seen: DataFrame, rounds: int = 3, least_score: float = 0.8, least_s
     edge = mention.select("kind", "token", F.explode(patterns).alias("pattern")).distinct()
     total = edge.groupBy("pattern").agg(F.count_distinct("token").alias("n"))
     trusted = edge.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count_distinct("token").alias("s")).where(F.col("s") >= least_seeds)
-    kinds = cut(edge.select("pattern", "token", F.col("kind").alias("known")).join(trusted.select("pattern", "kind"), "pattern").join(total, "pattern"))
+    # a pattern may have very many tokens: what is known of patterns is joined first, and from an exchange of its own
+    known = apart(trusted.select("pattern", "kind").join(total, "pattern"))
+    kinds = cut(edge.select("pattern", "token", F.col("kind").alias("known")).join(known, "pattern"))
     belief = F.when(F.col("known").isNotNull(), (F.col("known") == F.col("kind")).cast("double"))
     now = kinds.withColumn("x", F.coalesce(belief, F.lit(0.0)))
     for _ in range(rounds):
         strength = now.groupBy("pattern", "kind").agg((F.sum("x") / (F.max("n") + 1)).alias("p"))
-        scored = kinds.join(strength, ["pattern", "kind"])
+        scored = kinds.join(apart(strength), ["pattern", "kind"])
         token = scored.groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.999)))))).alias("t"))
-        now = cut(kinds.join(token, ["token", "kind"]).withColumn("x", F.coalesce(belief, F.col("t"))))
+        now = cut(kinds.join(apart(token), ["token", "kind"]).withColumn("x", F.coalesce(belief, F.col("t"))))
     good = now.groupBy("pattern", "kind").agg((F.sum("x") / (F.max("n") + 1)).alias("p")).where(F.col("p") >= least_score)
-    hit = mention.where("kind IS NULL").drop("kind").withColumn("pattern", F.explode(patterns)).join(good, "pattern")
+    hit = mention.where("kind IS NULL").drop("kind").withColumn("pattern", F.explode(patterns)).join(apart(good), "pattern")
     looks = F.lit(False)
     for kind in KINDS:
         looks = F.when(F.col("kind") == kind, _looks(kind, F.col("token"))).otherwise(looks)
