@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.references import extract_references
 from lexloom.functions.text import BLANK, hash32
 
-from .ordinals import ahead_of, in_ranges
+from .ordinals import ahead_of, in_ranges, numbered
 
 
 def inventory(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
@@ -193,18 +193,28 @@ def bins(docs: DataFrame, key: str, size: str, width: int, rows_a_range: int = 1
     return placed.select(key, F.floor((F.col("_ahead") + F.col("_w")) / width).cast("long").alias("bin"))
 
 
-def pack_sentences(docs: DataFrame, size: int = 1200, least: int = 400, most: int = 3) -> DataFrame:
-    """doc_id, ord and chunk: sentences packed until the next one would pass size."""
-    sentences = F.split("text", r"(?<=[.!?])\s+")
+def pack_sentences(docs: DataFrame, size: int = 1200, least: int = 400, most: int = 3, collapse: bool = False) -> DataFrame:
+    """doc_id, ord and chunk: sentences packed until the next one would pass size.
+
+    With collapse, white space becomes one space first, and the space behind a sentence counts.
+    """
+    text = F.btrim(F.regexp_replace("text", r"(?U)\s+", " ")) if collapse else F.col("text")
+    sentences = F.split(text, r"(?<=[.!?])\s+")
     none = F.array().cast("array<string>")
+    long = lambda c: F.length(c) + F.when(c == "", F.lit(0)).otherwise(F.lit(int(collapse)))
 
     def step(a: Column, s: Column) -> Column:
-        full = (F.length(a["cur"]) + F.length(s) > size) & (F.length(a["cur"]) > least)
+        full = (long(a["cur"]) + F.length(s) > size) & (long(a["cur"]) > least)
         joined = F.when(a["cur"] == "", s).otherwise(F.concat(a["cur"], F.lit(" "), s))
         grown = F.struct(joined.alias("cur"), a["out"].alias("out"))
         flushed = F.struct(s.alias("cur"), F.concat(a["out"], F.array(a["cur"])).alias("out"))
         return F.when(F.size(a["out"]) >= most, a).when(full, flushed).otherwise(grown)
 
     packed = F.aggregate(sentences, F.struct(F.lit("").alias("cur"), none.alias("out")), step)
-    chunks = F.transform(F.array(packed), lambda p: F.when((F.size(p["out"]) < most) & (F.length(p["cur"]) > least), F.concat(p["out"], F.array(p["cur"]))).otherwise(p["out"]))
+    chunks = F.transform(F.array(packed), lambda p: F.when((F.size(p["out"]) < most) & (long(p["cur"]) > least), F.concat(p["out"], F.array(p["cur"]))).otherwise(p["out"]))
     return docs.select("doc_id", F.posexplode(F.get(chunks, F.lit(0))).alias("ord", "chunk"))
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """df with a column place (from 0): an order that depends on seed and key only, by ranges of it."""
+    return numbered(df, *seeded(seed, key))

@@ -28,6 +28,20 @@ def fill(template: Column, **values: Column) -> Column:
     return template
 
 
+def judge_prompt(instructions: str, question: Column, context: Column, answer: Column) -> Column:
+    """What a judge is asked: instructions, question, context and answer between rules, and the form of its answer."""
+    parts = (instructions, "QUESTION:\n{question}", "RETRIEVED CONTEXT:\n{context}", "GENERATED ANSWER:\n{answer}", "Now evaluate the answer and output only the JSON object.")
+    filled = [fill(F.lit(p), question=question) if "{question}" in p else fill(F.lit(p), context=context) if "{context}" in p else fill(F.lit(p), answer=answer) if "{answer}" in p else F.lit(p) for p in parts]
+    return F.concat_ws("\n\n---\n\n", *filled)
+
+
+def typed_battery(rows: DataFrame, key: str, battery: dict[str, str], seed: str = "battery") -> DataFrame:
+    """rows with the columns type and question: one of the battery's kinds of question by hash of the key, to be asked of the row as context."""
+    kinds = tuple(battery)
+    asked = F.create_map(*[F.lit(x) for kv in battery.items() for x in kv])
+    return rows.withColumn("type", pick(seed, F.col(key), kinds)).withColumn("question", F.element_at(asked, F.col("type")))
+
+
 def grounded_answer(chunk: Column, key: Column) -> Column:
     """An opener, the chunk's first three sentences with a fixed line before the third, and a closing; choices are by hash of the key."""
     sentences = F.split(chunk, r"(?<=[.!?])\s+", 4)
