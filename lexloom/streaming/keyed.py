@@ -1,6 +1,7 @@
 """Keyed state with expiry: stop strings over pieces of a text, and the memory of conversations.
 
-The session must keep state in RocksDB (``USES_ROCKSDB``); what isn't touched for ``seconds`` expires.
+The session must keep state in RocksDB (``USES_ROCKSDB``); what isn't touched for ``seconds`` expires by the clock, so
+that a query goes on until it's stopped, whatever its trigger.
 """
 
 from __future__ import annotations

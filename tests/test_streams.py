@@ -13,13 +13,25 @@ from lexloom.streaming import sessions as S
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """State of a few rows needs no more, and each partition has a store and a Python worker of its own."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def fed(spark, tmp_path, batches, schema, query, name, mode="append"):
     """Rows of a stream that gets one file a batch, and the query."""
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}.parquet")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     q = query(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    for _ in range(240):  # state that expires by the clock keeps a query going after its last file
+        if q.awaitTermination(0.5) or q.lastProgress and q.lastProgress["batchId"] >= len(batches):
+            break
+    q.stop()
     return spark.table(name).collect(), q
 
 
@@ -54,7 +66,7 @@ def test_sessions_and_late_rows(spark, tmp_path):
     odd = spark.createDataFrame([(1, None, START, 1.0), (2, 1, None, 1.0)], EVENTS)
     assert S.sessions(odd).count() == 0
 
-    batches = [events[i : i + 60] for i in range(0, 300, 60)]
+    batches = [events[i : i + 150] for i in range(0, 300, 150)]
     late = [(1000, 1, START, 1.0)]
     end = [(1001, 9, moment + timedelta(days=1), 0.0)]
     got, q = fed(spark, tmp_path, [*batches, late, end, end], EVENTS, lambda s: S.sessions(s, late="5 minutes"), "sessions")
