@@ -7,7 +7,9 @@ one edit, or two for long terms; a swap of neighbours is one edit. Words may hol
 and symbols between letters, as misspellings do; where such a word is no term, its runs
 of letters are tried. Words that clean documents use are no misspellings. Each hit is
 weighed by its context: less inside a quotation, more with other hits within a window of
-words. Two weights and an offset turn the sums into a probability.
+words. Quotations are told by marks that belong together, within two lines, and by > before a line. Letters
+that digits stand for, letters repeated and terms spelled out count as one edit.
+Two weights and an offset turn the sums into a probability.
 
 Null and empty texts have no hits and get the score of the offset. Without labelled
 rows that have a text the lexicon is empty and every score is low. Ties between terms go
@@ -35,7 +37,15 @@ from .langid import held_out
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters and digits, with symbols among them and perhaps one before.
 _TOKEN = re.compile(r"[@$!]?[^\W_]+(?:[*@$!#%&+|]+[^\W_]+)*")
-_OPENING, _CLOSING = "“«„", "”»"
+#: Marks that open a quotation, and those that may close it.
+_CLOSED_BY = {'"': '"', "'": "'", "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’", "‹": "›", "›": "‹"}
+_MARKS = re.compile(f"[{''.join(sorted(set(''.join(_CLOSED_BY) + ''.join(_CLOSED_BY.values()))))}\n]")
+#: Letters that digits and symbols stand for.
+_STANDS_FOR = str.maketrans("013457@$!", "oleastasi")
+_STANDS_ALSO = str.maketrans("013457@$!", "oieastasi")
+_RUNS = re.compile(r"(.)\1{2,}")
+#: Single letters with the same mark or space between them, four or more.
+_SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:([.\-_*·~ ])[^\W\d_])(?:\1[^\W\d_]){2,}(?![^\W_])")
 PREFIXES = range(4, 9)
 #: Lengths from which a term may have one edit and two; a beginning needs one letter more, a word with a digit or symbol one less.
 ONE_EDIT, TWO_EDITS = 5, 10
@@ -145,45 +155,80 @@ class Trie:
 
 
 class _Quotation:
-    """Marks of one whole line, read once, with what stands before each."""
-
-    def __init__(self, line: str) -> None:
-        self.at, self.before, now = [], [(0, 0, 0)], (0, 0, 0)  # straight marks, depth, closing marks
-        for m in re.finditer(f'["{_OPENING}{_CLOSING}]', line):
-            opens, closes = m[0] in _OPENING, m[0] in _CLOSING
-            now = (now[0] + (m[0] == '"'), now[1] + opens - closes, now[2] + closes)
-            self.at.append(m.start())
-            self.before.append(now)
+    """Where a text quotes: between marks that belong together, over a line break at most, and in lines that begin with >."""
+
+    def __init__(self, text: str) -> None:
+        spans = [(m.start(), m.end()) for m in re.finditer(r"(?m)^[ \t]*>.*$", text)] if ">" in text else []
+        open_: list[tuple[str, int, int]] = []  # mark, place, line
+        line = 0
+        for m in _MARKS.finditer(text):
+            mark, at = m[0], m.start()
+            if mark == "\n":
+                line += 1
+                continue
+            before, after = text[at - 1 : at], text[at + 1 : at + 2]
+            inner = before.isalnum() and after.isalnum()  # an apostrophe
+            k = next((k for k in range(len(open_) - 1, -1, -1) if mark in _CLOSED_BY[open_[k][0]] and line - open_[k][2] <= 1), -1)
+            if k >= 0 and not (mark in "'’" and (inner or before.isspace() or after.isalnum())):
+                spans.append((open_[k][1], at))
+                del open_[k:]
+            elif mark in _CLOSED_BY and not (mark in "'‘‚" and (before.isalnum() or not after.strip())):
+                open_ = [x for x in open_ if line - x[2] <= 1][-8:]
+                open_.append((mark, at, line))
+        self.start, self.stop = [], []
+        for a, b in sorted(spans):
+            if self.stop and a <= self.stop[-1]:
+                self.stop[-1] = max(self.stop[-1], b)
+            else:
+                self.start.append(a)
+                self.stop.append(b)
 
     def holds(self, at: int) -> bool:
-        (straight, depth, closing), last = self.before[bisect_left(self.at, at)], self.before[-1]
-        return (straight % 2 == 1 and last[0] > straight) or (depth > 0 and last[2] > closing)
+        i = bisect_left(self.start, at + 1) - 1
+        return i >= 0 and at < self.stop[i]
 
 
 def matched(token: str, trie: Trie) -> list[tuple[str, tuple[str, int]]]:
-    """(word, hit) of a token as a whole, else of its runs of letters."""
+    """(word, hit) of a token as a whole; else of what its digits and symbols stand for, or of its letters without repeats; else of its runs of letters."""
     if hit := trie.find(token):
         return [(token, hit)]
+    if not token.isalpha():
+        for table in (_STANDS_FOR, _STANDS_ALSO):
+            plain = token.translate(table)
+            if plain.isalpha() and (hit := trie.find(plain)) and not hit[1]:
+                return [(token, (hit[0], 1))]
+    if _RUNS.search(token):
+        for by in (r"\1\1", r"\1"):
+            if hit := trie.find(_RUNS.sub(by, token)):
+                return [(token, (hit[0], max(1, hit[1])))]
     if token.isalpha():
         return []
     return [(w, hit) for w in _WORD.findall(token) if (hit := trie.find(w))]
 
 
+def _spelled(text: str, trie: Trie) -> dict[int, tuple[str, tuple[str, int]]]:
+    """Terms that are spelled out letter by letter, by where they begin."""
+    found = {}
+    for m in _SPELLED.finditer(text):
+        word = m[0].replace(m[1], "")
+        if (hit := trie.find(word)) and not hit[1]:
+            found[m.start()] = (word, (hit[0], 1))
+    return found
+
+
 def hits(text: str | None, trie: Trie, window: int = 10) -> list[tuple[str, str, int, bool, int]]:
     """(word, term, edits, quoted, other hits within the window) of every hit in the text."""
     low = (text or "").lower()
     own = {t: found for t in set(_TOKEN.findall(low)) if (found := matched(t, trie))}
-    if not own:
+    spelled = _spelled(low, trie)
+    if not own and not spelled:
         return []
-    found, line, end = [], None, -1
+    found, quoted = [], _Quotation(low)
     for i, m in enumerate(_TOKEN.finditer(low)):
-        if here := own.get(m[0]):
-            if m.start() >= end:
-                start = low.rfind("\n", 0, m.start()) + 1
-                end = low.find("\n", m.end())
-                end = len(low) if end < 0 else end
-                line = _Quotation(low[start:end])
-            found += [(i, word, *hit, line.holds(m.start() - start)) for word, hit in here]
+        here = own.get(m[0], [])
+        if m.start() in spelled:
+            here = [*here, spelled[m.start()]]
+        found += [(i, word, *hit, quoted.holds(m.start())) for word, hit in here]
     at = np.array([x[0] for x in found])
     near = np.searchsorted(at, at + window, "right") - np.searchsorted(at, at - window, "left") - 1
     return [(*x[1:], int(n)) for x, n in zip(found, near, strict=True)]
