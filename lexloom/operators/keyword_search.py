@@ -41,7 +41,8 @@ class KeywordIndex:
         spread = found.select("doc_id", F.coalesce(F.size("w"), F.lit(0)).alias("length"), F.explode("w").alias("term"))
         rows = spread.groupBy("term", "doc_id", "length").agg(F.count("*").cast("int").alias("tf"))
         rows = rows.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int"))
-        rows.repartition("folder", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/postings")
+        # folders of common terms are much larger than others, and dealt to as many tasks as their size asks for
+        rows.hint("rebalance", "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/postings")
         spark.range(1).select(F.lit(folders).alias("folders")).write.parquet(f"{path}/about")
         index = cls(spark, path)
         index.postings().groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")

@@ -42,7 +42,7 @@ class KeyedCollection:
             ids = new.select(F.col(self.key).alias("_key"))
             old = old.join(ids, F.col(self.key).eqNullSafe(F.col("_key")), "left_anti")
             whole = settled(new.unionByName(old.select(*new.columns)), "upsert")  # the folders are replaced, so what stays is read before
-        whole.repartition("_folder").write.partitionBy("_folder").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
+        whole.hint("rebalance", "_folder").write.partitionBy("_folder").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
 
 
 class IndexedCollection:
