@@ -90,6 +90,7 @@ class Trie:
                 for n in range(len(t) - k, len(t) + k + 1):
                     self.sets.setdefault(n, set()).add((own, k))
         self.known: dict[str, tuple[str, int] | None] = {}
+        self.tokens: dict[str, list[tuple[str, tuple[str, int]]]] = {}
 
     @staticmethod
     def edits(term: str, obscured: bool = False) -> int:
@@ -189,6 +190,15 @@ class _Quotation:
 
 
 def matched(token: str, trie: Trie) -> list[tuple[str, tuple[str, int]]]:
+    """What ``_matched`` finds, looked up once a token."""
+    if token not in trie.tokens:
+        if len(trie.tokens) > 1_000_000:
+            trie.tokens.clear()
+        trie.tokens[token] = _matched(token, trie)
+    return trie.tokens[token]
+
+
+def _matched(token: str, trie: Trie) -> list[tuple[str, tuple[str, int]]]:
     """(word, hit) of a token as a whole; else of what its digits and symbols stand for, or of its letters without repeats; else of its runs of letters."""
     if hit := trie.find(token):
         return [(token, hit)]
@@ -219,8 +229,10 @@ def _spelled(text: str, trie: Trie) -> dict[int, tuple[str, tuple[str, int]]]:
 def hits(text: str | None, trie: Trie, window: int = 10) -> list[tuple[str, str, int, bool, int]]:
     """(word, term, edits, quoted, other hits within the window) of every hit in the text."""
     low = (text or "").lower()
-    own = {t: found for t in set(_TOKEN.findall(low)) if (found := matched(t, trie))}
-    spelled = _spelled(low, trie)
+    tokens = set(_TOKEN.findall(low))
+    own = {t: found for t in tokens if (found := matched(t, trie))}
+    # a term that is spelled out has three letters at least that stand alone
+    spelled = _spelled(low, trie) if sum(len(t) == 1 and t.isalpha() for t in tokens) >= 3 else {}
     if not own and not spelled:
         return []
     found, quoted = [], _Quotation(low)

@@ -72,7 +72,7 @@ def test_stages_of_nothing(spark, corpus):
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in P.STAGES] == ["quality_rules", "near_dedup", "decontamination", "pii", "mix"]
     assert set(queries.SQL) <= set(queries.QUERIES)
 
