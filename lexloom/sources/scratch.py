@@ -11,7 +11,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below that of spark.checkpoint.dir, which driver and executors share. A local session without the setting gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
