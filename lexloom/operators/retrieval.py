@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.references import refers_to
 
+from .nearest import PACK, meet
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -71,23 +73,18 @@ def range_filter(column: str, low: int, high: int, whole: tuple[int, int]) -> Co
     return None if (low, high) == whole else F.col(column).between(low, high)
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2000) -> DataFrame:
-    """query_id, vec_id, score and rank of the k nearest other rows of each query (query_id, q).
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = PACK) -> DataFrame:
+    """query_id, vec_id, label, score and rank of the k nearest other rows of each query (query_id, q).
 
-    Exact, so each query meets every vector. Queries go out in blocks of about ``block``
-    rows by a hash of their id, so that what a task holds doesn't grow with them; each
-    block is one pass over the vectors.
+    Exact, so each query meets every vector: both are dealt to packs of about ``block`` rows, every pack of vectors
+    meets every pack of queries in a task, and k rows a query leave it.
     """
-    blocks = -(-queries.count() // block) or 1
-    out = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = vectors.join(F.broadcast(own), F.col("vec_id") != F.col("query_id"))
-        scored = pairs.select("query_id", "vec_id", "label", F.round(dot("embedding", "q"), 6).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
-        out = best if out is None else out.union(best)
-    return out
+    packs = -(-vectors.count() // block) or 1
+    dealt = vectors.select("vec_id", "embedding", "label", F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("int").alias("_pack"))
+    asked = queries.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("_pack"))
+    scored = meet(dealt, asked, queries.count(), k, but_self=True).select("query_id", "vec_id", "label", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 @dataclass(frozen=True)
