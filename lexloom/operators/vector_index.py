@@ -12,6 +12,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom.sources.scratch import settled
+
+from .nearest import PACK, meet
 from .retrieval import dot, top_k_each
 
 #: Most cells of an index, so that the tables of centres that are broadcast stay small; also its folders.
@@ -94,28 +97,67 @@ class VectorIndex:
         asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).where("q IS NOT NULL")
         return asked.mapInArrow(run, f"query_id {kind}, q array<double>, cell int, place int, bound double, slices int")
 
-    def scores(self, probes: DataFrame, keep: Column | None = None) -> DataFrame:
-        """query_id, the index's columns and score for the rows of the cells asked for; only these cells' folders are read."""
-        asked = probes.select("query_id", "q", F.col("cell").alias("of"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"))
+    def _wanted(self, queries: DataFrame, packs: dict[int, list[int]], probes: int, beyond: bool) -> DataFrame:
+        """query_id, q, _pack and the cells in it that a query asks for: the nearest ``probes``, or those beyond them whose bound isn't below ``least``."""
+        cells = sorted(self.cells().collect())
+        centre, radius = np.array([c["centre"] for c in cells]), np.array([c["radius"] for c in cells])
+        number = np.array([c["cell"] for c in cells], dtype=np.int32)
+        columns = {p: np.flatnonzero(np.isin(number, held)) for p, held in packs.items()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    q = part.column("q").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    near = q @ centre.T
+                    place = np.empty(near.shape, dtype=np.int32)
+                    np.put_along_axis(place, np.argsort(-near, axis=1, kind="stable"), np.arange(len(cells), dtype=np.int32)[None, :], axis=1)
+                    asked = place < probes
+                    if beyond:
+                        least = part.column("least").to_numpy(zero_copy_only=False)[:, None]  # NaN where fewer than k were found
+                        asked = ~asked & ~(near + np.linalg.norm(q, axis=1)[:, None] * radius < least)
+                    for p, own in columns.items():
+                        some = asked[:, own]
+                        rows = np.flatnonzero(some.any(axis=1))
+                        if len(rows):
+                            ends = np.concatenate([[0], np.cumsum(some[rows].sum(axis=1))]).astype(np.int32)
+                            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(number[own[np.nonzero(some[rows])[1]]]))
+                            taken = pa.array(rows)
+                            yield pa.RecordBatch.from_arrays([part.column("query_id").take(taken), part.column("q").take(taken), pa.array(np.full(len(rows), p, dtype=np.int32)), listed], ["query_id", "q", "_pack", "cells"])
+
+        kind = queries.schema["query_id"].dataType.simpleString()
+        return queries.mapInArrow(run, f"query_id {kind}, q array<double>, _pack int, cells array<int>") if cells else queries.select("query_id", "q", F.lit(0).alias("_pack"), F.array().cast("array<int>").alias("cells")).limit(0)
+
+    def _best(self, queries: DataFrame, k: int, probes: int, but_self: bool, keep: Column | None, beyond: bool = False) -> DataFrame:
+        """query_id, the index's columns and score: the k best of each pack of about ``PACK`` rows, of the cells asked for; only these cells' folders are read."""
+        table, packs, ahead = [], {}, 0
+        for c in sorted(self.cells().select("cell", "slices", "rows").collect()):
+            for part in range(c["slices"]):
+                table.append((c["cell"], part, ahead // PACK))
+                packs.setdefault(ahead // PACK, []).append(c["cell"])
+                ahead += c["rows"] // c["slices"] + 1
+        asked = settled(self._wanted(queries, packs, probes, beyond), "asked")
         rows = self.rows() if keep is None else self.rows().where(keep)
-        rows = rows.join(F.broadcast(probes.select("cell").distinct()), "cell", "left_semi")  # at most MOST_CELLS rows
-        both = rows.join(asked, (F.col("cell") == F.col("of")) & (F.col("slice") == F.col("part")))
-        return both.withColumn("score", F.round(dot("embedding", "q"), 6)).drop("embedding", "q", "of", "part", "slice", "reach", "cell")
+        of = self.spark.createDataFrame(table, "cell int, slice int, _pack int")
+        rows = rows.join(F.broadcast(asked.select(F.explode("cells").alias("cell")).where("cell >= 0").distinct()), "cell", "left_semi")  # at most MOST_CELLS rows
+        rows = rows.join(F.broadcast(of), ["cell", "slice"]).drop("slice", "reach")  # a row a cell and slice
+        return meet(rows, asked, queries.count(), k, but_self)
 
     def search(self, queries: DataFrame, k: int, probes: int, but_self: bool = False, keep: Column | None = None) -> DataFrame:
         """query_id, the index's columns, score and rank: the k best of the ``probes`` cells nearest to each query. keep filters rows before they are ranked."""
-        found = self.scores(self.order(queries).where(F.col("place") <= probes), keep)
-        return best_k(found.where("vec_id <> query_id") if but_self else found, k)
+        return best_k(self._best(self._given(queries), k, probes, but_self, keep), k)
 
     def search_exact(self, queries: DataFrame, k: int, probes: int, but_self: bool = False, keep: Column | None = None) -> DataFrame:
         """The k best of all rows: after the nearest cells, those that might still hold a better row than the k-th found. Nulls have no score."""
-        first = self.search(queries, k, probes, but_self, keep)
+        first = settled(self.search(queries, k, probes, but_self, keep), "first")
         least = first.where(F.col("rank") == k).select("query_id", (F.col("score") - 1e-6).alias("least"))
-        more = self.order(queries).where(F.col("place") > probes).join(least, "query_id", "left").where("least IS NULL OR bound >= least")
-        found = self.scores(more.drop("least"), keep)
-        found = found.where("vec_id <> query_id") if but_self else found
+        found = self._best(self._given(queries).join(least, "query_id", "left"), k, probes, but_self, keep, beyond=True)
         return best_k(first.drop("rank").unionByName(found), k)
 
+    @staticmethod
+    def _given(queries: DataFrame) -> DataFrame:
+        return queries.select("query_id", F.col("q").cast("array<double>").alias("q")).where("q IS NOT NULL")
+
     def needed_probes(self, k: int, recall: float = 0.9, sample: int = 200) -> int:
         """The fewest probes by which about ``sample`` rows, as queries, find so much of their k nearest others, held against all rows."""
         n = self.rows().count()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.operators.nearest import rounded
 from lexloom.operators.retrieval import dot, top_k_each
+from lexloom.operators.vector_index import VectorIndex
 
 
 def plain(vectors, queries, k):
@@ -47,3 +48,15 @@ def test_pairs_do_not_become_rows(spark):
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     plan = top_k_each(vectors, asked, 5)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_cells_of_a_pack_are_asked_at_once(spark, tmp_path):
+    """A query goes out once a pack, not once a cell, and pairs stay in tasks."""
+    vectors = spark.range(900).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"), F.lit(1).alias("label"))
+    index = VectorIndex.build(vectors, f"{tmp_path}/cells", cells=12)
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = index.search(asked, 5, 12, but_self=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "dynamicpruning" in plan
+    assert index._wanted(asked, {0: list(range(12))}, 12, beyond=False).count() == asked.count()
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, top_k_each(vectors, asked, 5).select(found.columns).collect()))
