@@ -4,9 +4,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.operators import keyword_search
 from lexloom.operators.keyword_search import B, K1, KeywordIndex, fuse, terms
 from lexloom.operators.ordinals import numbered
 from lexloom.operators.vector_index import VectorIndex
@@ -104,6 +106,33 @@ def test_keyword_search_is_exact(spark, tmp_path):
     assert df.select(terms(F.col("text")).alias("t")).where("doc_id = 202").first()["t"] == []
 
 
+def test_keyword_blocks_equal_brute_force(spark, tmp_path, monkeypatch):
+    """Many blocks, packs and passes of queries, copies that tie, and ids that come twice, which count as one document where their lengths are equal."""
+    rng = random.Random(5)
+    texts = [" ".join(f"t{int(rng.random() ** 3 * 40)}" for _ in range(rng.randrange(1, 30))) for _ in range(150)] + ["t1 t2 t3 t3"] * 60 + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for name, value in {"SLICE": 200, "CELLS": 300, "GAINS": 50, "PACK": 4}.items():
+        monkeypatch.setattr(keyword_search, name, value)
+    index = KeywordIndex.build(df, f"{tmp_path}/blocks", folders=3)
+    assert index.postings().count() == sum(len(set((t or "").split())) for t in texts)  # a term and document once
+    queries = [[f"t{rng.randrange(45)}" for _ in range(rng.randrange(0, 6))] for _ in range(20)] + [["t1", "t2", "t3"]]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id long, terms array<string>")
+    found = index.search(asked, 7, blocks=9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan  # queries meet blocks, not every posting in a row of its own
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    for q, words in enumerate(queries):
+        assert [(d, pytest.approx(s, abs=2e-6)) for d, s in brute_bm25(texts, words, 7)] == got.get(q, [])
+    table = np.arange(4)
+    rows = pa.table({"doc_id": table, "number": table * 0, "gain": [1.0, 2.0, 2.0, 0.5]})
+    which, docs, scores = keyword_search.best_documents(rows, pa.table({"query_id": [7, 1], "number": [0, 0], "_self": [9, 1]}), 2, True)
+    assert sorted(zip(which.tolist(), docs.to_pylist(), scores.tolist(), strict=True)) == [(0, 1, 2.0), (0, 2, 2.0), (1, 0, 1.0), (1, 2, 2.0)]
+    same = KeywordIndex.build(spark.createDataFrame([(1, "a b"), (1, "a c"), (1, "a"), (2, "a")], "doc_id long, text string"), f"{tmp_path}/same")
+    assert sorted((r["term"], r["doc_id"], r["length"], r["tf"]) for r in same.postings().collect()) == [("a", 1, 1, 1), ("a", 1, 2, 2), ("a", 2, 1, 1), ("b", 1, 2, 1), ("c", 1, 2, 1)]
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, doc string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2), (2, "x", 1)], "query_id int, doc string, rank int")
