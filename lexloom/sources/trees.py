@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -9,6 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import settled
+
+#: Bytes and files that a task reads about, and bytes of the batches that it hands on.
+TASK_BYTES, TASK_FILES, BATCH_BYTES = 1 << 26, 5000, 1 << 23
+
 
 def _opened(uri: str):  # noqa: ANN202
     """File system and path of a URI; one without a scheme, or of scheme file, is local or mounted on every machine."""
@@ -34,6 +42,7 @@ def write_tree(files: DataFrame, target: str) -> DataFrame:
         import hashlib
 
         store, root = _opened(staging)
+        made = set()
         for batch in batches:
             paths, sizes, digests = [], [], []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
@@ -41,8 +50,11 @@ def write_tree(files: DataFrame, target: str) -> DataFrame:
                     raise ValueError(f"{path} isn't below the target")
                 data = content.as_py() or b""
                 final = f"{root}/{path}"
-                store.create_dir(final.rpartition("/")[0], recursive=True)
-                own = f"{final.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+                folder = final.rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                own = f"{folder}/.{uuid.uuid4().hex}"
                 with store.open_output_stream(own) as out:
                     out.write(data)
                 store.move(own, final)
@@ -63,8 +75,86 @@ def write_tree(files: DataFrame, target: str) -> DataFrame:
     return spark.read.schema(manifest.schema).parquet(f"{staging}.manifest")
 
 
+def local_root(root: str) -> str | None:
+    """The path of a folder that is local or mounted on every machine; None for what Spark's own readers must open."""
+    path = root.removeprefix("file:") if root.startswith("file:") else root
+    path = "/" + path.lstrip("/") if root.startswith("file:") or root.startswith("/") else os.path.abspath(path)
+    return path if "://" not in root.removeprefix("file://") and not re.search(r"[*?\[\]{}\\]", path) and os.path.isdir(path) else None
+
+
+def _hidden(name: str) -> bool:
+    """As Spark's readers have it."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _listed(deep: bool):  # noqa: ANN202
+    """A task's listing of folders, with all below them or only their own entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            todo = batch.column("path").to_pylist()
+            rows: list[tuple[str, bool, int]] = []
+            while todo:
+                with os.scandir(todo.pop()) as entries:
+                    for e in entries:
+                        if _hidden(e.name):
+                            continue
+                        folder = e.is_dir()
+                        if deep and folder:
+                            todo.append(e.path)
+                        else:
+                            rows.append((e.path, folder, 0 if folder else e.stat().st_size))
+                        if len(rows) >= 10_000:
+                            yield _batch(rows)
+                            rows = []
+            yield _batch(rows)
+
+    return run
+
+
+def _batch(rows: list[tuple[str, bool, int]]) -> pa.RecordBatch:
+    path, folder, size = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(folder, pa.bool_()), pa.array(size, pa.int64())], ["path", "folder", "size"])
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path and content, some megabytes at a time."""
+    for batch in batches:
+        paths, found, held = [], [], 0
+        for path in batch.column("path").to_pylist():
+            with open(path, "rb") as file:
+                paths.append(path)
+                found.append(file.read())
+            held += len(found[-1])
+            if held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.binary())], ["path", "content"])
+                paths, found, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.binary())], ["path", "content"])
+
+
+def read_below(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """path (absolute) and content of the files below a local or mounted folder whose name fits the pattern.
+
+    Tasks list the folders right below root and read the files, which are dealt by number and size: Spark's readers list
+    a tree in the driver and take every small file for four megabytes, so that many of them make very many tasks.
+    """
+    kind = "path string, folder boolean, size long"
+    top = settled(spark.createDataFrame([(root,)], "path string").coalesce(1).mapInArrow(_listed(False), kind), "listing")
+    n = top.where("folder").count()
+    below = top.where("folder").select("path").repartition(max(1, min(n, 1000)), "path").mapInArrow(_listed(True), kind)
+    pattern = spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+    files = top.where("NOT folder").union(below).where(F.substring_index("path", "/", -1).rlike(rf"\A(?s:{pattern})\z"))
+    files = settled(files.select("path", "size"), "listing")
+    whole = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(whole["n"], spark.sparkContext.defaultParallelism), math.ceil(whole["bytes"] / TASK_BYTES), math.ceil(whole["n"] / TASK_FILES))
+    return files.select("path").repartition(tasks, "path").mapInArrow(_contents, "path string, content binary")
+
+
 def list_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """path below root and content of every file whose name fits the pattern."""
+    local = local_root(root)
+    if local is not None:
+        return read_below(spark, local, glob).select(F.expr(f"substring(path, {len(local.rstrip('/')) + 2})").alias("path"), "content")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     return found.select(F.substring_index("path", root.rstrip("/").removeprefix("file:").lstrip("/") + "/", -1).alias("path"), "content")
 

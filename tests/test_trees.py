@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.sources import trees
+from lexloom.sources import readers, trees
 
 
 def listed(root):
@@ -25,6 +25,29 @@ def test_copy_equals_the_listed_tree(spark, tmp_path):
     assert listed(f"{tmp_path}/none") == {}
 
 
+def test_small_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    """Names and contents as Spark's readers give them, hidden files and folders left out; the number of tasks goes by files and bytes."""
+    names = ["top.md", "v 1/a.md", "v 1/x%y#[1]?.md", "v 1/deep/er/ü.md", "v 1/deep/b.txt", "_no/a.md", ".no/a.md", "v 1/_h.md", "v 1/.h.md", "v=1/_k=1.md"] + [f"w/{i}.md" for i in range(200)]
+    for n in names:
+        (tmp_path / "t" / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / n).write_bytes(f"{n} é".encode() if "a.md" not in n else b"\xff\x00")
+    root = f"{tmp_path}/t"
+    own = {(r["path"], r["raw_text"]) for r in readers.markdown_files(spark, root).select("path", F.col("raw_text").cast("binary")).collect()}
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select("_metadata.file_path", F.col("value").cast("binary"))
+    assert own == {tuple(r) for r in raw.collect()} and len(own) == 205
+    for uri in (root, f"file:{root}", f"file://{root}/"):
+        assert readers.markdown_files(spark, uri, folders="v.*").count() == 4
+    for glob in ("*.md", "*", "{a,b}.*", "[0-9]?.md"):
+        of = trees.list_tree(spark, root, glob)
+        spark_own = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+        assert {(f"file:{root}/" + r["path"], r["content"]) for r in of.collect()} == {(r["path"], r["content"]) for r in spark_own.collect()}
+    assert readers.markdown_files(spark, root).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(trees, "TASK_FILES", 10)
+    assert trees.list_tree(spark, f"file://{root}", "*.md").rdd.getNumPartitions() == 21
+    monkeypatch.setattr(trees, "BATCH_BYTES", 5)
+    assert trees.list_tree(spark, root).count() == 206
+
+
 def test_a_failed_run_leaves_the_target_and_a_second_one_the_whole(spark, tmp_path):
     rows = [(f"d{i % 3}/f{i}", bytearray(f"{i}".encode())) for i in range(30)]
     df = spark.createDataFrame(rows, "path string, content binary").repartition(5)
