@@ -30,19 +30,26 @@ class KeyedCollection:
     def upsert(self, rows: DataFrame, latest: str | None = None) -> None:
         """Puts rows in place of those with their keys. Of several new rows with a key the one that is greatest in ``latest`` (the whole row, without) goes in.
 
-        The rows that stay come from the touched folders only; others aren't read or written.
+        The rows that stay come from the touched folders only; others aren't read or written. ``rows`` runs twice, first for its
+        keys alone, and must have the same keys each time. Whole rows are shuffled only where keys come twice or old rows stay
+        in a touched folder; they're written once, so a folder has a file for each task with rows of it.
         """
+        placed = rows.withColumn("_folder", self._folder())
+        ids = settled(placed.groupBy("_folder", self.key).agg(F.count("*").alias("_n")).withColumnRenamed(self.key, "_key"), "upsert")
+        new = placed if ids.where("_n > 1").isEmpty() else self._one(rows, latest)
+        if exists(self.spark, f"{self.path}/_folder=*"):
+            old = self.spark.read.parquet(self.path).join(F.broadcast(ids.select("_folder").distinct()), "_folder", "left_semi")  # a row a folder at most
+            stay = old.join(ids.select("_key"), F.col(self.key).eqNullSafe(F.col("_key")), "left_anti")
+            if not stay.select(self.key).isEmpty():
+                new = new.unionByName(stay.select(*new.columns))  # folders are exchanged at the commit, when all is read
+        new.write.partitionBy("_folder").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(self.path)
+
+    def _one(self, rows: DataFrame, latest: str | None) -> DataFrame:
+        """The greatest row of each key, with its folder."""
         names = [c for c in rows.columns if c != self.key]
         order = F.struct(*([F.col(latest)] if latest else []), *names)
         one = rows.groupBy(self.key).agg(F.max(F.struct(order.alias("_o"), F.struct(*names).alias("_v")))["_v"].alias("_v"))
-        new = settled(one.select(self.key, "_v.*").withColumn("_folder", self._folder()).select(*rows.columns, "_folder"), "upsert")
-        whole = new
-        if exists(self.spark, f"{self.path}/_folder=*"):
-            old = self.spark.read.parquet(self.path).join(F.broadcast(new.select("_folder").distinct()), "_folder", "left_semi")  # a row a folder at most
-            ids = new.select(F.col(self.key).alias("_key"))
-            old = old.join(ids, F.col(self.key).eqNullSafe(F.col("_key")), "left_anti")
-            whole = settled(new.unionByName(old.select(*new.columns)), "upsert")  # the folders are replaced, so what stays is read before
-        whole.hint("rebalance", "_folder").write.partitionBy("_folder").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
+        return one.select(self.key, "_v.*").withColumn("_folder", self._folder()).select(*rows.columns, "_folder")
 
 
 class IndexedCollection:

@@ -1,6 +1,7 @@
 """Vector cells, postings, fusion and collections against brute force."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -13,6 +14,7 @@ from lexloom.operators.keyword_search import B, K1, KeywordIndex, fuse, terms
 from lexloom.operators.ordinals import numbered
 from lexloom.operators.vector_index import VectorIndex
 from lexloom.sources.collections import IndexedCollection, KeyedCollection
+from lexloom.sources.scratch import shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -156,6 +158,25 @@ def test_upsert_leaves_each_key_once(spark, tmp_path):
     assert len(before & after) >= 5  # three folders of eight were touched at most
 
 
+def test_upsert_writes_rows_once(spark, tmp_path):
+    """Distinct keys over an empty collection, in place of all that is there, and in place of some: rows go right to their folders, beside which only keys are written."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(f"k{i}", rng.bytes(3000)) for i in range(300)], "id string, data binary").repartition(3)
+    rows.write.parquet(f"{tmp_path}/in")
+    rows = spark.read.parquet(f"{tmp_path}/in")
+    kept = KeyedCollection(spark, f"{tmp_path}/rows", "id", folders=4)
+    beside = os.path.dirname(shared_folder(spark, "x")).removeprefix("file:")
+
+    def held():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(beside) for f in names)
+
+    before = held()
+    for some in (rows, rows, rows.where("id < 'k2'"), rows.where("id = 'nowhere'")):
+        kept.upsert(some)
+        assert sorted(map(repr, kept.rows().collect())) == sorted(map(repr, rows.collect()))
+    assert held() - before < 100_000  # of 900,000 bytes a time
+
+
 def test_postings_spare_files(spark, tmp_path):
     rows = spark.createDataFrame([(i, i // 10, [f"r{i // 20}", f"s{i % 3}"]) for i in range(200)] + [(200, 0, None), (201, 0, [])], "id long, volume int, refs array<string>")
     books = IndexedCollection.write(rows, f"{tmp_path}/books", ["refs", "volume"], ["volume", "id"], parts=10)
