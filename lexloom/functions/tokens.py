@@ -1,4 +1,4 @@
-"""Tokens of a byte-pair vocabulary, counted, cut and listed in Arrow batches.
+"""Tokens of a byte-pair vocabulary, counted, cut and listed row by row.
 
 The vocabulary is a file of ranks (a token in base64 and its rank a line), which Spark sends to
 the executors; where it lies is a parameter. It is never trained here.
@@ -9,10 +9,9 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
 import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import Column, SparkSession
@@ -66,11 +65,11 @@ def vocabulary(spark: SparkSession, path: str) -> Callable[[], Encoder]:
 
 
 def _by_text(found: Callable[[], Encoder], kind: str, of: Callable[[Encoder, str], object]) -> Callable[[Column], Column]:
-    @F.pandas_udf(kind)
-    def apply(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = found()
-        for texts in parts:
-            yield pd.Series([None if t is None else of(encoder, t) for t in texts], dtype="Int32" if kind == "int" else object)
+    """Row by row: Spark hands on a hundred texts at a time, where an Arrow batch may hold ten thousand, however long they are."""
+
+    @F.udf(kind, useArrow=False)
+    def apply(text):  # noqa: ANN001, ANN202
+        return None if text is None else of(found(), text)
 
     return apply
 

@@ -36,6 +36,14 @@ def test_counts_equal_another_tokenizer(spark, table):
         assert r["text"].startswith(r["head"]) and (len(r["ids"]) > 4 or r["head"] == r["text"])
 
 
+def test_texts_come_in_small_batches(spark):
+    """Rows by the hundred, not Arrow batches of ten thousand texts of any length."""
+    docs = spark.range(3).select(F.lit("some words").alias("text"))
+    for of in (token_count(spark, RANKS), token_ids(spark, RANKS), token_head(spark, RANKS, 4)):
+        plan = docs.select(of(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
 def test_long_texts_take_linear_time():
     encoder = Encoder(RANKS)
     for text in (" " * 2_000_000, "\n" * 1_000_000 + "x", "word. " * 200_000):
