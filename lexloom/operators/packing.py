@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.sources.scratch import settled
+
 from .ordinals import numbered
 
 
@@ -64,6 +66,7 @@ def pack_whole(docs: DataFrame, key: str, size: str, width: int) -> DataFrame:
     Only documents longer than a bin are cut: into whole bins and a rest. Null and zero sizes take no place. Only
     the count of each size, width numbers at most, comes to the driver; places among documents of a size are by key.
     """
+    docs = settled(docs.select(key, size), "sizes")  # sizes that a Python function counts are counted once
     whole = F.floor(F.col(size) / width).cast("int")
     parts = F.transform(F.sequence(F.lit(0), whole), lambda i: F.struct(i.alias("segment"), F.least(F.lit(width), F.col(size) - i * width).cast("int").alias("length")))
     cut = docs.where(F.col(size) > 0).select(key, F.inline(F.filter(parts, lambda p: p["length"] > 0)))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.operators import packing
 
@@ -33,3 +34,16 @@ def test_bins_equal_naive_ones(spark, width):
     assert got == want
     assert width == 10 or sum(s for s, _ in items) > 0.95 * bins * width  # of tens, two hundred sevens leave room
     assert packing.pack_whole(docs.limit(0), "doc_id", "tokens", width).count() == 0
+
+
+def test_sizes_are_counted_once(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def size(i):
+        counted.add(1)
+        return i % 9
+
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), size("id").alias("tokens"))
+    assert packing.pack_whole(docs, "doc_id", "tokens", 10).count() == 88
+    assert counted.value == 100
