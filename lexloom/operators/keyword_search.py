@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from lexloom.sources.scratch import settled
 
@@ -18,13 +18,14 @@ from .nearest import PACK, _one, rounded
 
 #: Runs of ASCII letters and digits and of all other characters beyond ASCII, lower-cased.
 TERM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-_BETWEEN = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
+#: By byte of UTF-8, whether it is of a term.
+_OF_TERM = np.array([i > 127 or chr(i).isalnum() for i in range(256)])
 K1, B = 1.2, 0.75
 #: Scores are compared at six digits.
 SLACK = 2e-6
 #: Documents of a block that a task scores; bytes of text whose words are counted, scores held and gains added at a time.
 BLOCK = 8_000
-SLICE, CELLS, GAINS = 1 << 23, 1 << 21, 1 << 22
+SLICE, CELLS, GAINS = 1 << 24, 1 << 21, 1 << 22
 #: Terms asked for that are broadcast at most.
 MOST_TERMS = 500_000
 
@@ -39,25 +40,43 @@ def ranked(scores: DataFrame, k: int, item: str) -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of all texts in turn, and the row of each, by their bytes; a term ends with its text at the latest."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if ends[0] == ends[-1]:
+        return pa.array([], pa.string()), np.empty(0, dtype=np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = _OF_TERM[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    met = ends[(ends > 0) & (ends < len(data))]  # where texts meet
+    first[met], last[met - 1] = inside[met], inside[met - 1]
+    low, high = np.flatnonzero(first), np.flatnonzero(last) + 1
+    kind, string = (np.int32, pa.StringArray) if len(data) < 2**31 else (np.int64, pa.LargeStringArray)
+    pieces = string.from_buffers(max(0, 2 * len(low) - 1), pa.py_buffer(np.stack([low, high], axis=1).astype(kind)), pa.py_buffer(data))  # terms and what is between them
+    return pieces.take(pa.array(np.arange(0, len(pieces), 2))).cast(pa.string()), np.searchsorted(ends, low, "right") - 1
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term and, as arrays, doc_id, length and tf of the documents (doc_id, text: lower-cased) of a slice of some million characters that have it."""
+    """term, df and words and, as arrays, doc_id, length and tf of the documents (doc_id, text: lower-cased) of a slice of some million characters that have it."""
     for batch in batches:
         texts, at = batch.column("text"), 0
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
         while at < batch.num_rows:
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
-            pieces = pc.split_pattern_regex(pc.fill_null(texts.slice(at, stop - at), ""), pattern=_BETWEEN)
-            words, row = pieces.flatten(), pc.list_parent_indices(pieces).to_numpy()
-            kept = pc.not_equal(words, "")  # before the first term and behind the last
-            row = row[kept.to_numpy(zero_copy_only=False)].astype(np.int64)
-            found = words.filter(kept).dictionary_encode()
+            words, row = _words(texts.slice(at, stop - at))
+            found = words.dictionary_encode()
             many = stop - at
             sizes = np.bincount(row, minlength=many).astype(np.int32)
             key, tf = np.unique(found.indices.to_numpy().astype(np.int64) * many + row, return_counts=True)
             row = key % many
-            edges = pa.array(np.searchsorted(key, np.arange(len(found.dictionary) + 1) * many).astype(np.int32))
-            listed = [pa.ListArray.from_arrays(edges, x) for x in (batch.column("doc_id").take(pa.array(at + row)), pa.array(sizes[row]), pa.array(tf.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([found.dictionary, *listed], ["term", "doc_id", "length", "tf"])
+            edges = np.searchsorted(key, np.arange(len(found.dictionary) + 1) * many).astype(np.int32)
+            sums = np.diff(np.append(0, np.cumsum(tf))[edges])
+            listed = [pa.ListArray.from_arrays(pa.array(edges), x) for x in (batch.column("doc_id").take(pa.array(at + row)), pa.array(sizes[row]), pa.array(tf.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(np.diff(edges)), pa.array(sums), *listed], ["term", "df", "words", "doc_id", "length", "tf"])
             at = stop
 
 
@@ -122,9 +141,9 @@ def _task(k: int, own: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 
 class KeywordIndex:
-    """Postings below ``path``, in folders by a hash of the term and sorted by term; document counts of terms; totals.
+    """Postings below ``path``, in folders by a hash of the term; document counts of terms; totals.
 
-    A row has a term and, as arrays, doc_id, tf and length of the documents of a slice of the table that have it.
+    A row has a term and, as arrays, doc_id, tf and length of the documents of a slice of the table that have it; df and words are their number and the sum of tf.
     A search takes the postings of its terms only, dealt by document, so that no document's score is spread over tasks.
     """
 
@@ -137,7 +156,7 @@ class KeywordIndex:
         spark = docs.sparkSession
         known = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
         twice = settled(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "twice")
-        schema = StructType([StructField("term", StringType())] + [StructField(n, ArrayType(t)) for n, t in (("doc_id", known.schema["doc_id"].dataType), ("length", IntegerType()), ("tf", IntegerType()))])
+        schema = StructType([StructField("term", StringType()), StructField("df", IntegerType()), StructField("words", LongType())] + [StructField(n, ArrayType(t)) for n, t in (("doc_id", known.schema["doc_id"].dataType), ("length", IntegerType()), ("tf", IntegerType()))])
         once = known
         if not twice.isEmpty():  # rows of the same id and length count as one document
             same = F.col("doc_id").eqNullSafe(F.col("_id"))
@@ -145,13 +164,13 @@ class KeywordIndex:
             again = again.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", "doc_id", "length").agg(F.count("*").cast("int").alias("tf"))
         rows = once.withColumn("text", F.lower("text")).mapInArrow(_counted, schema)
         if not twice.isEmpty():
-            rows = rows.unionByName(again.select("term", *[F.array(c).alias(c) for c in ("doc_id", "length", "tf")]))
+            rows = rows.unionByName(again.select("term", F.lit(1).alias("df"), F.col("tf").cast("long").alias("words"), *[F.array(c).alias(c) for c in ("doc_id", "length", "tf")]))
         rows = rows.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int"))
         # folders of common terms are much larger than others, and dealt to as many tasks as their size asks for
-        rows.hint("rebalance", "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/postings")
+        rows.hint("rebalance", "folder").write.partitionBy("folder").parquet(f"{path}/postings")
         spark.range(1).select(F.lit(folders).alias("folders")).write.parquet(f"{path}/about")
         index = cls(spark, path)
-        counts = index._rows().groupBy("term").agg(F.sum(F.size("doc_id")).alias("df"), F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda x, y: x + y)).alias("words"))
+        counts = index._rows().groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
         counts.write.parquet(f"{path}/terms")
         words = spark.read.schema(counts.schema).parquet(f"{path}/terms").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
         known.agg(F.count("*").alias("docs")).crossJoin(words).select("docs", (F.col("words") / F.greatest("docs", F.lit(1))).alias("mean")).write.parquet(f"{path}/totals")

@@ -13,6 +13,7 @@ from lexloom.operators import keyword_search
 from lexloom.operators.keyword_search import B, K1, KeywordIndex, fuse, terms
 from lexloom.operators.ordinals import numbered
 from lexloom.operators.vector_index import VectorIndex
+from lexloom.plans import catalog, indexes  # noqa: F401  registers its queries
 from lexloom.sources.collections import IndexedCollection, KeyedCollection
 from lexloom.sources.scratch import shared_folder
 
@@ -135,6 +136,36 @@ def test_keyword_blocks_equal_brute_force(spark, tmp_path, monkeypatch):
     assert sorted((r["term"], r["doc_id"], r["length"], r["tf"]) for r in same.postings().collect()) == [("a", 1, 1, 1), ("a", 1, 2, 2), ("a", 2, 1, 1), ("b", 1, 2, 1), ("c", 1, 2, 1)]
 
 
+def test_counts_by_bytes(spark, tmp_path):
+    """Terms end with their text, whatever the next one begins with; counts of a term come with its row, so that totals read no arrays."""
+    rng = random.Random(8)
+    texts = [None if rng.random() < 0.1 else "".join(rng.choice("az9 .-é😀\n") for _ in range(rng.randrange(7))) for _ in range(300)] + ["", "a", "a", ""]
+    rows, whole = pa.record_batch({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string())}), []
+    for at in (0, 150):
+        for found in keyword_search._counted(iter([rows.slice(at, 150 if not at else None)])):
+            whole += [(t, d, n, c) for t, ds, ns, cs in zip(*(found[c].to_pylist() for c in ("term", "doc_id", "length", "tf")), strict=True) for d, n, c in zip(ds, ns, cs, strict=True)]
+            assert [(n, w) for n, w in zip(found["df"].to_pylist(), found["words"].to_pylist(), strict=True)] == [(len(x), sum(x)) for x in found["tf"].to_pylist()]
+    split = [__import__("re").findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t or "") for t in texts]
+    assert sorted(whole) == sorted((t, i, len(w), w.count(t)) for i, w in enumerate(split) for t in set(w))
+    index = KeywordIndex.build(spark.createDataFrame([(1, "a b b"), (2, "a"), (2, "c c")], "doc_id long, text string"), f"{tmp_path}/counts")
+    assert sorted((r["term"], r["df"], r["words"]) for r in spark.read.parquet(f"{index.path}/terms").collect()) == [("a", 2, 2), ("b", 1, 2), ("c", 1, 2)]
+
+
+def test_hybrid_of_null_vectors(spark, tmp_path):
+    """A vector that is null is asked for too, and its scores are null, as the SQL of hybrid_search has it."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(4)
+    words = [" ".join(f"w{int(x)}" for x in rng.integers(0, 40, 12)) for _ in range(120)]
+    spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, None if i in (50, 7) else rng.normal(size=8).tolist(), i % 3) for i in range(110)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = db.execute(catalog.SQL["hybrid_search"]).fetchall()
+    assert {r[0] for r in want} == {0, 50, 100} and sorted(want) == sorted(tuple(r) for r in catalog.QUERIES["hybrid_search"](spark, str(tmp_path)).collect())
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, doc string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2), (2, "x", 1)], "query_id int, doc string, rank int")
