@@ -152,7 +152,11 @@ class KeywordIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, folders: int = 64, key: str = "doc_id", text: str = "text") -> KeywordIndex:
-        """Every document counts in the totals; null and empty texts have no postings."""
+        """Every document counts in the totals; null and empty texts have no postings.
+
+        Folders let a search for few terms read few of the postings, which are shuffled for that. An index for searches that ask for
+        terms of all folders needs one only; tasks then write the postings of their slices where they count them.
+        """
         spark = docs.sparkSession
         known = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
         twice = settled(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "twice")
@@ -165,9 +169,11 @@ class KeywordIndex:
         rows = once.withColumn("text", F.lower("text")).mapInArrow(_counted, schema)
         if not twice.isEmpty():
             rows = rows.unionByName(again.select("term", F.lit(1).alias("df"), F.col("tf").cast("long").alias("words"), *[F.array(c).alias(c) for c in ("doc_id", "length", "tf")]))
-        rows = rows.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int"))
-        # folders of common terms are much larger than others, and dealt to as many tasks as their size asks for
-        rows.hint("rebalance", "folder").write.partitionBy("folder").parquet(f"{path}/postings")
+        if folders == 1:
+            rows.write.parquet(f"{path}/postings/folder=0")
+        else:  # folders of common terms are much larger than others, and dealt to as many tasks as their size asks for
+            rows = rows.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int"))
+            rows.hint("rebalance", "folder").write.partitionBy("folder").parquet(f"{path}/postings")
         spark.range(1).select(F.lit(folders).alias("folders")).write.parquet(f"{path}/about")
         index = cls(spark, path)
         counts = index._rows().groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
@@ -233,7 +239,7 @@ class KeywordIndex:
 
     def telling_terms(self, docs: DataFrame, n: int = 8) -> DataFrame:
         """query_id and terms: the n terms of each document that count most there and least elsewhere, to search for others like it."""
-        own = self.postings().join(docs.select(F.col("doc_id")), "doc_id", "left_semi").join(self.weights(), "term")
+        own = self._rows().select("term", F.inline(F.arrays_zip("doc_id", "tf"))).join(docs.select(F.col("doc_id")), "doc_id", "left_semi").join(self.weights(), "term")
         own = own.withColumn("w", F.round(F.col("tf") * F.col("idf"), 6))
         place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("w"), "term"))
         best = own.withColumn("place", place).where(F.col("place") <= n)

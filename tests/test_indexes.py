@@ -151,6 +151,18 @@ def test_counts_by_bytes(spark, tmp_path):
     assert sorted((r["term"], r["df"], r["words"]) for r in spark.read.parquet(f"{index.path}/terms").collect()) == [("a", 2, 2), ("b", 1, 2), ("c", 1, 2)]
 
 
+def test_postings_of_one_folder(spark, tmp_path):
+    """They are written where they are counted and found as those of many folders; a table without rows, from which no folder comes, is searched too."""
+    df = spark.createDataFrame([(1, "a b b"), (2, "a"), (2, "c c"), (3, None)], "doc_id long, text string").repartition(2)
+    asked = spark.createDataFrame([(1, ["a", "b", "d"]), (2, ["c"])], "query_id long, terms array<string>")
+    one, many = (KeywordIndex.build(df, f"{tmp_path}/{n}", folders=n) for n in (1, 7))
+    assert os.listdir(f"{one.path}/postings") == ["folder=0"]
+    for get in (lambda x: x.postings().drop("folder"), lambda x: x.search(asked, 2), lambda x: x.telling_terms(df, 1)):
+        assert sorted(map(tuple, get(one).collect())) == sorted(map(tuple, get(many).collect())) != []
+    none = KeywordIndex.build(df.limit(0), f"{tmp_path}/none", folders=1)
+    assert none.search(asked, 2).count() == none.telling_terms(df, 1).count() == 0
+
+
 def test_hybrid_of_null_vectors(spark, tmp_path):
     """A vector that is null is asked for too, and its scores are null, as the SQL of hybrid_search has it."""
     duckdb = pytest.importorskip("duckdb")
