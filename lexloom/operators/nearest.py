@@ -57,6 +57,38 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) else found
 
 
+def _needed(v: np.ndarray, ids: np.ndarray, place: np.ndarray, cell: np.ndarray, k: int) -> np.ndarray:
+    """Without copies that can't be among a query's k best: of equal vectors in a cell, those of the first k + 1 ids (one may be its own)."""
+    if len(v) < 2:
+        return np.arange(len(v))
+    with np.errstate(all="ignore"):
+        order = np.lexsort((place, v @ np.random.default_rng(0).normal(size=v.shape[1]), cell))
+    first = np.ones(len(v), dtype=bool)
+    first[1:] = (v[order[1:]] != v[order[:-1]]).any(axis=1) | (cell[order[1:]] != cell[order[:-1]])
+    other = first.copy()
+    other[1:] |= ids[order[1:]] != ids[order[:-1]]
+    nth = np.cumsum(other)
+    return np.sort(order[nth - nth[first][np.cumsum(first) - 1] <= k])
+
+
+def _at_least_floor(score: np.ndarray, slack: np.ndarray, k: int, group: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of what may be among the k largest of a row, give or take slack; NaN counts as largest.
+
+    The k-th largest of the maxima of groups of columns is no more than the k-th largest entry, and takes one pass.
+    """
+    n = score.shape[1]
+    size = max(1, min(group, n // (4 * k)))
+    groups = n // size
+    whole = score[:, : groups * size].reshape(len(score), size, groups)  # what is left over are groups of one
+    top = np.concatenate([whole.max(axis=1), score[:, groups * size :]], axis=1)
+    floor = np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k] if top.shape[1] > k else np.full(len(top), -np.inf)
+    low = (floor - slack)[:, None]
+    qi, g = np.nonzero(~(top < low))
+    alone = g >= groups
+    a, j = np.nonzero(~(whole[qi[~alone], :, g[~alone]] < low[qi[~alone]]))
+    return np.concatenate([qi[~alone][a], qi[alone]]), np.concatenate([j * groups + g[~alone][a], g[alone] + groups * (size - 1)])
+
+
 def best_pairs(vectors: pa.Table, queries: pa.Table, k: int, but_self: bool, step: int = 256) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Query row, vector row and score (not rounded) of each query's k best by rounded score and vec_id.
 
@@ -97,30 +129,45 @@ def best_pairs(vectors: pa.Table, queries: pa.Table, k: int, but_self: bool, ste
     for size in np.unique(q_size):
         rows = np.flatnonzero(v_size == size) if size >= 0 else np.empty(0, dtype=np.int64)
         rows = rows[np.argsort(which[rows], kind="stable")]
-        edges = np.searchsorted(which[rows], np.arange(len(names) + 1))
-        at = np.full(len(ids), -1)
-        at[rows] = np.arange(len(rows))
-        others = by_id[at[by_id] < 0]
+        others = by_id[~np.isin(by_id, rows)]
         v = _matrix(vec, rows, max(size, 0))
-        longest = np.sqrt((v * v).sum(axis=1).max(initial=0.0))
+        with np.errstate(all="ignore"):
+            norm = np.sqrt((v * v).sum(axis=1))
+        finite = np.flatnonzero(np.isfinite(norm))
+        odd = np.flatnonzero(~np.isfinite(norm))  # these meet every query entry by entry
+        finite = finite[_needed(v[finite], ids[rows[finite]], place[rows[finite]], which[rows[finite]], k)]
+        longest = norm[finite].max(initial=0.0)
+        even = bool(len(finite)) and longest <= 10 * np.median(norm[finite])  # or single precision would tell too few apart
+        edges = np.searchsorted(which[rows[finite]], np.arange(len(names) + 1))
+        at = np.full(len(ids), -1)
+        at[rows[finite]] = np.arange(len(finite))
+        v_as = {np.float64: v[finite]}
         of_size = np.flatnonzero(q_size == size)
         for start in range(0, len(of_size), step):
             some = of_size[start : start + step]
             m = _matrix(q, some, max(size, 0))
             with np.errstate(all="ignore"):
-                score = np.full((len(some), len(rows)), -np.inf)
-                for c in range(len(names)):
-                    lo, hi, ask = edges[c], edges[c + 1], np.flatnonzero(open_to[some, c])
-                    if hi > lo and len(ask):
-                        score[ask, lo:hi] = m[ask] @ v[lo:hi].T
+                m_norm = np.sqrt((m * m).sum(axis=1))
+                kind = np.float32 if even and max(longest, 1.0) * m_norm.max(initial=1.0) < 1e30 else np.float64  # NaN: float64
+                if kind not in v_as:
+                    v_as[kind] = v_as[np.float64].astype(kind)
+                vs, ms = v_as[kind], m.astype(kind)
+                if len(names) == 1 and open_to[some, 0].all():
+                    score = ms @ vs.T
+                else:
+                    score = np.full((len(some), len(vs)), -np.inf, dtype=kind)
+                    for c in range(len(names)):
+                        lo, hi, ask = edges[c], edges[c + 1], np.flatnonzero(open_to[some, c])
+                        if hi > lo and len(ask):
+                            score[ask, lo:hi] = ms[ask] @ vs[lo:hi].T
                 if but_self:
                     for i in np.flatnonzero(high[some] > low[some]):
                         mine = at[by_id[low[some[i]] : high[some[i]]]]
                         score[i, mine[mine >= 0]] = -np.inf
-                n = len(rows)
-                floor = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(some), -np.inf)
-                slack = 2e-6 + 8 * (max(size, 0) + 1) * np.finfo(float).eps * np.sqrt((m * m).sum(axis=1)) * longest
-                qi, vi = np.nonzero(~(score < (floor - slack)[:, None]))
+                slack = 2e-6 + 8 * (max(size, 0) + 1) * float(np.finfo(kind).eps) * m_norm * longest
+                qi, vi = _at_least_floor(score, slack, k)
+            qi = np.concatenate([qi, np.repeat(np.arange(len(some)), len(odd))])
+            vi = np.concatenate([finite[vi], np.tile(odd, len(some))])
             good = open_to[some[qi], which[rows[vi]]] & ~(but_self & (ids[rows[vi]] == asked[some[qi]]))
             qi, vi = qi[good], vi[good]
             exact = np.zeros(len(qi))

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexloom.operators import nearest
 from lexloom.operators.nearest import rounded
 from lexloom.operators.retrieval import dot, top_k_each
 from lexloom.operators.vector_index import VectorIndex
+from lexloom.plans import catalog
 
 
 def plain(vectors, queries, k):
@@ -60,3 +62,48 @@ def test_cells_of_a_pack_are_asked_at_once(spark, tmp_path):
     assert "FlatMapCoGroups" in plan and "dynamicpruning" in plan
     assert index._wanted(asked, {0: list(range(12))}, 12, beyond=False).count() == asked.count()
     assert sorted(map(repr, found.collect())) == sorted(map(repr, top_k_each(vectors, asked, 5).select(found.columns).collect()))
+
+
+def test_hits_of_every_vector(spark, tmp_path):
+    """hit_at_k asks for each vector, those whose id isn't divisible by 50 too, and equals its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist(), int(rng.integers(0, 3))) for i in range(1, 121)] + [(200, [1.0] * 6, None), (None, [1.0] * 6, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = catalog.hit_at_k(spark, str(tmp_path)).collect()
+    assert got[0]["queries"] == 121
+    assert [tuple(r) for r in got] == con.sql(catalog.SQL["hit_at_k"]).fetchall()
+
+
+def test_copies_are_scored_once(spark):
+    """Of equal vectors only the first ids can be among the best, so not every pair of copies is scored entry by entry."""
+    rng = np.random.default_rng(2)
+    one, other = rng.normal(size=(2, 8)).tolist()
+    rows = [(i, one if i % 3 else other, i % 2) for i in range(300)] + [(5, one, 7), (5, one, 8)] + [(900 + i, rng.normal(size=8).tolist(), 0) for i in range(9)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    want = sorted(map(repr, plain(vectors, queries.distinct(), 4).select("query_id", "vec_id", "score", "rank").collect()))
+    got = top_k_each(vectors, queries.distinct(), 4, 100).select("query_id", "vec_id", "score", "rank")
+    assert sorted(map(repr, got.collect())) == want
+    v = np.array([r[1] for r in rows])
+    ids = np.array([r[0] for r in rows])
+    kept = nearest._needed(v, ids, np.argsort(np.argsort(ids, kind="stable")), np.zeros(len(v), dtype=np.int64), 4)
+    assert len(kept) == 5 + 2 + 5 + 9
+
+
+@pytest.mark.parametrize("n", [1, 3, 7, 39, 40, 83, 1000])
+def test_floor_loses_nothing(n):
+    """Every one of the k largest of a row is found, whatever groups the columns fall into; NaN is largest."""
+    rng = np.random.default_rng(n)
+    score = rng.normal(size=(20, n))
+    score[3] = 0.5
+    score[4, rng.integers(n)] = math.nan
+    score[5, : n // 2] = -math.inf
+    qi, vi = nearest._at_least_floor(score, np.zeros(20), 5)
+    found = set(zip(qi.tolist(), vi.tolist(), strict=True))
+    assert len(found) == len(qi)
+    for i, row in enumerate(score):
+        best = np.sort(row)[-5:]  # NaN last
+        assert {(i, j) for j in range(n) if np.isnan(row[j]) or row[j] >= best[0]} <= found
